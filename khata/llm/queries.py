@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from khata.llm.html_extraction import op1_html_extraction
 from khata.llm.token_counts import op7_token_counts
+from khata.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op5_toxicity": op5_toxicity,
     "op7_token_counts": op7_token_counts,
 }
 
