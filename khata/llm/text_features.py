@@ -21,8 +21,8 @@ BUCKET_BITS = 22
 COARSE = 8192
 KEPT = 2048
 LEAST_TEXTS = 5
-#: Quantile bins of a dense statistic in the classifiers.
-BINS = 8
+#: Quantiles between the bins of a dense statistic; both tails are fine, as rare kinds of text are there.
+QUANTILES = (0.01, 0.03, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.97, 0.99)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # White space as one blank, A-Z in lower case: positions in the text keep their bytes.
