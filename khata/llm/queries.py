@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from khata.llm.html_extraction import op1_html_extraction
+from khata.llm.mixing import op8_mixing
 from khata.llm.quality import op9_quality
 from khata.llm.token_counts import op7_token_counts
 from khata.llm.toxicity import op5_toxicity
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
 }
 
