@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from khata.llm.decontamination import op10_decontamination
 from khata.llm.html_extraction import op1_html_extraction
 from khata.llm.mixing import op8_mixing
 from khata.llm.quality import op9_quality
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
