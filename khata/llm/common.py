@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -41,6 +42,9 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/khata-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of what led here go as soon as the driver's JVM finds them unused.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +57,22 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def with_uid(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """uid, id, text: uid is a long in the order of the ids, one for each distinct (id, text).
+
+    Where ids are unique and not null they are the uids. Otherwise equal rows share one uid, and rows that share an id
+    with different texts are told apart by a hash of the text; null ids come first. One distributed sort of ids.
+    """
+    docs = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    ids = docs.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.col("id").isNull().cast("int"))).first()
+    if (ids[0] or 1) == 1 and not ids[1]:
+        return docs.select(F.col("id").alias("uid"), "id", "text")
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    order = keyed.select("id", "h").distinct().orderBy(F.asc_nulls_first("id"), "h")
+    numbered = cut(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, h long, uid long"))
+    return keyed.join(numbered, keyed["id"].eqNullSafe(numbered["id"]) & (keyed["h"] == numbered["h"])).select("uid", keyed["id"], "text")
+
+
 def chunks(texts: Iterable[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) in runs of about `most` bytes, so that a kernel's arrays stay small."""
     start, held, size = 0, [], 0
