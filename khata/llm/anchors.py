@@ -39,11 +39,12 @@ class Spec:
         return byte_symbols(np.frombuffer(b"".join(texts), dtype=np.uint8)), bounds
 
     def runs(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text, place, windows, seed hash, segment hash) of every run."""
+        """(text, place, windows, seed hash, segment hash, seed's offset from the place) of every run."""
         symbols, bounds = self.symbols(texts)
         n, w = len(symbols), self.window
+        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
         if n < w:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+            return none
         at = np.arange(n - self.seed + 1)
         seeds = Rolling(symbols).of(at, at + self.seed)
         low = np.uint64((1 << _PLACE_BITS) - 1)
@@ -51,13 +52,13 @@ class Spec:
         text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
         p = np.flatnonzero(np.arange(w, n + 1) <= bounds[1:][text_of[: n - w + 1]])
         if not len(p):
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+            return none
         chosen = picked[p]
         first = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (p[1:] != p[:-1] + 1)]))
         last = np.append(first[1:], len(p)) - 1
         lo, hi, s = p[first], p[last], chosen[first]
         segments = mix64(Rolling(symbols, _SECOND).of(lo, hi + w) + (s - lo).astype(np.uint64))
-        return text_of[lo], lo - bounds[text_of[lo]], hi - lo + 1, seeds[s], segments
+        return text_of[lo], lo - bounds[text_of[lo]], hi - lo + 1, seeds[s], segments, s - lo
 
 
 def runs(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -67,7 +68,7 @@ def runs(docs: DataFrame, spec: Spec) -> DataFrame:
         for batch in batches:
             uids = batch.column(0).to_numpy(zero_copy_only=False)
             for start, part in chunks(as_bytes(batch.column(1))):
-                text, place, windows, seed, segment = spec.runs(part)
+                text, place, windows, seed, segment, _ = spec.runs(part)
                 pos = (place << LENGTH_BITS) | windows
                 yield pa.RecordBatch.from_arrays([pa.array(uids[start + text], pa.int64()), pa.array(seed.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(pos)], names=["uid", "seed", "seg", "pos"])
 

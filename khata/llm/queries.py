@@ -11,12 +11,14 @@ from khata.llm.html_extraction import op1_html_extraction
 from khata.llm.mixing import op8_mixing
 from khata.llm.quality import op9_quality
 from khata.llm.substring_dedup import op2_substring_dedup
+from khata.llm.suffix_array import op3_suffix_array
 from khata.llm.token_counts import op7_token_counts
 from khata.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_array": op3_suffix_array,
     "op5_toxicity": op5_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
