@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from khata.llm.decontamination import op10_decontamination
 from khata.llm.html_extraction import op1_html_extraction
+from khata.llm.minhash_dedup import op4_minhash_dedup
 from khata.llm.mixing import op8_mixing
 from khata.llm.quality import op9_quality
 from khata.llm.substring_dedup import op2_substring_dedup
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_array": op3_suffix_array,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
