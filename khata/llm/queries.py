@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from khata.llm.decontamination import op10_decontamination
+from khata.llm.embedding_dedup import op6_embedding_dedup
 from khata.llm.html_extraction import op1_html_extraction
 from khata.llm.minhash_dedup import op4_minhash_dedup
 from khata.llm.mixing import op8_mixing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array": op3_suffix_array,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
