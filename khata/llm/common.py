@@ -48,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids (8 bytes each) up to which a list of them is broadcast; a longer one is joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A written table of ids, hinted by its size."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
 def drop_cut(df: DataFrame) -> None:
     """Removes the files of a table made by cut() that nothing reads any more."""
     jvm = df.sparkSession._jvm
@@ -58,19 +67,21 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def with_uid(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """uid, id, text: uid is a long in the order of the ids, one for each distinct (id, text).
+    """uid, id, text, row: uid is a long in the order of the ids, one for each distinct (id, text); row: a struct of
+    all columns but the text, so that no name can clash.
 
     Where ids are unique and not null they are the uids. Otherwise equal rows share one uid, and rows that share an id
     with different texts are told apart by a hash of the text; null ids come first. One distributed sort of ids.
     """
-    docs = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    docs = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), row.alias("row"))
     ids = docs.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n"), F.max(F.col("id").isNull().cast("int"))).first()
     if (ids[0] or 1) == 1 and not ids[1]:
-        return docs.select(F.col("id").alias("uid"), "id", "text")
+        return docs.select(F.col("id").alias("uid"), "id", "text", "row")
     keyed = docs.withColumn("h", F.xxhash64("text"))
     order = keyed.select("id", "h").distinct().orderBy(F.asc_nulls_first("id"), "h")
     numbered = cut(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, h long, uid long"))
-    return keyed.join(numbered, keyed["id"].eqNullSafe(numbered["id"]) & (keyed["h"] == numbered["h"])).select("uid", keyed["id"], "text")
+    return keyed.join(numbered, keyed["id"].eqNullSafe(numbered["id"]) & (keyed["h"] == numbered["h"])).select("uid", keyed["id"], "text", "row")
 
 
 def chunks(texts: Iterable[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,6 +150,34 @@ def leaks(texts: list[bytes], index: Index) -> list[tuple[int, int, float, float
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
+def indexes(benchmark: DataFrame, text: str, item: str) -> Iterator[Broadcast]:
+    """Broadcast indexes of at most about INDEX_BYTES of item texts each, which together hold all items."""
+    items = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("t")).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    passes = max(1, -(-total // INDEX_BYTES))
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(passes)) == k)
+        index = build_index(sorted((r["item"], r["t"]) for r in part.collect()))
+        if index is not None:
+            yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """docs less the rows in which a test item is found; narrow, all columns stay."""
+    place = docs.columns.index(text)
+    for shared in indexes(benchmark, "text", item):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for start, block in chunks(as_bytes(batch.column(place))):
+                    clean[[start + t for t, *_ in leaks(block, shared.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """doc_id, item_id, score, overlap: one row per document row and test item found in it; clean documents give none.
 
@@ -156,17 +185,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text:
     texts and items match nothing, nor do items under LEAST_WORDS words. Narrow: every task holds the index, whose size
     is checked; a benchmark over INDEX_BYTES is taken in passes by a hash of the item.
     """
-    items = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("t")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // INDEX_BYTES))
     schema = f"{id_} long, item_id long, score double, overlap double"
     out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(passes)) == k) if passes > 1 else items
-        index = build_index(sorted((r["item"], r["t"]) for r in part.collect()))
-        if index is None:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for shared in indexes(benchmark, text, item):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

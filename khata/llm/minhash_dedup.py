@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm.common import Rolling, Words, as_bytes, chunks, components, cut, drop_cut, mix64, table, with_uid
+from khata.llm.common import Rolling, Words, as_bytes, chunks, components, cut, drop_cut, mix64, small_side, table, with_uid
 
 SYMBOLS, BITS, CHUNKS = 64, 16, 14
 #: Differing symbols within which all pairs are found: fewer than two in each chunk. At a similarity of 0.8 12.8 of 64
@@ -25,8 +25,6 @@ RADIUS = 2 * CHUNKS - 1
 SHINGLE = 2
 #: Links: 100 * shared >= PERCENT * united.
 PERCENT = 80
-#: Ids up to which the list of texts to fetch (8 bytes each) is broadcast; beyond, it is joined by shuffle.
-BROADCAST_IDS = 1_000_000
 #: Pairs of one text that are confirmed in one group; more are salted over several.
 STAR = 2_000
 
@@ -145,8 +143,7 @@ def _confirm(k: int, percent: int):
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that are links on the full sets. A text goes once to each text it is paired with; stars are salted."""
     ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    texts = cut(docs.select("uid", "text").join(ids, "uid", "left_semi"))
+    texts = cut(docs.select("uid", "text").join(small_side(cut(ids)), "uid", "left_semi"))
     count = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("salts"))
     salted = pairs.join(count, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
     own = count.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt")).join(texts, F.col("a") == texts["uid"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -198,5 +195,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return result.select(id_, "n_shingles", "component_id", F.col(id_).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs less all but the first document (by id) of each component of near duplicates; all columns stay.
+
+    Of repeated rows one stays. An id that is rejected goes with all its rows; null ids stay.
+    """
+    result = cut(near_duplicates(docs, shingle, percent, id_, text).select(id_, "kept"))
+    rejected = cut(result.where(~F.col("kept")).select(id_).distinct())
+    kept = docs.join(small_side(rejected), id_, "left_anti")
+    repeated = result.groupBy(id_).count().where("count > 1").isEmpty()
+    return kept if repeated else kept.dropDuplicates([id_, text])
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

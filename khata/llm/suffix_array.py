@@ -224,5 +224,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_:
     return joined.mapInArrow(run, f"{id_} long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<long>")
 
 
+def strip_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
+    """docs with every repeated passage of `window` bytes or more cut out of their texts, and the count of characters
+    set anew; all rows and columns stay. A cut keeps to whole characters; null texts stay null."""
+    named = with_uid(docs, id_, text)
+    spans = repeat_spans(named.select("uid", "text"), window, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, pos in zip(as_bytes(batch.column(1)), batch.column(2)):
+                edges = [0]
+                for a, b in merged_spans(np.asarray(pos.as_py(), dtype=np.int64), window):
+                    while a < b and t[a] & 0xC0 == 0x80:
+                        a += 1
+                    while b > a and b < len(t) and t[b] & 0xC0 == 0x80:
+                        b -= 1
+                    edges += [a, b]
+                edges.append(len(t))
+                out.append(b"".join(t[a:b] for a, b in zip(edges[0::2], edges[1::2])).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+
+    joined = named.join(spans.hint("shuffle_hash"), "uid", "left")
+    row = named.schema["row"].dataType.simpleString()
+    changed = joined.where("spans is not null").select("row", "text", "spans").mapInArrow(run, f"row {row}, text string")
+    result = joined.where("spans is null").select("row", "text").unionByName(changed)
+    columns = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    result = result.select(*columns)
+    return result.withColumn(chars, F.char_length(text).cast(docs.schema[chars].dataType)) if chars in docs.columns else result
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")

@@ -130,6 +130,17 @@ def score_texts(docs: DataFrame, model, keep: list[str], text: str = "text", thr
     return chosen.mapInArrow(run, schema)
 
 
+def reject(docs: DataFrame, model, threshold: float, text: str = "text") -> DataFrame:
+    """docs less the rows that score at the threshold or above; narrow, all columns stay."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(as_bytes(batch.column(place))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_: str, parts: int, which: int):
     """crc32 of the id as text, mod parts, is `which`."""
     return F.pmod(F.crc32(F.col(id_).cast("string")), F.lit(parts)) == which
