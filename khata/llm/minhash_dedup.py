@@ -3,8 +3,9 @@
 A signature has SYMBOLS minima of BITS bits each. Two texts at the similarity threshold differ in few symbols; up to
 RADIUS of them, the pigeonhole principle leaves one of CHUNKS chunks with at most one error, so all pairs within RADIUS
 meet under a key that is a chunk less one of its symbols. Equal shingle sets are one class and take part once. Buckets
-first tie their members to one of them, which settles groups of copies without their pairs; what is still in different
-components then meets pair by pair. Every link is confirmed on the full shingle sets.
+first tie their members to their medoid and to their nearest ones, which settles groups of copies without their pairs;
+then members meet their nearest ones of other components, and at last all that are still in different components. Every
+link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ RADIUS = 2 * CHUNKS - 1
 SHINGLE = 2
 #: Links: 100 * shared >= PERCENT * united.
 PERCENT = 80
+#: Members of a bucket that are compared with each other at once.
+TILE = 1_000
 #: Pairs of one text that are confirmed in one group; more are salted over several.
 STAR = 2_000
 
@@ -99,19 +102,84 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel().view(np.int64)), pa.array(uid)], names=["key", "uid"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures differ in RADIUS symbols at most."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for c in (2, 3))
-        near = pa.array((a != b).sum(axis=1) <= RADIUS)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing symbols of every row of a and row of b."""
+    out = np.empty((len(a), len(b)), dtype=np.int16)
+    step = max(1, (1 << 22) // max(1, b.size))
+    for i in range(0, len(a), step):
+        out[i : i + step] = (a[i : i + step, None, :] != b[None, :, :]).sum(axis=2)
+    return out
+
+
+def _meet(mode: str, percent: int):
+    """Buckets' rows (tile, side, uid, c, n, low) in order -> candidate pairs a < b within RADIUS, of different c.
+
+    mode star: every member with the bucket's medoid and with its nearest one; nearest: every member with its nearest
+    one of another component; all: all pairs of different components.
+    """
+
+    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        side, uid, c, n = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
+        low = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8).reshape(-1, SYMBOLS)
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(q):
+            q = p
+        d = _distances(low[p], low[q])
+        small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+        d[(c[p][:, None] == c[q][None, :]) | (100 * small < percent * large)] = SYMBOLS + 1
+        if mode == "all":
+            i, j = np.nonzero(d <= RADIUS)
+        else:
+            near = d.argmin(axis=1)
+            i, j = np.arange(len(p)), near
+            if mode == "star":
+                medoid = np.minimum(d, RADIUS + 1).sum(axis=0).argmin()
+                i, j = np.concatenate([i, i]), np.concatenate([j, np.full(len(p), medoid)])
+            if q is not p:
+                i, j = np.concatenate([i, d.argmin(axis=0)]), np.concatenate([j, np.arange(len(q))])
+            keep = d[i, j] <= RADIUS
+            i, j = i[keep], j[keep]
+        x, y = uid[p[i]], uid[q[j]]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out, size = [], [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[-1][0]:
+                    out.append(solve(held))
+                    size += len(out[-1][0])
+                    held = []
+                    if size > 200_000:
+                        yield _pairs(out)
+                        out, size = [], 0
+                held.append(row)
+        if held:
+            out.append(solve(held))
+        yield _pairs(out)
+
+    return run
 
 
-def near_pairs(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs a, b, those that sizes and signatures leave possible."""
-    first, second = (sigs.select(F.col("uid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}")) for c in "ab")
-    both = pairs.distinct().join(first, "a").join(second, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.select("a", "b", "siga", "sigb").mapInArrow(_near, "a long, b long")
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Distinct pairs."""
+    pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def candidates(buckets: DataFrame, placed: DataFrame, mode: str, percent: int) -> DataFrame:
+    """a < b, distinct: pairs that meet in a bucket (key, uid, size). placed: uid, c, n, low.
+
+    A bucket of one component is done. A large one is compared in tiles of TILE by TILE, so that no task holds it.
+    """
+    rows = buckets.join(placed, "uid")
+    if mode != "star":
+        mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+        rows = rows.join(mixed, "key", "left_semi")
+    rows = rows.withColumn("tiles", F.floor(F.col("size") / TILE) + 1).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    tile = F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side"), "uid", "c", "n", "low")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_meet(mode, percent), "a long, b long").distinct()
 
 
 def _confirm(k: int, percent: int):
@@ -169,25 +237,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     drop_cut(known)
     sigs = classes.where("sig is not null").select("uid", "n", "sig")
     keys = sigs.select("uid", "sig").mapInArrow(_keys, "key long, uid long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("uid").alias("hub")).where("c > 1").select("key", "hub")
-    buckets = cut(keys.join(shared, "key").select("key", "uid", "hub"))
-    # Each bucket as a star around its first member.
-    stars = cut(near_pairs(buckets.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")), sigs, percent))
-    links = confirm(stars, docs, shingle, percent)
-    found = components(links)
-    # What a bucket still holds of different components: all their pairs.
-    placed = buckets.select("key", "uid").join(found, F.col("uid") == F.col("id"), "left").select("key", "uid", F.coalesce("component", "uid").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    left = cut(placed.join(mixed, "key"))
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, "key").where("x.c <> y.c and x.uid < y.uid").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-    rest = cut(near_pairs(rest, sigs, percent).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirm(rest, docs, shingle, percent)
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
-    for done in (stars, buckets, left, rest):
-        drop_cut(done)
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(keys.join(shared, "key").select("key", "uid", "size"))
+    # The low byte of every symbol is enough to rule pairs out: it can only make them look nearer.
+    low = sigs.select("uid", "n", F.unhex(F.regexp_replace(F.hex("sig"), "(..)..", "$1")).alias("low"))
+    tested = links = found = None
+    for mode in ("star", "nearest", "all"):
+        at = low.withColumn("c", F.col("uid")) if found is None else low.join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid"))
+        pairs = candidates(buckets, at.select("uid", "c", "n", "low"), mode, percent)
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if pairs.isEmpty():
+            more = pairs
+        else:
+            more = confirm(pairs, docs, shingle, percent)
+        if links is None or not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            found = components(links)
+    drop_cut(buckets)
     whole = classes.join(found, classes["rep"] == found["id"], "left").select("uid", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     names = named.select("uid", F.col("id")).distinct()
     out = whole.join(names, "uid").join(names.select(F.col("uid").alias("component"), F.col("id").alias("component_id")), "component")
