@@ -79,8 +79,8 @@ CHAIN = f"""
 SELECT CAST(l_suppkey AS STRING) AS line_id, CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) AS id,
   CAST(floor(l_extendedprice) AS BIGINT) AS amount_paise, CASE l_returnflag WHEN 'R' THEN 'debit' WHEN 'A' THEN 'credit' ELSE 'none' END AS direction,
   l_orderkey % 23 = 0 AS is_hold, CASE WHEN l_orderkey % 19 = 0 THEN 'statement' WHEN l_orderkey % 7 = 0 THEN NULL ELSE 'sms' END AS source,
-  l_orderkey // 10 AS t_sec, l_orderkey * 10 + l_linenumber AS ordinal,
-  CAST(sum({_MOVE}) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey // 10, l_orderkey * 10 + l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) + CASE WHEN l_orderkey % 10 = 0 THEN 5 ELSE 0 END AS balance_after_paise
+  l_orderkey // 10 AS t_sec, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey AS ordinal,
+  CAST(sum({_MOVE}) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey // 10, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) + CASE WHEN l_orderkey % 10 = 0 THEN 5 ELSE 0 END AS balance_after_paise
 FROM lineitem"""
 
 TABLES = {"messages": (MESSAGES, "events"), "entries": (ENTRIES, "orders"), "settlements": (SETTLEMENTS, "lineitem"), "chain": (CHAIN, "lineitem")}
