@@ -3,9 +3,9 @@
 A signature has SYMBOLS minima of BITS bits each. Two texts at the similarity threshold differ in few symbols; up to
 RADIUS of them, the pigeonhole principle leaves one of CHUNKS chunks with at most one error, so all pairs within RADIUS
 meet under a key that is a chunk less one of its symbols. Equal shingle sets are one class and take part once. Buckets
-first tie their members to their medoid and to their nearest ones, which settles groups of copies without their pairs;
-then members meet their nearest ones of other components, and at last all that are still in different components. Every
-link is confirmed on the full shingle sets.
+first tie their members to their medoid, which settles groups of copies without their pairs; then components meet their
+nearest ones, and at last all members that are still in different components meet, each pair once. Every link is
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SHINGLE = 2
 PERCENT = 80
 #: Members of a bucket that are compared with each other at once.
 TILE = 1_000
+#: Places whose keys alone tie groups together at first; the later comparisons take all.
+STAR_PLACES = (0, 20, 40, 60)
 #: Pairs of one text that are confirmed in one group; more are salted over several.
 STAR = 2_000
 
@@ -99,7 +101,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(i, 4096)
             sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
             uid = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel().view(np.int64)), pa.array(uid)], names=["key", "uid"])
+            place = np.tile(np.arange(SYMBOLS, dtype=np.int8), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel().view(np.int64)), pa.array(place), pa.array(uid)], names=["key", "place", "uid"])
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,16 +114,37 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_places(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first place whose key the signatures of each row of x and y share; SYMBOLS where they share none."""
+    out = np.empty(len(x), dtype=np.int64)
+    starts = np.cumsum(_CHUNK_OF) - _CHUNK_OF
+    for i in range(0, len(x), 1 << 16):
+        wrong = x[i : i + (1 << 16)] != y[i : i + (1 << 16)]
+        others = np.repeat(np.add.reduceat(wrong, starts, axis=1, dtype=np.int8), _CHUNK_OF, axis=1) - wrong
+        out[i : i + (1 << 16)] = np.where((others == 0).any(axis=1), (others == 0).argmax(axis=1), SYMBOLS)
+    return out
+
+
+def _nearest(d: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each component of the rows its row that is nearest to any column, and that column."""
+    near = d.argmin(axis=1)
+    order = np.lexsort((d[np.arange(len(d)), near], c))
+    first = order[np.concatenate([[True], c[order][1:] != c[order][:-1]])]
+    return first, near[first]
+
+
 def _meet(mode: str, percent: int):
-    """Buckets' rows (tile, side, uid, c, n, low) in order -> candidate pairs a < b within RADIUS, of different c.
+    """Buckets' rows (tile, side, place, uid, c, n, sig) in order -> candidate pairs a < b within RADIUS, of different c.
 
-    mode star: every member with the bucket's medoid and with its nearest one; nearest: every member with its nearest
-    one of another component; all: all pairs of different components.
+    mode star: every member with the medoid; nearest: of every component the member that is nearest to another one;
+    all: all pairs of different components, each at the first key that its two signatures share and nowhere else.
     """
 
     def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        side, uid, c, n = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
-        low = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint8).reshape(-1, SYMBOLS)
+        side, uid, c, n = (np.array([r[i] for r in rows]) for i in (1, 3, 4, 5))
+        sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint16).reshape(-1, SYMBOLS)
+        # The low byte of every symbol is enough to rule pairs out: it can only make them look nearer.
+        low = sig.astype(np.uint8)
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(q):
             q = p
@@ -129,17 +153,20 @@ def _meet(mode: str, percent: int):
         d[(c[p][:, None] == c[q][None, :]) | (100 * small < percent * large)] = SYMBOLS + 1
         if mode == "all":
             i, j = np.nonzero(d <= RADIUS)
+            if q is p:
+                i, j = i[i < j], j[i < j]
+            here = _first_places(sig[p[i]], sig[q[j]]) == rows[0][2]
+            i, j = i[here], j[here]
+        elif mode == "star":
+            i = np.arange(len(p))
+            j = np.full(len(p), np.minimum(d, RADIUS + 1).sum(axis=0).argmin())
         else:
-            near = d.argmin(axis=1)
-            i, j = np.arange(len(p)), near
-            if mode == "star":
-                medoid = np.minimum(d, RADIUS + 1).sum(axis=0).argmin()
-                i, j = np.concatenate([i, i]), np.concatenate([j, np.full(len(p), medoid)])
+            i, j = _nearest(d, c[p])
             if q is not p:
-                i, j = np.concatenate([i, d.argmin(axis=0)]), np.concatenate([j, np.arange(len(q))])
-            keep = d[i, j] <= RADIUS
-            i, j = i[keep], j[keep]
-        x, y = uid[p[i]], uid[q[j]]
+                k, m = _nearest(d.T, c[q])
+                i, j = np.concatenate([i, m]), np.concatenate([j, k])
+        keep = d[i, j] <= RADIUS
+        x, y = uid[p[i[keep]]], uid[q[j[keep]]]
         return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,17 +195,21 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def candidates(buckets: DataFrame, placed: DataFrame, mode: str, percent: int) -> DataFrame:
-    """a < b, distinct: pairs that meet in a bucket (key, uid, size). placed: uid, c, n, low.
+    """a < b, distinct: pairs that meet in a bucket (key, place, uid, size). placed: uid, c, n, sig.
 
-    A bucket of one component is done. A large one is compared in tiles of TILE by TILE, so that no task holds it.
+    A bucket of one component is done. A large one is compared in tiles of TILE by TILE, so that no task holds it; in
+    mode star its members only meet those of their own tile, under the keys of the places STAR_PLACES.
     """
+    if mode == "star":
+        buckets = buckets.where(F.col("place").isin(*STAR_PLACES))
     rows = buckets.join(placed, "uid")
     if mode != "star":
         mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
         rows = rows.join(mixed, "key", "left_semi")
-    rows = rows.withColumn("tiles", F.floor(F.col("size") / TILE) + 1).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    rows = rows.withColumn("tiles", F.floor(F.col("size") / TILE) + 1).withColumn("own", F.pmod(F.xxhash64("uid", "key"), F.col("tiles")))
+    rows = rows.withColumn("other", F.col("own") if mode == "star" else F.explode(F.expr("sequence(0, tiles - 1)")))
     tile = F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    rows = rows.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side"), "uid", "c", "n", "low")
+    rows = rows.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side"), "place", "uid", "c", "n", "sig")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_meet(mode, percent), "a long, b long").distinct()
 
 
@@ -236,15 +267,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = cut(known.join(first, ["n", "s1", "s2"], "left").select("uid", "n", F.coalesce("rep", "uid").alias("rep"), F.when(F.col("uid") == F.col("rep"), F.col("sig")).alias("sig")))
     drop_cut(known)
     sigs = classes.where("sig is not null").select("uid", "n", "sig")
-    keys = sigs.select("uid", "sig").mapInArrow(_keys, "key long, uid long")
+    keys = sigs.select("uid", "sig").mapInArrow(_keys, "key long, place byte, uid long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = cut(keys.join(shared, "key").select("key", "uid", "size"))
-    # The low byte of every symbol is enough to rule pairs out: it can only make them look nearer.
-    low = sigs.select("uid", "n", F.unhex(F.regexp_replace(F.hex("sig"), "(..)..", "$1")).alias("low"))
+    buckets = cut(keys.join(shared, "key").select("key", "place", "uid", "size"))
     tested = links = found = None
     for mode in ("star", "nearest", "all"):
-        at = low.withColumn("c", F.col("uid")) if found is None else low.join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid"))
-        pairs = candidates(buckets, at.select("uid", "c", "n", "low"), mode, percent)
+        at = sigs.withColumn("c", F.col("uid")) if found is None else sigs.join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid"))
+        pairs = candidates(buckets, at.select("uid", "c", "n", "sig"), mode, percent)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if pairs.isEmpty():
