@@ -136,7 +136,7 @@ def _count(cosine: float):
         x = _unit([r[4] for r in rows])  # of one component, so of one length
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         n = np.zeros(len(rows), dtype=np.int64)
-        if len(q):
+        if (side < 2).all():  # two different parts of the component
             near = x[p] @ x[q].T >= cosine
             n[p], n[q] = near @ copies[q], near.T @ copies[p]
         else:
@@ -155,7 +155,7 @@ def count_links(classes: DataFrame, found: DataFrame, cosine: float, tile: int)
     tiles = found.groupBy("component").agg((F.floor(F.count("*") / tile) + 1).alias("tiles"))
     member = member.join(tiles, "component").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("tiles"))).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     name = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    rows = member.select(F.struct("component", name).alias("t"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "copies", "vector")
+    rows = member.select(F.struct("component", name).alias("t"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "cid", "copies", "vector")
     rows = rows.select(F.to_json("t").alias("tile"), "side", "cid", "copies", "vector").repartition("tile").sortWithinPartitions("tile")
     return rows.mapInArrow(_count(cosine), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
 

@@ -146,14 +146,14 @@ def _meet(mode: str, percent: int):
         # The low byte of every symbol is enough to rule pairs out: it can only make them look nearer.
         low = sig.astype(np.uint8)
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(q):
-            q = p
+        # A tile of two parts of which one is empty adds nothing, but does no harm.
+        p, q = (p if len(p) else q), (q if len(q) else p)
         d = _distances(low[p], low[q])
         small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
         d[(c[p][:, None] == c[q][None, :]) | (100 * small < percent * large)] = SYMBOLS + 1
         if mode == "all":
             i, j = np.nonzero(d <= RADIUS)
-            if q is p:
+            if len(p) == len(rows):
                 i, j = i[i < j], j[i < j]
             here = _first_places(sig[p[i]], sig[q[j]]) == rows[0][2]
             i, j = i[here], j[here]
@@ -162,7 +162,7 @@ def _meet(mode: str, percent: int):
             j = np.full(len(p), np.minimum(d, RADIUS + 1).sum(axis=0).argmin())
         else:
             i, j = _nearest(d, c[p])
-            if q is not p:
+            if len(p) < len(rows):
                 k, m = _nearest(d.T, c[q])
                 i, j = np.concatenate([i, m]), np.concatenate([j, k])
         keep = d[i, j] <= RADIUS
