@@ -1,13 +1,15 @@
 """Embedding near-dedup by sorted projection passes.
 
-Every pass hashes vectors with its own random projections; the signs, concatenated, order the vectors of a label
-lexicographically, so that near vectors tend to be neighbours. In each pass a vector is compared with its block and at
-least its WINDOW next neighbours; verified pairs are united over the passes. Links are then counted by comparing every
+Every pass hashes vectors, less their mean, with its own random projections; the signs, concatenated, order the vectors
+of a label lexicographically, so that near vectors tend to be neighbours. In each pass a vector is compared with its
+block and at least its WINDOW next neighbours; verified pairs are united over the passes, of which there are the more,
+the larger the largest label. Links are then counted by comparing every
 component with itself, tile by tile, so that no window cuts a dense group short. Equal vectors are one class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm.common import components, cut, table
+from khata.llm.common import components, cut, drop_cut, table
 
+#: Passes at least, and those of one batch, whose shuffles are gone before the next one's.
 PASSES = 8
+#: Share of the pairs just at the threshold that all passes together may miss, by the passes' number.
+MISSED = 0.02
 PROJECTIONS = 48
 WINDOW = 256
 COSINE = 0.93
 #: Positions in one block, compared with each other and the WINDOW before them; and rows of a tile's side, about.
 BLOCK = 1024
 SEED = 11
+#: A label has a mean of its own from this share of the rows on: so many means at most reach the driver.
+OWN_MEAN = 0.01
 
 
 def _usable(vector: str):
@@ -31,31 +38,94 @@ def _usable(vector: str):
     return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def _order_keys(passes: int, projections: int):
-    """cid, vector -> cid, pass, key: the signs of one pass's projections as a number."""
+def _slots(classes: DataFrame, block: int) -> tuple[dict[tuple, int], int]:
+    """((label or None for all, length) -> number of a mean, rows of the largest label); 2 / OWN_MEAN slots at most."""
+    sizes = cut(classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n")))
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    least = max(block, OWN_MEAN * total)
+    lengths = sizes.groupBy("dim").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    own = sizes.where(F.col("n") >= least).collect()
+    return {k: i for i, k in enumerate([*((None, r["dim"]) for r in lengths), *((r["label"], r["dim"]) for r in own)])}, most
+
+
+def _means(classes: DataFrame, slots: dict[tuple, int]) -> dict[int, np.ndarray]:
+    """The mean unit vector of each slot: sums of every task, added up by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            keys, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            by: dict[int, list[int]] = {}
+            for i, (key, v) in enumerate(zip(keys, vectors)):
+                for k in ((None, len(v)), (key, len(v))):
+                    if k in slots:
+                        by.setdefault(slots[k], []).append(i)
+            for slot, at in by.items():
+                had = sums.setdefault(slot, [0, 0.0])
+                had[0] += len(at)
+                had[1] = had[1] + _unit([vectors[i] for i in at]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([x.tolist() for _, x in sums.values()], pa.list_(pa.float64()))], names=["slot", "n", "total"])
+
+    if not slots:
+        return {}
+    parts = classes.select("label", "vector").mapInArrow(run, "slot int, n long, total array<double>").select("slot", "n", F.posexplode("total").alias("at", "x"))
+    rows = parts.groupBy("slot", "at").agg((F.sum("x") / F.sum("n")).alias("x")).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("at", "x")))["x"].alias("mean")).collect()
+    return {r["slot"]: np.array(r["mean"]) for r in rows}
+
+
+def _met(rows: int, agree: float, window: int, block: int) -> float:
+    """Chance that one pass compares a pair whose signs agree with probability `agree`, in a label of so many rows.
+
+    Codes are taken as even: a pair that parts after k signs lies in a run of rows / 2^k, its two halves' sides apart.
+    """
+    out, places = 0.0, (np.arange(256) + 0.5) / 256
+    weight = np.minimum(places, 1 - places)
+    for k in range(PROJECTIONS):
+        reached = np.clip(1 - (places * rows / 2**k - window) / block, 0, 1)
+        out += agree**k * (1 - agree) * float(reached @ weight / weight.sum())
+    return out
+
+
+def passes_for(rows: int, cosine: float, window: int, block: int, mean: float = 0.0) -> int:
+    """Passes that leave out MISSED of the pairs at the threshold. mean: squared length of the mean that was taken off.
+
+    Less the mean, a pair at the threshold is as far apart as before, but its vectors are shorter, so their angle is
+    wider. Where the rest is so short that any two vectors are links, it counts as just that long.
+    """
+    rest = max(1 - mean, 2 * (1 - cosine), 1e-9)
+    agree = 1 - math.acos(max(-1.0, 1 - (1 - cosine) / rest)) / math.pi
+    met = min(_met(rows, agree, window, block), 1 - 1e-9)
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-met)))
+
+
+def _order_keys(first: int, passes: int, projections: int, slots: dict[tuple, int], means: dict[int, np.ndarray]):
+    """cid, label, vector -> cid, label, pass, key: the signs of the passes' projections as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             cid = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = batch.column(1).to_pylist()
+            labels, vectors = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             size = np.array([len(v) for v in vectors])
             key = np.zeros((len(vectors), passes), dtype=np.int64)
             for dim in np.unique(size):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, int(dim)]).standard_normal((int(dim), passes * projections))
+                    planes[dim] = np.concatenate([np.random.default_rng([SEED, int(dim), first + p]).standard_normal((int(dim), projections)) for p in range(passes)], axis=1)
                 at = np.flatnonzero(size == dim)
-                x = np.array([vectors[i] for i in at], dtype=np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
+                x = _unit([vectors[i] for i in at])
+                slot = np.array([slots.get((labels[i], int(dim)), slots.get((None, int(dim)), -1)) for i in at])
+                for s in np.unique(slot[slot >= 0]):
+                    x[slot == s] -= means[s]
                 sign = (x @ planes[dim] > 0).reshape(len(at), passes, projections)
                 key[at] = sign @ (1 << np.arange(projections - 1, -1, -1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, passes)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(cid))), pa.array(key.ravel())], names=["cid", "pass", "key"])
+            again = pa.array(np.repeat(np.arange(len(cid)), passes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(cid))), pa.array(key.ravel())], names=["cid", "label", "pass", "key"])
 
     return run
 
 
-def _positions(keys: DataFrame) -> DataFrame:
-    """cid, pass, at: place in the order of (pass, label, key, cid), by a range shuffle and the partitions' sizes."""
+def _positions(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, pass, label, at; the written table that it reads), at: place in the order of (pass, label, key, cid), by a range shuffle and the partitions' sizes."""
     order = ["pass", "label", "key", "cid"]
     placed = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mono", F.monotonically_increasing_id()).select("cid", "pass", "label", F.shiftright("mono", 33).alias("part"), (F.col("mono") % (1 << 33)).alias("i")))
     sizes = placed.groupBy("part").count().collect()  # one row a partition
@@ -64,7 +134,7 @@ def _positions(keys: DataFrame) -> DataFrame:
         offsets.append((r["part"], base))
         base += r["count"]
     table_ = keys.sparkSession.createDataFrame(offsets, "part long, base long")
-    return placed.join(F.broadcast(table_), "part").select("cid", "pass", "label", (F.col("base") + F.col("i")).alias("at"))
+    return placed.join(F.broadcast(table_), "part").select("cid", "pass", "label", (F.col("base") + F.col("i")).alias("at")), placed
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -117,14 +187,30 @@ def _unite(cosine: float):
 
 
 def candidates(classes: DataFrame, cosine: float, passes: int, window: int, block: int) -> DataFrame:
-    """a, b: pairs of classes (cid, label, vector) that verified links of the passes connect."""
-    keys = classes.select("cid", "vector").mapInArrow(_order_keys(passes, PROJECTIONS), "cid long, pass int, key long").join(classes.select("cid", "label"), "cid")
-    placed = _positions(keys)
-    # A row's own block, and the next one where that begins within the window.
-    home = F.floor(F.col("at") / block)
-    blocks = F.when(F.col("at") % block >= block - window, F.array(home, home + 1)).otherwise(F.array(home))
-    rows = placed.withColumn("block", F.explode(blocks)).select("cid", (F.col("block") * passes + F.col("pass")).alias("block"), "label").join(classes.select("cid", "vector"), "cid")
-    return rows.select("block", "label", "cid", "vector").repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_unite(cosine), "a long, b long")
+    """a, b: pairs of classes (cid, label, vector) that verified links of the passes connect; written.
+
+    passes: at least so many; more where the largest label has too many rows for them.
+    """
+    slots, most = _slots(classes, block)
+    means = _means(classes, slots)
+    mean = max((float(m @ m) for m in means.values()), default=0.0)
+    every = max(passes, passes_for(most, cosine, window, block, mean))
+    label = dict(classes.dtypes)["label"]
+    found = []
+    for first in range(0, every, PASSES):
+        some = min(PASSES, every - first)
+        keys = classes.select("cid", "label", "vector").mapInArrow(_order_keys(first, some, PROJECTIONS, slots, means), f"cid long, label {label}, pass int, key long")
+        at, placed = _positions(keys)
+        # A row's own block, and the next one where that begins within the window.
+        home = F.floor(F.col("at") / block)
+        blocks = F.when(F.col("at") % block >= block - window, F.array(home, home + 1)).otherwise(F.array(home))
+        rows = at.withColumn("block", F.explode(blocks)).select("cid", (F.col("block") * some + F.col("pass")).alias("block"), "label").join(classes.select("cid", "vector"), "cid")
+        found.append(cut(rows.select("block", "label", "cid", "vector").repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_unite(cosine), "a long, b long").distinct()))
+        drop_cut(placed)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _count(cosine: float):
@@ -174,7 +260,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_: str = "vec_id"
     groups = named.groupBy("label", "digest").agg(F.min("id").alias("cid"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = cut(groups)
     member = cut(named.select("id", "label", "digest").join(classes.select("label", "digest", "cid", "copies"), ["label", "digest"]).select("id", "cid", "copies"))
-    tied = cut(candidates(classes.select("cid", "label", "vector"), cosine, passes, window, block))
+    tied = candidates(classes.select("cid", "label", "vector"), cosine, passes, window, block)
     found = components(tied)
     other = count_links(classes.select("cid", "copies", "vector"), found, cosine, block)
     whole = member.join(other, "cid", "left").join(found.withColumnRenamed("id", "cid"), "cid", "left")

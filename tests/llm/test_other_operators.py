@@ -53,6 +53,29 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.8])
+def test_embedding_recall_in_a_label_far_larger_than_a_block(spark, mean):
+    """Isolated pairs just above the threshold, round a mean or none; 3,750 blocks of 8."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(unit(rng.standard_normal((30_000, 64))) + mean * unit(np.ones((1, 64))))
+    side = rng.standard_normal((2_000, 64))
+    side = unit(side - (side * x[:2_000]).sum(axis=1, keepdims=True) * x[:2_000])
+    x[2_000:4_000] = 0.935 * x[:2_000] + math.sqrt(1 - 0.935**2) * side
+    links = {(int(i) + at, int(j)) for at in range(0, 30_000, 3_000) for i, j in zip(*np.nonzero(x[at : at + 3_000] @ x.T >= 0.93)) if i + at < j}
+    assert len(links) >= 2_000
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    component = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_vectors(df, block=8, window=2).collect()}
+    recall = sum(component[i] == component[j] for i, j in links) / len(links)
+    print(f"recall {recall:.4f} of {len(links)}")
+    assert recall >= 0.95
+
+
+def test_passes_grow_with_the_label():
+    some = [embedding_dedup.passes_for(n, 0.93, 256, 1024) for n in (0, 10**4, 10**6, 10**8)]
+    assert some == sorted(some) and some[0] == 1 and some[-1] > embedding_dedup.PASSES
+
+
 def accuracy(spark, query, label):
     scores = {r["doc_id"]: (r["score"], r["predicted"]) for r in query(spark, SF).where("held_out").collect()}
     known = [(scores[r["doc_id"]], r[label]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["doc_id"] in scores and r[label] is not None]
