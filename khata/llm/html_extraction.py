@@ -1,8 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node of a page belongs to a root-to-leaf tag path. Text length and punctuation are aggregated per path, put
-in page order, smoothed with a Gaussian window, fused into one score and thresholded by its spread; the element that
-holds most of the selected text is the content, less what its markup names as something else.
+in page order, smoothed with a Gaussian window, fused into one score and thresholded by its spread. The selected paths decide
+which blocks are kept. Markup is a prior: blocks are sought inside main and article elements where those hold selected
+text, else inside the element that holds most of it, less what its markup names as something else; of several articles
+those count that hold a fair share of the selected text of the fullest one.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from khata.llm.common import table
 SMOOTH = (0.06, 0.24, 0.4, 0.24, 0.06)
 SPREAD = 0.5
 HOLDS = 0.75
+#: An article counts beside the fullest one of its page from this share of that one's selected text on.
+SHARE = 0.25
 #: A list or table with this share of its text in links is a menu.
 LINKS = 0.7
 
 # The HTML vocabulary.
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp plaintext template svg math".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -48,6 +53,7 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<!-
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ARTICLE = re.compile(r"\brole\s*=\s*[\"']?article\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 
 
@@ -80,6 +86,7 @@ class _Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.dropped, self.main = ["#root"], [-1], [False], [False]
         self.path: list[tuple] = [()]
+        self.article, self.block = [0], [0]  # the nearest article element, and the nearest one that is not inline
         self.nodes: list[tuple[int, str, bool]] = []
         self.open, self.links = [0], 0
         at, lower = 0, None
@@ -128,6 +135,8 @@ class _Page:
         self.path.append((*self.path[up], name) if name not in _VOID else self.path[up])
         self.dropped.append(self.dropped[up] or drop)
         self.main.append(inside or main)
+        self.article.append(len(self.tag) - 1 if main and (name == "article" or _ARTICLE.search(attributes)) else self.article[up])
+        self.block.append(len(self.tag) - 1 if name not in _INLINE else self.block[up])
         if name not in _INLINE:
             self.nodes.append((len(self.tag) - 1, " ", False))
         if name not in _VOID:
@@ -183,6 +192,24 @@ def _selected_paths(page: _Page) -> set[tuple]:
     return chosen or set(paths)
 
 
+def _articles(page: _Page, weight: list[int]) -> set[int]:
+    """Articles whose own text is main text: the fullest one, those it lies in, and those with a fair share of its text.
+
+    weight: selected text of each element alone. 0 stands for what lies in no article.
+    """
+    own: dict[int, int] = {}
+    for e, w in enumerate(weight):
+        if page.main[e]:
+            own[page.article[e]] = own.get(page.article[e], 0) + w
+    fullest = max(own, key=own.__getitem__)
+    out = {a for a, w in own.items() if w >= SHARE * own[fullest]}
+    for a in list(out):
+        while a:
+            a = page.article[page.parent[a]]
+            out.add(a)
+    return out
+
+
 def _smooth(values: list[float]) -> list[float]:
     half = len(SMOOTH) // 2
     out = []
@@ -206,6 +233,9 @@ def extract_main_text(source: str | None) -> str:
         linked[element] += size * link
         if not page.dropped[element] and page.path[element] in chosen:
             weight[element] += size
+    # A block is kept with all its inline text where a path of it is selected.
+    kept = {page.path[page.block[e]] for e, text, _ in page.nodes if text.strip() and page.path[e] in chosen}
+    alone = list(weight)
     for e in range(n - 1, 0, -1):
         up = page.parent[e]
         weight[up] += weight[e]
@@ -215,7 +245,8 @@ def extract_main_text(source: str | None) -> str:
     for e in range(1, n):
         menu[e] = menu[page.parent[e]] or (page.tag[e] in ("ul", "ol", "dl", "table") and total[e] > 0 and linked[e] > LINKS * total[e])
     if any(page.main[e] and weight[e] for e in range(n)):
-        inside = page.main
+        articles = _articles(page, alone)
+        inside = [page.main[e] and page.article[e] in articles for e in range(n)]
     else:
         root, children = 0, {}
         for e in range(1, n):
@@ -228,7 +259,13 @@ def extract_main_text(source: str | None) -> str:
         inside[root] = True
         for e in range(root + 1, n):
             inside[e] = inside[page.parent[e]]
-    return " ".join("".join(text for e, text, _ in page.nodes if inside[e] and not page.dropped[e] and not menu[e] or text == " ").split())
+
+    def selected(e: int) -> bool:
+        """On a selected path, or a heading, too short to reach the threshold, of an element that holds such text."""
+        block = page.block[e]
+        return page.path[block] in kept or page.tag[block] in _HEADINGS and weight[page.parent[block]] > 0
+
+    return " ".join("".join(text for e, text, _ in page.nodes if inside[e] and selected(e) and not page.dropped[e] and not menu[e] or text == " ").split())
 
 
 def extract_pages(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

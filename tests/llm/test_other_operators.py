@@ -26,6 +26,18 @@ def test_main_text_of_pages(spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_selected_paths_and_the_fullest_article_give_the_main_text():
+    long = "<p>A long paragraph of the story, with commas, and marks; it goes on for a good while, as paragraphs of stories do.</p>" * 6
+    teasers = "".join(f"<article><h3>Story {i}</h3><p>A teaser, of one line.</p></article>" for i in range(4))
+    reader = "<article><p>I liked this, thanks.</p></article>"
+    rows = "".join(f"<div><div><span>{i}</span></div><div><span>views</span></div><div><ul><li><i>x{i}</i></li></ul></div></div>" for i in range(8))
+    text = html_extraction.extract_main_text(f"<body><main><h1>Head</h1><article>{long}{reader}<section><table><tr><td><div>{rows}</div></td></tr></table></section></article>{teasers}</main></body>")
+    assert text.startswith("Head A long paragraph") and text.count("A long paragraph") == 6
+    assert not any(x in text for x in ("Story", "teaser", "I liked", "views", "x3"))
+    two = html_extraction.extract_main_text(f"<body><article>{long}</article><article>{long}</article></body>")
+    assert two.count("A long paragraph") == 12
+
+
 def test_embedding_links_against_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 16))
