@@ -9,18 +9,16 @@ from khata.llm.decontamination import drop_leaks
 from khata.llm.minhash_dedup import keep_one
 from khata.llm.mixing import mix
 from khata.llm.suffix_array import strip_repeats
-from khata.llm.toxicity import fit, held_out, reject, train_sample
+from khata.llm.toxicity import THRESHOLD, fit, held_out, reject, train_sample
 
-#: A document is rejected as toxic where the odds say so, not at the lower score that only predicts.
-REJECT_TOXIC = 0.5
 #: Passages that repeat are cut from this many bytes on: about 35 words, so that any of over 50 words is caught.
 PASSAGE_BYTES, PASSAGE_SEED = 200, 32
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns outside the held-out fold of the labels."""
+    """Documents that op5_toxicity doesn't predict toxic; it learns outside the held-out fold of the labels."""
     model = fit(train_sample(docs, table(spark, sf_dir, "labels"), "toxic", held_out("doc_id", 4, 2)))
-    return reject(docs, model, REJECT_TOXIC)
+    return reject(docs, model, THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
