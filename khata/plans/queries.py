@@ -589,10 +589,15 @@ def apply_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.apply_templates(m, templates.induce(m)).select("seq", "amount_paise", "balance_paise", "merchant")
 
 
+def _admitted(messages: DataFrame) -> DataFrame:
+    """All messages that become entries, under the issuer that build_entries gives them."""
+    return gating.gate(messages).where("gate.admit").withColumn("issuer", F.col("gate.entity")).drop("gate")
+
+
 @query()
 def ledger_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = load(spark, sf_dir, "messages").withColumn("received_at", F.timestamp_seconds("t_sec"))
-    return build_entries(m, templates.induce(_issued(spark, sf_dir).withColumn("issuer", senders.normalise_sender(F.col("sender"))["entity"])))
+    return build_entries(m, templates.induce(_admitted(m)))
 
 
 @query(
