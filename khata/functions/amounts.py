@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from khata.functions.text import EDGE, WS, found
 
+# The grammar of amounts.
 CURRENCY = r"(?:rs\.?|inr|₹)"
 MULTIPLIER = "(k|lakhs?|lac|l|crores?|cr)"
 NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
@@ -20,6 +21,34 @@ def scale_to_paise(core: Column, multiplier: Column) -> Column:
     return F.round(value, 0).try_cast("bigint")
 
 
+def _led(strict_boundary: bool) -> str:
+    return f"(?i){CURRENCY}{WS}*([0-9a-z.,]+)(?:{WS}+{MULTIPLIER}{EDGE if strict_boundary else ''})?"
+
+
+_BARE = f"(?i){EDGE}{NUMBER}{WS}*{MULTIPLIER}{EDGE}"
+_GLUED = r"(?i)^([0-9.,]+)(k|lakhs|lakh|lac|l|crores|crore|cr)\z"
+
+
+def _matched(body: Column, led: str) -> tuple[Column, Column]:
+    """The first amount with a currency marker, and the first bare one."""
+    return found(body, led), found(body, _BARE)
+
+
+def _parts(led: Column, bare: Column, pattern: str) -> tuple[Column, Column]:
+    """(what stands for the number, its multiplier) of the match that counts."""
+    return F.coalesce(found(led, pattern, 1), found(bare, _BARE, 1)), F.coalesce(found(led, pattern, 2), F.when(led.isNull(), found(bare, _BARE, 2)))
+
+
+def _unglued(core: Column, word: Column) -> tuple[Column, Column]:
+    """The same, with a multiplier that is glued to the number taken off it."""
+    glued = word.isNull() & core.rlike(_GLUED)
+    return F.when(glued, F.regexp_extract(core, _GLUED, 1)).otherwise(core), F.when(glued, F.regexp_extract(core, _GLUED, 2)).otherwise(word)
+
+
+def _value(core: Column, word: Column) -> Column:
+    return F.when(core.rlike(r"^[0-9][0-9,]*(?:\.[0-9]+)?\z"), scale_to_paise(core, word))
+
+
 def parse_amount(body: Column, strict_boundary: bool = False) -> Column:
     """struct(paise, confidence, matched) of the first amount of a text.
 
@@ -27,17 +56,21 @@ def parse_amount(body: Column, strict_boundary: bool = False) -> Column:
     and null, however plausible a part of it is. Without one, a bare number with a multiplier counts. By default a
     multiplier needs no right boundary ("Rs 65,000 credited" is read with "cr"); strict_boundary asks for one.
     """
-    led = f"(?i){CURRENCY}{WS}*([0-9a-z.,]+)(?:{WS}+{MULTIPLIER}{EDGE if strict_boundary else ''})?"
-    bare = f"(?i){EDGE}{NUMBER}{WS}*{MULTIPLIER}{EDGE}"
-    matched, blob, spaced = (found(body, led, i) for i in range(3))
-    glued = r"(?i)^([0-9.,]+)(k|lakhs|lakh|lac|l|crores|crore|cr)\z"
-    is_glued = spaced.isNull() & F.coalesce(blob.rlike(glued), F.lit(False))
-    core = F.when(is_glued, F.regexp_extract(blob, glued, 1)).otherwise(blob)
-    word = F.when(is_glued, F.regexp_extract(blob, glued, 2)).otherwise(spaced)
-    clean = core.rlike(r"^[0-9][0-9,]*(?:\.[0-9]+)?\z")
-    paise = F.when(matched.isNotNull(), F.when(clean, scale_to_paise(core, word))).otherwise(scale_to_paise(found(body, bare, 1), found(body, bare, 2)))
-    matched = F.coalesce(matched, found(body, bare))
-    return F.struct(paise.alias("paise"), F.when(paise.isNotNull(), "high").otherwise("low").alias("confidence"), matched.alias("matched"))
+    led, bare = _matched(body, _led(strict_boundary))
+    paise = _value(*_unglued(*_parts(led, bare, _led(strict_boundary))))
+    return F.struct(paise.alias("paise"), F.when(paise.isNotNull(), "high").otherwise("low").alias("confidence"), F.coalesce(led, bare).alias("matched"))
+
+
+def with_paise(rows: DataFrame, **texts: Column) -> DataFrame:
+    """rows with the paise that parse_amount reads from each text, by name, in steps: each step's columns are
+    calculated once, where one expression would repeat them and outgrow what the JVM compiles."""
+    led = _led(False)
+    steps = [{f"_{n}_{i}": c for n, t in texts.items() for i, c in enumerate(_matched(t, led))}]
+    for step in (lambda a, b: _parts(a, b, led), _unglued):
+        steps.append({f"_{n}_{i}": c for n in texts for i, c in enumerate(step(F.col(f"_{n}_0"), F.col(f"_{n}_1")))})
+    for columns in [*steps, {n: _value(F.col(f"_{n}_0"), F.col(f"_{n}_1")) for n in texts}]:
+        rows = rows.withColumns(columns)
+    return rows.drop(*steps[0])
 
 
 def extract_amounts(body: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from khata.functions.text import ANY, EDGE, WS, W, found, trimmed
 
+# Slots, stop words and rewrites decide the fingerprints.
 SLOTS = ("AMT", "DATE", "ACCT", "NUM", "VPA", "MERCHANT")
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _MULTIPLIER = "(?:k|lakhs?|lac|l|crores?|cr)"

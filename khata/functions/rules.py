@@ -7,30 +7,63 @@ import json
 from dataclasses import dataclass, fields, replace
 
 # The rule lists.
-_MERCHANTS = {
-    "Food": "zomato swiggy dominos mcdonalds blinkit zepto bigbasket",
-    "Travel": "uber ola rapido irctc makemytrip redbus",
-    "Shopping": "amazon flipkart myntra ajio nykaa",
-    "Entertainment": "netflix hotstar spotify bookmyshow",
-    "Healthcare": "pharmeasy 1mg apollo",
-    "Investments": "groww zerodha upstox",
-}
+_VERBS = ("debited", "credited", "spent", "withdrawn", "transferred", "transfer", "paid", "received", "sent", "purchase", "deducted", "debit", "credit", "added", "loaded", "load")
+_FAILED = ("declined", "could not", "unsuccessful", "reversed")
+_FUTURE = ("will be debited", "scheduled", "due on", "autopay", "e-mandate", "standing instruction", "emi due")
+_CONDITIONAL = ("has requested", "requesting", "collect request", "payment request")
+_HOLD = ("blocked", "on hold", "hold of", "pre-auth", "authorization")
+_MANDATE = ("mandate created", "mandate registered", "autopay set up")
+_REFUND = ("refund", "refunded", "reversal of", "credited back", "returned")
+_OPERATOR_PREFIXES = ("VM", "VX", "IX", "JD", "AX", "BP", "CP", "JM", "TX", "AD", "TD", "BZ", "BT")
+_CATEGORY_SUFFIXES = ("S", "T", "P", "G")
+_OWN_NODES = ("PAYTM", "AMZNPE", "AMAZONPAY", "PHONEPE", "MOBIKWIK", "FREECHARGE", "SLICE", "JUPITER", "FI", "OLAMONEY", "AIRTELMONEY", "JIOMONEY", "AMAZONPAYLATER", "LAZYPAY", "SIMPL")
+_MERCHANTS = (
+    ("zomato", "Food"),
+    ("swiggy", "Food"),
+    ("dominos", "Food"),
+    ("mcdonalds", "Food"),
+    ("blinkit", "Food"),
+    ("zepto", "Food"),
+    ("bigbasket", "Food"),
+    ("uber", "Travel"),
+    ("ola", "Travel"),
+    ("rapido", "Travel"),
+    ("irctc", "Travel"),
+    ("makemytrip", "Travel"),
+    ("redbus", "Travel"),
+    ("amazon", "Shopping"),
+    ("flipkart", "Shopping"),
+    ("myntra", "Shopping"),
+    ("ajio", "Shopping"),
+    ("nykaa", "Shopping"),
+    ("netflix", "Entertainment"),
+    ("hotstar", "Entertainment"),
+    ("spotify", "Entertainment"),
+    ("bookmyshow", "Entertainment"),
+    ("pharmeasy", "Healthcare"),
+    ("1mg", "Healthcare"),
+    ("apollo", "Healthcare"),
+    ("groww", "Investments"),
+    ("zerodha", "Investments"),
+    ("upstox", "Investments"),
+)
+_CATEGORIES = ("Food", "Travel", "Shopping", "Entertainment", "Healthcare", "Investments")
 
 
 @dataclass(frozen=True)
 class Rules:
-    transaction_verbs: tuple[str, ...] = tuple("debited credited spent withdrawn transferred transfer paid received sent purchase deducted debit credit added loaded load".split())
-    failed: tuple[str, ...] = ("declined", "could not", "unsuccessful", "reversed")
-    future: tuple[str, ...] = ("will be debited", "scheduled", "due on", "autopay", "e-mandate", "standing instruction", "emi due")
-    conditional: tuple[str, ...] = ("has requested", "requesting", "collect request", "payment request")
-    hold: tuple[str, ...] = ("blocked", "on hold", "hold of", "pre-auth", "authorization")
-    mandate: tuple[str, ...] = ("mandate created", "mandate registered", "autopay set up")
-    refund: tuple[str, ...] = ("refund", "refunded", "reversal of", "credited back", "returned")
-    operator_prefixes: tuple[str, ...] = tuple("VM VX IX JD AX BP CP JM TX AD TD BZ BT".split())
-    category_suffixes: tuple[str, ...] = ("S", "T", "P", "G")
-    own_nodes: tuple[str, ...] = tuple("PAYTM AMZNPE AMAZONPAY PHONEPE MOBIKWIK FREECHARGE SLICE JUPITER FI OLAMONEY AIRTELMONEY JIOMONEY AMAZONPAYLATER LAZYPAY SIMPL".split())
-    merchants: tuple[tuple[str, str], ...] = tuple((m, c) for c, names in _MERCHANTS.items() for m in names.split())
-    categories: tuple[str, ...] = ("Food", "Travel", "Shopping", "Entertainment", "Healthcare", "Investments")
+    transaction_verbs: tuple[str, ...] = _VERBS
+    failed: tuple[str, ...] = _FAILED
+    future: tuple[str, ...] = _FUTURE
+    conditional: tuple[str, ...] = _CONDITIONAL
+    hold: tuple[str, ...] = _HOLD
+    mandate: tuple[str, ...] = _MANDATE
+    refund: tuple[str, ...] = _REFUND
+    operator_prefixes: tuple[str, ...] = _OPERATOR_PREFIXES
+    category_suffixes: tuple[str, ...] = _CATEGORY_SUFFIXES
+    own_nodes: tuple[str, ...] = _OWN_NODES
+    merchants: tuple[tuple[str, str], ...] = _MERCHANTS
+    categories: tuple[str, ...] = _CATEGORIES
 
 
 @functools.cache

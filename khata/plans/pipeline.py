@@ -24,7 +24,7 @@ def build_entries(messages: DataFrame, templates: DataFrame | None = None, denyl
     """
     kept = gate(messages, denylist).where("gate.admit").withColumn("issuer", F.col("gate.entity")).drop("gate")
     if templates is not None:
-        kept = apply_templates(kept, templates, trusted_only=True).withColumnRenamed("amount_paise", "t_amount").withColumnRenamed("balance_paise", "t_balance").withColumnRenamed("merchant", "t_merchant").drop("template_found", "fingerprint")
+        kept = apply_templates(kept, templates, trusted_only=True).withColumnRenamed("amount_paise", "t_amount").withColumnRenamed("balance_paise", "t_balance").withColumnRenamed("merchant", "t_merchant").drop("template_found", "fingerprint", "skeleton")
     else:
         kept = kept.withColumns({"t_amount": F.lit(None).cast("bigint"), "t_balance": F.lit(None).cast("bigint"), "t_merchant": F.lit(None).cast("string")})
     body, date = F.col("body"), rf"(?i){EDGE}([0-9]{{1,2}}[-/][0-9]{{1,2}}(?:[-/][0-9]{{2,4}})?){EDGE}"

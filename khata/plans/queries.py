@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +11,9 @@ from khata.functions import amounts, classify, gating, ids, interest, masking, p
 from khata.functions.dates import parse_sms_date
 from khata.operators import aggregation, ledger, multipart, reconciliation, settlement, templates
 from khata.plans import dashboard as reports
-from khata.plans.inputs import SKELETONS, load, with_inputs
+from khata.plans.inputs import MERCHANTS, SHAPES, SKELETON, by_shape, load, quoted, with_inputs
 from khata.plans.pipeline import build_entries
+from khata.sources.space import new_folder, written
 from khata.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,34 +63,33 @@ def message_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gating.gate(m, denied).select("seq", "gate.reason", "gate.admit", "gate.buffered")
 
 
-_SHAPE = "CASE shape " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in SKELETONS.items()) + " END"
-
-
-@query(f"SELECT skeleton, sha256(skeleton) AS fingerprint, count(*) AS n, min(seq) AS first_seq FROM (SELECT seq, {_SHAPE} AS skeleton FROM messages) GROUP BY skeleton", "messages")
+@query(f"SELECT skeleton, sha256(skeleton) AS fingerprint, count(*) AS n, min(seq) AS first_seq FROM (SELECT seq, {SKELETON} AS skeleton FROM messages) GROUP BY skeleton", "messages")
 def mask_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = load(spark, sf_dir, "messages").select("seq", masking.mask(F.col("body")).alias("skeleton"), masking.fingerprint(F.col("body")).alias("fingerprint"))
+    m = templates.shape(load(spark, sf_dir, "messages").select("seq", "body"))
     return m.groupBy("skeleton", "fingerprint").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-@query("SELECT shape, count(*) AS n, 0 AS leaks FROM messages GROUP BY shape", "messages")
+_LEAKS = "regexp_matches(lower(body), '(rs\\.?|inr|₹|rupees)\\s*[0-9]') OR regexp_matches(body, '[0-9]{3}')"
+
+
+@query(f"SELECT shape, count(*) AS n, 0 AS leaks, count(*) FILTER (WHERE {_LEAKS}) AS body_leaks FROM messages GROUP BY shape", "messages")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = load(spark, sf_dir, "messages").withColumn("skeleton", masking.redact(F.col("body")))
-    return m.groupBy("shape").agg(F.count("*").alias("n"), F.count_if(masking.leak(F.col("skeleton")).isNotNull()).cast("int").alias("leaks"))
+    return m.groupBy("shape").agg(F.count("*").alias("n"), F.count_if(masking.leak(F.col("skeleton")).isNotNull()).cast("int").alias("leaks"), F.count_if(masking.leak(F.col("body")).isNotNull()).alias("body_leaks"))
 
 
 # Amounts and money -----------------------------------------------------------------------------------------------
 
-@query("SELECT seq, CASE WHEN shape IN (3, 4, 11) THEN NULL WHEN shape = 2 THEN 230000 ELSE paise END AS paise, CASE WHEN shape IN (3, 4, 11) THEN 'low' ELSE 'high' END AS confidence FROM messages", "messages")
+_PAISE = f"CAST({by_shape(lambda s: s.paise)} AS BIGINT)"
+
+
+@query(f"SELECT seq, {_PAISE} AS paise, CASE WHEN {_PAISE} IS NULL THEN 'low' ELSE 'high' END AS confidence FROM messages", "messages")
 def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = amounts.parse_amount(F.col("body"))
     return load(spark, sf_dir, "messages").select("seq", a["paise"].alias("paise"), a["confidence"].alias("confidence"))
 
 
-@query(
-    """SELECT seq, CASE WHEN shape IN (3, 11) THEN '' WHEN shape = 0 THEN CAST(paise AS STRING) || ',1200000' WHEN shape = 1 THEN CAST(paise AS STRING) || ',8500000'
-    WHEN shape = 2 THEN '230000' WHEN shape = 4 THEN '99900' ELSE CAST(paise AS STRING) END AS amounts FROM messages""",
-    "messages",
-)
+@query(f"SELECT seq, {by_shape(lambda s: ' || chr(44) || '.join(f'CAST({a} AS STRING)' for a in s.amounts) or quoted(''))} AS amounts FROM messages", "messages")
 def extract_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "messages").select("seq", F.array_join(amounts.extract_amounts(F.col("body")), ",").alias("amounts"))
 
@@ -111,8 +109,7 @@ def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT seq, CASE WHEN shape = 6 THEN 'future' WHEN shape = 9 THEN 'conditional' WHEN shape = 7 THEN 'failed' WHEN shape = 8 THEN 'hold' ELSE 'actual' END AS modality,
-    CASE WHEN shape IN (0, 2, 6, 8) THEN 'out' WHEN shape IN (1, 10) THEN 'in' END AS verb, false AS topup, false AS reversal FROM messages""",
+    f"SELECT seq, {by_shape(lambda s: quoted(s.modality))} AS modality, {by_shape(lambda s: quoted(s.verb))} AS verb, {by_shape(lambda s: str(s.topup))} AS topup, {by_shape(lambda s: str(s.reversal))} AS reversal FROM messages",
     "messages",
 )
 def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +184,7 @@ _NAME = "CASE WHEN ref IS NOT NULL THEN u || '|HDFCBK|ref:' || ref ELSE u || '|H
 
 @query(
     f"""SELECT seq, ref AS reference, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS entry_id
-    FROM (SELECT seq, ref, sha1(unhex('b9f8a4e21c3d4f5a9b6e7d8c9a0b1c2d') || encode({_NAME})) AS h FROM (SELECT *, CAST(user_id AS STRING) AS u, CASE WHEN shape = 10 THEN '4123456' || CAST(seq AS STRING) END AS ref FROM messages))""",
+    FROM (SELECT seq, ref, sha1(unhex('b9f8a4e21c3d4f5a9b6e7d8c9a0b1c2d') || encode({_NAME})) AS h FROM (SELECT *, CAST(user_id AS STRING) AS u, {by_shape(lambda s: 'x_ref' if s.reference else 'NULL')} AS ref FROM messages))""",
     "messages",
 )
 def entry_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,13 +287,13 @@ def breakdown_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 40")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return s.select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("id"), (F.col("s_suppkey") % 12 + 1).cast("int").alias("default_category_id"), F.concat(F.lit("t"), (F.col("s_suppkey") % 4).cast("string")).alias("default_tag_id"))
 
 
 @query(
     """SELECT e.id, coalesce(category_id, CAST(s_suppkey % 12 + 1 AS INT)) AS effective_category_id, coalesce(tag_id, 't' || CAST(s_suppkey % 4 AS STRING)) AS effective_tag_id
-    FROM entries e LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 40) ON payee_id = 'p' || CAST(s_suppkey AS STRING)""",
+    FROM entries e LEFT JOIN supplier ON payee_id = 'p' || CAST(s_suppkey AS STRING)""",
     "entries",
 )
 def effective_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,36 +565,52 @@ def reassemble_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _issued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "messages").where("shape in (0, 1, 2, 6, 7, 8, 9)").withColumn("issuer", F.when(F.col("shape") != 2, F.lit("HDFCBK")))
+    """All messages, masked once, under one issuer but for those of none."""
+    m = load(spark, sf_dir, "messages").select("seq", "body", F.when(F.col("shape") != 2, F.lit("YESBNK")).alias("issuer"))
+    return written(templates.shape(m))
+
+
+_TRUSTED, _READ = by_shape(lambda s: s.trusted), f"CAST({by_shape(lambda s: s.read)} AS BIGINT)"
 
 
 @query(
-    f"""SELECT CASE WHEN shape = 2 THEN '' ELSE 'HDFCBK' END AS issuer, sha256({_SHAPE}) AS fingerprint, 'trusted' AS trust_state, 5 AS validation_runs FROM messages WHERE shape IN (0, 1, 2, 6, 7, 8, 9) GROUP BY 1, 2""",
+    f"""SELECT CASE WHEN shape = 2 THEN '' ELSE 'YESBNK' END AS issuer, sha256({SKELETON}) AS fingerprint, CASE WHEN bool_and({_TRUSTED}) THEN 'trusted' ELSE 'flagged' END AS trust_state,
+    CASE WHEN bool_and({_TRUSTED}) THEN 5 ELSE 0 END AS validation_runs FROM messages GROUP BY 1, 2""",
     "messages",
 )
 def induce_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.induce(_issued(spark, sf_dir)).drop("pattern", "groups")
+    return templates.induce(_issued(spark, sf_dir)).drop("pattern", "groups", "reading")
 
 
-@query(
-    """SELECT seq, CASE WHEN shape = 2 THEN 230000 ELSE paise END AS amount_paise, CASE shape WHEN 0 THEN 1200000 WHEN 1 THEN 8500000 END AS balance_paise,
-    CASE shape WHEN 0 THEN 'Zomato' WHEN 2 THEN 'Flipkart' WHEN 6 THEN 'your SIP' WHEN 7 THEN 'insufficient balance' WHEN 8 THEN 'hotel booking pre-authorization' END AS merchant FROM messages WHERE shape IN (0, 1, 2, 6, 7, 8, 9)""",
-    "messages",
-)
+@query(f"SELECT seq, {_READ} AS amount_paise, CAST({by_shape(lambda s: s.balance)} AS BIGINT) AS balance_paise, {by_shape(lambda s: s.merchant)} AS merchant FROM messages", "messages")
 def apply_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _issued(spark, sf_dir)
     return templates.apply_templates(m, templates.induce(m)).select("seq", "amount_paise", "balance_paise", "merchant")
 
 
-def _admitted(messages: DataFrame) -> DataFrame:
-    """All messages that become entries, under the issuer that build_entries gives them."""
-    return gating.gate(messages).where("gate.admit").withColumn("issuer", F.col("gate.entity")).drop("gate")
+_CATEGORY = "CASE x_merchant " + " ".join(f"WHEN '{m}' THEN {quoted(c)}" for m, c in MERCHANTS) + " END"
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 
 
-@query()
+@query(
+    f""", e AS (SELECT seq, user_id, {_ENTITY} AS issuer, {by_shape(lambda s: quoted(s.modality))} AS modality, {by_shape(lambda s: quoted(s.verb))} AS verb, {by_shape(lambda s: str(s.topup))} AS topup, {by_shape(lambda s: 'x_tail' if s.tail else 'NULL')} AS tail,
+      CAST(coalesce(CASE WHEN {_TRUSTED} THEN {by_shape(lambda s: s.read)} END, {by_shape(lambda s: s.amounts[0] if s.amounts else 'NULL')}) AS BIGINT) AS amount_paise, CAST({by_shape(lambda s: s.balance)} AS BIGINT) AS balance_after_paise,
+      CASE WHEN {_TRUSTED} THEN {by_shape(lambda s: s.merchant)} END AS merchant_text, CASE WHEN {_TRUSTED} AND {by_shape(lambda s: str('x_merchant' in s.merchant))} THEN {_CATEGORY} END AS category, {by_shape(lambda s: 'x_ref' if s.reference else 'NULL')} AS reference,
+      {by_shape(lambda s: "split_part(x_vpa, '@', 1)" if 'vpa' in s.body else 'NULL')} AS vpa, t_sec, {by_shape(lambda s: "CAST(epoch(strptime(x_day, '%d-%m-%y')) AS BIGINT)" if s.day else 't_sec')} AS txn_sec
+      FROM messages WHERE {by_shape(lambda s: str(s.reason == 'admit'))} AND sender NOT LIKE '+%'),
+    k AS (SELECT *, issuer = 'PAYTM' AS wallet, CASE WHEN issuer = 'PAYTM' THEN 'wallet|' || issuer WHEN tail IS NOT NULL THEN 'bank|' || issuer || '|' || tail ELSE 'unattributed|' || issuer END AS line_key,
+      CASE WHEN topup THEN 'TOPUP' WHEN issuer = 'PAYTM' AND verb = 'in' THEN 'TRANSFER' WHEN coalesce(verb, 'out') = 'out' THEN 'EXPENSE' ELSE 'INCOME' END AS direction FROM e),
+    n AS (SELECT *, sha1(unhex('b9f8a4e21c3d4f5a9b6e7d8c9a0b1c2d') || encode(CAST(user_id AS STRING) || '|' || line_key || '|' || CASE WHEN reference IS NOT NULL THEN 'ref:' || reference ELSE direction || '|' || CAST(amount_paise AS STRING) || '|' || CAST(t_sec // 10 AS STRING) END)) AS h,
+      coalesce(vpa, lower(merchant_text)) AS payee_key, direction IN ('EXPENSE', 'INCOME') AND modality = 'actual' AS is_counted FROM k)
+    SELECT {_UUID} AS id, min(seq) AS seq, {', '.join(f'arg_max_null({c}, n.seq) AS {c}' for c in ('user_id', 'issuer', 'line_key', 'direction', 'modality', 'amount_paise', 'balance_after_paise', 'merchant_text', 'category', 'payee_key', 'reference', 'txn_sec', 'is_counted'))} FROM n GROUP BY 1""",
+    "messages",
+)
 def ledger_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = load(spark, sf_dir, "messages").withColumn("received_at", F.timestamp_seconds("t_sec"))
-    return build_entries(m, templates.induce(_admitted(m)))
+    """Messages to ledger: templates are induced from all messages that become entries, masked once."""
+    m = load(spark, sf_dir, "messages").select("seq", "user_id", "sender", "body", F.timestamp_seconds("t_sec").alias("received_at"))
+    m = written(templates.shape(m))
+    learned = templates.induce(gating.gate(m).where("gate.admit").withColumn("issuer", F.col("gate.entity")))
+    return build_entries(m, learned).withColumn("txn_sec", F.unix_seconds("txn_time")).drop("txn_time")
 
 
 @query(
@@ -613,23 +626,18 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dashboard(*_ledger(spark, sf_dir))
 
 
-def _space(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/khata-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(ordinal % 500 AS STRING) AS id, min(ordinal) AS seq, arg_max(amount_captured_paise, ordinal) AS amount_captured_paise FROM entries GROUP BY 1", "entries")
 def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _space(spark)
+    at = new_folder(spark)
     load(spark, sf_dir, "entries").select((F.col("ordinal") % 500).cast("string").alias("id"), F.col("ordinal").alias("seq"), "amount_captured_paise").write.parquet(f"{at}/out")
     stream = spark.readStream.schema("id string, seq bigint, amount_captured_paise bigint").parquet(f"{at}/out")
     ingest.drain(stream, f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/ledger/v0")
 
 
-@query("SELECT seq FROM messages WHERE shape IN (0, 1, 2, 6, 7, 8, 9, 10) AND sender NOT LIKE '+%'", "messages")
+@query(f"SELECT seq FROM messages WHERE {by_shape(lambda s: str(s.reason == 'admit'))} AND sender NOT LIKE '+%'", "messages")
 def stream_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _space(spark)
+    at = new_folder(spark)
     load(spark, sf_dir, "messages").select("user_id", "sender", "body", "seq").write.parquet(f"{at}/in")
     stream = spark.readStream.schema("user_id bigint, sender string, body string, seq bigint").parquet(f"{at}/in")
     ingest.admitted(stream).select("seq").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()

@@ -1,6 +1,5 @@
 """Every registered ledger query against its SQL, and vectors of our own for the message functions."""
 
-import hashlib
 import math
 
 import duckdb
@@ -9,9 +8,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from khata.functions import amounts, masking, senders
-from khata.operators import templates
-from khata.plans import queries
-from khata.plans.inputs import SKELETONS, load
 from khata.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -68,15 +64,3 @@ def test_masks_share_a_shape_and_leak_nothing(spark):
 def test_senders(spark):
     got = one(spark, lambda c: senders.normalise_sender(c)["entity"], "VM-HDFCBK", "JD-SBIINB-S", " ix-hdfcbk ")
     assert got == ["HDFCBK", "SBIINB", "HDFCBK"]
-
-
-def test_the_pipeline_induces_from_every_admitted_message(spark, monkeypatch):
-    """One template for each issuer and shape that the gate admits, refunds (shape 10) too."""
-    seen = []
-    induce = templates.induce
-    monkeypatch.setattr(templates, "induce", lambda m, *a: seen.append(m) or induce(m, *a))
-    queries.ledger_pipeline(spark, SF)
-    gated = queries.gating.gate(load(spark, SF, "messages")).where("gate.admit").select("seq", "shape", F.col("gate.entity").alias("issuer")).collect()
-    assert {r["seq"] for r in seen[0].select("seq").collect()} == {r["seq"] for r in gated} and any(r["shape"] == 10 for r in gated)
-    want = {(r["issuer"] or "", hashlib.sha256(SKELETONS[r["shape"]].encode()).hexdigest()) for r in gated}
-    assert {(r["issuer"], r["fingerprint"]) for r in templates.clusters(seen[0]).collect()} == want
