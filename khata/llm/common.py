@@ -184,6 +184,19 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def united(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of n places that each one is tied to by the pairs i, j."""
+    first = np.arange(n)
+    while True:
+        low, new = np.minimum(first[i], first[j]), first.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == first).all():
+            return first
+        first = new
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: (id, component) with the smallest reachable id, for every id in an edge.
 

@@ -3,9 +3,10 @@
 A signature has SYMBOLS minima of BITS bits each. Two texts at the similarity threshold differ in few symbols; up to
 RADIUS of them, the pigeonhole principle leaves one of CHUNKS chunks with at most one error, so all pairs within RADIUS
 meet under a key that is a chunk less one of its symbols. Equal shingle sets are one class and take part once. Buckets
-first tie their members to their medoid, which settles groups of copies without their pairs; then components meet their
-nearest ones, and at last all members that are still in different components meet, each pair once. Every link is
-confirmed on the full shingle sets.
+first tie their members to their medoid, which settles groups of copies without their pairs. Then all members that are
+still in different components meet. Where few pairs a row do, those pairs are confirmed; where most of a bucket does,
+as in a group of half-similar texts, no pair becomes a row: the group's full sets are compared tile by tile, and a tile
+returns no more links than it has rows. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm.common import Rolling, Words, as_bytes, chunks, components, cut, drop_cut, mix64, small_side, table, with_uid
+from khata.llm.common import Rolling, Words, as_bytes, chunks, components, cut, drop_cut, mix64, small_side, table, united, with_uid
 
 SYMBOLS, BITS, CHUNKS = 64, 16, 14
 #: Differing symbols within which all pairs are found: fewer than two in each chunk. At a similarity of 0.8 12.8 of 64
@@ -28,6 +29,10 @@ SHINGLE = 2
 PERCENT = 80
 #: Members of a bucket that are compared with each other at once.
 TILE = 1_000
+#: Pairs a row within the radius beyond which a tile is dense: its rows are then compared as a group.
+DENSE = 1
+#: Bytes of a tile's side of full sets; a row weighs ROW_BYTES besides its set.
+TILE_BYTES, ROW_BYTES = 8 << 20, 2_048
 #: Places whose keys alone tie groups together at first; the later comparisons take all.
 STAR_PLACES = (0, 20, 40, 60)
 #: Pairs of one text that are confirmed in one group; more are salted over several.
@@ -125,92 +130,166 @@ def _first_places(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(d: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each component of the rows its row that is nearest to any column, and that column."""
-    near = d.argmin(axis=1)
-    order = np.lexsort((d[np.arange(len(d)), near], c))
-    first = order[np.concatenate([[True], c[order][1:] != c[order][:-1]])]
-    return first, near[first]
+def _far(side: np.ndarray, c: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rows, distances) of a tile's two parts, or of its only part twice; SYMBOLS + 1 where no link can be."""
+    p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    p, q = (p if len(p) else q), (q if len(q) else p)
+    # The low byte of every symbol is enough to rule pairs out: it can only make them look nearer.
+    low = sig.astype(np.uint8)
+    d = _distances(low[p], low[q])
+    small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
+    d[(c[p][:, None] == c[q][None, :]) | (100 * small < percent * large)] = SYMBOLS + 1
+    return p, q, d
 
 
-def _meet(mode: str, percent: int):
-    """Buckets' rows (tile, side, place, uid, c, n, sig) in order -> candidate pairs a < b within RADIUS, of different c.
-
-    mode star: every member with the medoid; nearest: of every component the member that is nearest to another one;
-    all: all pairs of different components, each at the first key that its two signatures share and nowhere else.
-    """
-
-    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        side, uid, c, n = (np.array([r[i] for r in rows]) for i in (1, 3, 4, 5))
-        sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint16).reshape(-1, SYMBOLS)
-        # The low byte of every symbol is enough to rule pairs out: it can only make them look nearer.
-        low = sig.astype(np.uint8)
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        # A tile of two parts of which one is empty adds nothing, but does no harm.
-        p, q = (p if len(p) else q), (q if len(q) else p)
-        d = _distances(low[p], low[q])
-        small, large = np.minimum(n[p][:, None], n[q][None, :]), np.maximum(n[p][:, None], n[q][None, :])
-        d[(c[p][:, None] == c[q][None, :]) | (100 * small < percent * large)] = SYMBOLS + 1
-        if mode == "all":
-            i, j = np.nonzero(d <= RADIUS)
-            if len(p) == len(rows):
-                i, j = i[i < j], j[i < j]
-            here = _first_places(sig[p[i]], sig[q[j]]) == rows[0][2]
-            i, j = i[here], j[here]
-        elif mode == "star":
-            i = np.arange(len(p))
-            j = np.full(len(p), np.minimum(d, RADIUS + 1).sum(axis=0).argmin())
-        else:
-            i, j = _nearest(d, c[p])
-            if len(p) < len(rows):
-                k, m = _nearest(d.T, c[q])
-                i, j = np.concatenate([i, m]), np.concatenate([j, k])
-        keep = d[i, j] <= RADIUS
-        x, y = uid[p[i[keep]]], uid[q[j[keep]]]
-        return np.minimum(x, y), np.maximum(x, y)
+def _by_tile(solve, empty: pa.RecordBatch):
+    """A mapInArrow function: the record batch of solve(rows) for each run of rows with one first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out, size = [], [], 0
+        held, out, size = [], [empty], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[0] != held[-1][0]:
                     out.append(solve(held))
-                    size += len(out[-1][0])
+                    size += out[-1].num_rows
                     held = []
                     if size > 200_000:
-                        yield _pairs(out)
-                        out, size = [], 0
+                        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                        out, size = [empty], 0
                 held.append(row)
         if held:
             out.append(solve(held))
-        yield _pairs(out)
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return run
 
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Distinct pairs."""
-    pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _pairs(a: np.ndarray, b: np.ndarray, dense: bool) -> pa.RecordBatch:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(np.full(len(low), dense))], names=["a", "b", "dense"])
+
+
+_NO_IDS = np.zeros(0, np.int64)
+
+
+def _columns(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """side, place, uid, c, n, sig of a tile's rows."""
+    side, place, uid, c, n = (np.array([r[i] for r in rows]) for i in range(1, 6))
+    return side, place, uid, c, n, np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint16).reshape(-1, SYMBOLS)
+
 
+def _stars(percent: int):
+    """Tiles of (tile, side, place, uid, c, n, sig) -> every member within RADIUS of the tile's medoid, with it."""
 
-def candidates(buckets: DataFrame, placed: DataFrame, mode: str, percent: int) -> DataFrame:
-    """a < b, distinct: pairs that meet in a bucket (key, place, uid, size). placed: uid, c, n, sig.
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        side, _, uid, c, n, sig = _columns(rows)
+        p, q, d = _far(side, c, n, sig, percent)
+        medoid = np.minimum(d, RADIUS + 1).sum(axis=0).argmin()
+        near = p[d[:, medoid] <= RADIUS]
+        return _pairs(uid[near], np.full(len(near), uid[q[medoid]]), False)
 
-    A bucket of one component is done. A large one is compared in tiles of TILE by TILE, so that no task holds it; in
-    mode star its members only meet those of their own tile, under the keys of the places STAR_PLACES.
+    return _by_tile(solve, _pairs(_NO_IDS, _NO_IDS, False))
+
+
+def _meetings(percent: int):
+    """Tiles of (tile, side, place, uid, c, n, sig) -> a < b, dense: pairs within RADIUS of different c.
+
+    A pair counts at the first key that its two signatures share and nowhere else. Of a tile with more than DENSE pairs
+    a row only ties come out, dense: each row with the first one, by uid, that such pairs lead to.
+    """
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        side, place, uid, c, n, sig = _columns(rows)
+        p, q, d = _far(side, c, n, sig, percent)
+        i, j = np.nonzero(d <= RADIUS)
+        if len(p) == len(rows):
+            i, j = i[i < j], j[i < j]
+        dense = len(i) > DENSE * len(rows)
+        here = _first_places(sig[p[i]], sig[q[j]]) == place[0]
+        i, j = p[i[here]], q[j[here]]
+        if not dense:
+            return _pairs(uid[i], uid[j], False)
+        first = united(len(rows), i, j)
+        tied = np.flatnonzero(first != np.arange(len(rows)))
+        return _pairs(uid[first[tied]], uid[tied], True)
+
+    return _by_tile(solve, _pairs(_NO_IDS, _NO_IDS, False))
+
+
+def tiled(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (key, uid, c, weight, ...) with tile and side, so that all pairs of different c of a key meet in a tile.
+
+    Keys of one c are left out. The component with most of a key's weight is cut into parts that only meet the parts of
+    the rest, so that a component of any size costs its own rows, and the rest's once for each of its parts.
     """
-    if mode == "star":
-        buckets = buckets.where(F.col("place").isin(*STAR_PLACES))
-    rows = buckets.join(placed, "uid")
-    if mode != "star":
-        mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        rows = rows.join(mixed, "key", "left_semi")
-    rows = rows.withColumn("tiles", F.floor(F.col("size") / TILE) + 1).withColumn("own", F.pmod(F.xxhash64("uid", "key"), F.col("tiles")))
-    rows = rows.withColumn("other", F.col("own") if mode == "star" else F.explode(F.expr("sequence(0, tiles - 1)")))
-    tile = F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    rows = rows.select(tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side"), "place", "uid", "c", "n", "sig")
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_meet(mode, percent), "a long, b long").distinct()
+    hot = rows.groupBy("key", "c").agg(F.sum("weight").alias("w")).groupBy("key").agg(F.max_by("c", F.struct("w", "c")).alias("hot"), F.max("w").alias("most"), F.sum("w").alias("whole"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = rows.join(hot.drop("kinds"), "key").withColumn("parts", F.expr(f"struct(floor(most / {limit}) + 1 AS hot, floor((whole - most) / {limit}) + 1 AS rest)"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("uid", "key"), F.when(F.col("c") == F.col("hot"), F.col("parts.hot")).otherwise(F.col("parts.rest"))))
+    place = "struct({kind} AS kind, {x} AS x, {y} AS y, {side} AS side)".format
+    among = F.expr(f"transform(sequence(0, parts.rest - 1), i -> {place(kind=1, x='least(own, i)', y='greatest(own, i)', side='int(own > i)')})")
+    of_rest = F.concat(F.expr(f"transform(sequence(0, parts.hot - 1), i -> {place(kind=2, x='i', y='own', side=1)})"), among)
+    of_hot = F.expr(f"transform(sequence(0, parts.rest - 1), i -> {place(kind=2, x='own', y='i', side=0)})")
+    one = F.expr(f"array({place(kind=0, x='0L', y='0L', side=0)})")
+    rows = rows.withColumn("at", F.explode(F.when(F.col("whole") <= limit, one).when(F.col("c") == F.col("hot"), of_hot).otherwise(of_rest)))
+    return rows.withColumn("tile", F.xxhash64("key", "at.kind", "at.x", "at.y")).withColumn("side", F.col("at.side"))
+
+
+_PAIRS = "a long, b long, dense boolean"
+_TILE = ("tile", "side", "place", "uid", "c", "n", "sig")
+
+
+def star_pairs(buckets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """a < b, distinct: members of a bucket (key, place, uid, size) with the medoid of their tile. placed: uid, c, n, sig."""
+    rows = buckets.where(F.col("place").isin(*STAR_PLACES)).join(placed, "uid").withColumn("side", F.lit(0))
+    rows = rows.withColumn("tile", F.xxhash64("key", F.pmod(F.xxhash64("uid", "key"), F.floor(F.col("size") / TILE) + 1)))
+    return rows.select(*_TILE).repartition("tile").sortWithinPartitions("tile").mapInArrow(_stars(percent), _PAIRS).select("a", "b").distinct()
+
+
+def meetings(buckets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """a < b, dense: see _meetings. buckets: key, place, uid, size; placed: uid, c, n, sig."""
+    rows = tiled(buckets.join(placed, "uid").withColumn("weight", F.lit(1)), TILE)
+    return rows.select(*_TILE).repartition("tile").sortWithinPartitions("tile", "uid").mapInArrow(_meetings(percent), _PAIRS).distinct()
+
+
+def _linked(k: int, percent: int):
+    """Tiles of (tile, side, uid, c, n, sig, text) -> a, b: links that join components, no more than the tile has rows."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        side, uid, c, n = (np.array([r[i] for r in rows]) for i in (1, 2, 3, 4))
+        sig = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint16).reshape(-1, SYMBOLS)
+        h, bounds = shingle_sets([(r[6] or "").encode() for r in rows], k)
+        _, h = np.unique(h, return_inverse=True)
+        p, q, d = _far(side, c, n, sig, percent)
+        kind = np.unique(c, return_inverse=True)[1]
+        mark, a, b = np.zeros(len(h) + 1, dtype=bool), [], []
+        for i, row in enumerate(p):
+            near = q[(d[i] <= RADIUS) & (kind[q] != kind[row])]
+            if not len(near):
+                continue
+            mine, size = h[bounds[row] : bounds[row + 1]], n[near]
+            mark[mine] = True
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(bounds[near] - (ends - size), size)
+            shared = np.add.reduceat(mark[h[at]], ends - size, dtype=np.int64)
+            mark[mine] = False
+            for other in near[100 * shared >= percent * (len(mine) + size - shared)]:
+                if kind[other] != kind[row]:
+                    a.append(uid[row]), b.append(uid[other])
+                    kind[kind == kind[other]] = kind[row]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return _by_tile(solve, pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"]))
+
+
+def group_links(groups: DataFrame, placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between different c that connect what links connect in each group (id, component), written."""
+    member = cut(groups.select(F.col("id").alias("uid"), F.col("component").alias("key")).join(placed, "uid").withColumn("weight", 8 * F.col("n") + ROW_BYTES))
+    texts = cut(docs.select("uid", "text").join(small_side(member.select("uid")), "uid", "left_semi").dropDuplicates(["uid"]))
+    rows = tiled(member, TILE_BYTES).select("tile", "side", "uid", "c", "n", "sig").join(texts, "uid").select("tile", "side", "uid", "c", "n", "sig", "text")
+    links = cut(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_linked(k, percent), "a long, b long"))
+    drop_cut(texts)
+    drop_cut(member)
+    return links
 
 
 def _confirm(k: int, percent: int):
@@ -253,13 +332,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for every row of docs.
-
-    Null, empty and wordless texts have an empty set and are their own components. Equal sets are linked. Repeated
-    rows are equal documents: one component, each row its result. Extra columns are not read.
-    """
-    named = with_uid(docs, id_, text)
+def grouped(named: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """uid, n_shingles, component (its smallest uid) of every uid of named (uid, text)."""
     docs = named.select("uid", "text")
     known = cut(features(docs, shingle).distinct())
     # Equal sets: one class, named and represented by its smallest uid.
@@ -270,21 +344,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     keys = sigs.select("uid", "sig").mapInArrow(_keys, "key long, place byte, uid long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = cut(keys.join(shared, "key").select("key", "place", "uid", "size"))
-    tested = links = found = None
-    for mode in ("star", "nearest", "all"):
-        at = sigs.withColumn("c", F.col("uid")) if found is None else sigs.join(found.withColumnRenamed("id", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid"))
-        pairs = candidates(buckets, at.select("uid", "c", "n", "sig"), mode, percent)
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if pairs.isEmpty():
-            more = pairs
-        else:
-            more = confirm(pairs, docs, shingle, percent)
-        if links is None or not more.isEmpty():
-            links = more if links is None else links.unionByName(more)
-            found = components(links)
+    pairs = cut(star_pairs(buckets, sigs.withColumn("c", F.col("uid")), percent))
+    links = confirm(pairs, docs, shingle, percent)
+    drop_cut(pairs)
+    known = components(links)
+    placed = sigs.join(known.withColumnRenamed("id", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("c"), "n", "sig")
+    met = cut(meetings(buckets, placed, percent))
+    links = links.unionByName(confirm(met.where("not dense").select("a", "b"), docs, shingle, percent))
+    dense = met.where("dense").select("a", "b")
+    if not dense.isEmpty():
+        links = links.unionByName(group_links(components(dense), placed, docs, shingle, percent))
+    found = components(links)
+    drop_cut(met)
     drop_cut(buckets)
-    whole = classes.join(found, classes["rep"] == found["id"], "left").select("uid", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+    return classes.join(found, classes["rep"] == found["id"], "left").select("uid", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept for every row of docs.
+
+    Null, empty and wordless texts have an empty set and are their own components. Equal sets are linked. Repeated
+    rows are equal documents: one component, each row its result. Extra columns are not read.
+    """
+    named = with_uid(docs, id_, text)
+    whole = grouped(named, shingle, percent)
     names = named.select("uid", F.col("id")).distinct()
     out = whole.join(names, "uid").join(names.select(F.col("uid").alias("component"), F.col("id").alias("component_id")), "component")
     result = named.select("uid", F.col("id").alias(id_)).join(out.drop("id"), "uid")
@@ -292,15 +375,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs less all but the first document (by id) of each component of near duplicates; all columns stay.
+    """docs less all but the first document (by id, null ids first) of each component of near duplicates; all columns stay.
 
-    Of repeated rows one stays. An id that is rejected goes with all its rows; null ids stay.
+    Of rows with an equal id and text one stays. Rows that share an id with different texts are judged each by its own.
     """
-    result = cut(near_duplicates(docs, shingle, percent, id_, text).select(id_, "kept"))
-    rejected = cut(result.where(~F.col("kept")).select(id_).distinct())
-    kept = docs.join(small_side(rejected), id_, "left_anti")
-    repeated = result.groupBy(id_).count().where("count > 1").isEmpty()
-    return kept if repeated else kept.dropDuplicates([id_, text])
+    named = with_uid(docs, id_, text)
+    rejected = cut(grouped(named, shingle, percent).where("uid <> component").select("uid"))
+    kept = named.join(small_side(rejected), "uid", "left_anti")
+    if not named.groupBy("uid").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["uid"])
+    return kept.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
