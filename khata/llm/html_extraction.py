@@ -4,7 +4,8 @@ Every text node of a page belongs to a root-to-leaf tag path. Text length and pu
 in page order, smoothed with a Gaussian window, fused into one score and thresholded by its spread. The selected paths decide
 which blocks are kept. Markup is a prior: blocks are sought inside main and article elements where those hold selected
 text, else inside the element that holds most of it, less what its markup names as something else; of several articles
-those count that hold a fair share of the selected text of the fullest one.
+those count that hold a fair share of the selected text of the fullest one. A class name alone does not outweigh the
+text: an element that holds most of the page's running text is kept whatever it is called.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ HOLDS = 0.75
 SHARE = 0.25
 #: A list or table with this share of its text in links is a menu.
 LINKS = 0.7
+#: Shares of the page's running text from which on an element's class or id no longer names it as something else: where
+#: the name is only a part of a longer one ("has-sidebar"), and where it stands alone.
+PART_NAME, WHOLE_NAME = 0.5, 0.85
 
 # The HTML vocabulary.
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp plaintext template svg math".split())
@@ -49,7 +53,8 @@ _NOT_CONTENT_NAMES = frozenset(
     cookie cookies consent gdpr notice notices notification notifications alert disclaimer copyright
     comment comments commentlist disqus respond reply replies discussion feedback form search tags taglist""".split()
 )
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -57,14 +62,18 @@ _ARTICLE = re.compile(r"\brole\s*=\s*[\"']?article\b", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 
 
-def _names_other(attributes: str) -> tuple[bool, bool]:
-    """(markup that names something other than content, markup that names the content)."""
+def _names_other(attributes: str) -> tuple[bool, float, bool]:
+    """(markup that says it is something other than content, share of the running text that outweighs its class and id,
+    0 where these name nothing else, markup that names the content)."""
     other = main = False
+    name_weight = 0.0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            other |= bool(words & _NOT_CONTENT_NAMES)
+            for token in value.split():
+                words = {w.lower() for w in _NAME.findall(token)}
+                if words & _NOT_CONTENT_NAMES:
+                    name_weight = max(name_weight, WHOLE_NAME if len(words) == 1 else PART_NAME)
         elif name == "role":
             other |= value.lower() in _NOT_CONTENT_ROLES
             main |= value.lower() in ("main", "article")
@@ -77,33 +86,60 @@ def _names_other(attributes: str) -> tuple[bool, bool]:
             other |= value.lower() != "false"
         else:
             other |= value.lower() == "true"
-    return other, main
+    return other, name_weight, main
+
+
+def _tags(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, name, attributes) of every tag, and of every comment or declaration without a
+    name. A tag that the page's end cuts off takes the rest. Every search that fails ends the page: linear time."""
+    at = 0
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            yield at, end + 3 if end >= 0 else len(source), "", "", ""
+        elif source[at + 1 : at + 2] in ("!", "?"):
+            end = source.find(">", at) - 2
+            yield at, end + 3 if end >= 0 else len(source), "", "", ""
+        elif m := _TAG.match(source, at) or _BROKEN.match(source, at):
+            end = m.end() - 3
+            yield at, m.end(), m[1], m[2].lower(), m[3]
+        elif source[at + 1 : at + 2].isalpha() and source[at + 1].isascii() or source[at + 1 : at + 2] == "/" and source[at + 2 : at + 3].isalpha() and source[at + 2].isascii():
+            end = -1
+            yield at, len(source), "", "", ""
+        else:
+            at += 1
+            continue
+        if end < 0:
+            return
+        at = end + 3
 
 
 class _Page:
     """Elements in page order (parents first) and text nodes: (element, text, inside a link)."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.dropped, self.main = ["#root"], [-1], [False], [False]
-        self.path: list[tuple] = [()]
-        self.article, self.block = [0], [0]  # the nearest article element, and the nearest one that is not inline
+        self.tag, self.parent = ["#root"], [-1]
+        self.hard, self.name_weight, self.names_main, self.attributes = [False], [0.0], [False], [""]
+        self.path, self.paths = [0], {}  # tag paths as numbers: (number of the parent's path, tag) -> number
+        self.block = [0]  # the nearest element that is not inline
         self.nodes: list[tuple[int, str, bool]] = []
         self.open, self.links = [0], 0
+        # Open elements by tag: all, those since the last one that is not inline, those since the last of _SCOPE.
+        self.every: dict[str, int] = {}
+        self.inline, self.scope = [{}], [{}]
         at, lower = 0, None
-        for m in iter(_TAG.scanner(source).search, None):
-            if m.start() < at:  # inside raw text
+        for start, end, slash, name, attributes in _tags(source):
+            if start < at:  # inside raw text
                 continue
-            if m.start() > at:
-                self.text(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if name is None:
+            if start > at:
+                self.text(source[at:start])
+            at = end
+            if not name:
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
+            if slash:
                 self.close(name)
                 continue
-            self.begin(name, m[3] if m[2] else m[6])
+            self.begin(name, attributes)
             if name in _RAW:
                 lower = source.lower() if lower is None else lower
                 end = lower.find(f"</{name}", at)
@@ -113,9 +149,28 @@ class _Page:
                     at = len(source) if stop < 0 else stop + 1
                 self.close(name)
         if at < len(source):
-            rest = source[at:]
-            cut = re.search(r"<(?=[/!a-zA-Z])", rest)  # a tag that the page's end cuts off is no text
-            self.text(rest[: cut.start()] if cut else rest)
+            self.text(source[at:])
+        self.judge()
+
+    def judge(self) -> None:
+        """dropped, main, article of every element: its own markup and its parents', and its name where text doesn't outweigh it."""
+        n = len(self.tag)
+        gone, running = [False] * n, [0] * n
+        for e in range(1, n):
+            gone[e] = gone[self.parent[e]] or self.hard[e]
+        for e, text, linked in self.nodes:
+            if not gone[e] and not linked:
+                running[e] += len(text.strip())
+        for e in range(n - 1, 0, -1):
+            running[self.parent[e]] += running[e]
+        self.dropped, self.main, self.article = [False] * n, [False] * n, [0] * n  # article: the nearest article element
+        for e in range(1, n):
+            up, name = self.parent[e], self.tag[e]
+            other = self.hard[e] or self.name_weight[e] > 0 and running[e] < self.name_weight[e] * running[0]
+            main = not other and (self.names_main[e] or name in ("article", "main"))
+            drop = other and name not in ("html", "body") or name == "header" and not self.main[up]
+            self.dropped[e], self.main[e] = self.dropped[up] or drop, self.main[up] or main
+            self.article[e] = e if main and (name == "article" or _ARTICLE.search(self.attributes[e])) else self.article[up]
 
     def text(self, raw: str) -> None:
         self.nodes.append((self.open[-1], entities.unescape(raw) if "&" in raw else raw, self.links > 0))
@@ -126,25 +181,32 @@ class _Page:
         for other in _SAME_LEVEL.get(name, ()) if name != "p" else ():
             self.close_within(other, name)
         up = self.open[-1]
-        other, main = _names_other(attributes) if attributes.strip() else (False, False)
-        inside = self.main[up]
-        main = not other and (main or name in ("article", "main"))
-        drop = name in _NEVER or name in _RAW or (other and name not in ("html", "body")) or (name == "header" and not inside)
+        other, name_weight, main = _names_other(attributes) if attributes.strip() else (False, 0.0, False)
+        e = len(self.tag)
         self.tag.append(name)
         self.parent.append(up)
-        self.path.append((*self.path[up], name) if name not in _VOID else self.path[up])
-        self.dropped.append(self.dropped[up] or drop)
-        self.main.append(inside or main)
-        self.article.append(len(self.tag) - 1 if main and (name == "article" or _ARTICLE.search(attributes)) else self.article[up])
-        self.block.append(len(self.tag) - 1 if name not in _INLINE else self.block[up])
+        self.path.append(self.path[up] if name in _VOID else self.paths.setdefault((self.path[up], name), len(self.paths) + 1))
+        self.hard.append(other or name in _NEVER or name in _RAW)
+        self.name_weight.append(name_weight)
+        self.names_main.append(main)
+        self.attributes.append(attributes if main else "")
+        self.block.append(e if name not in _INLINE else self.block[up])
         if name not in _INLINE:
-            self.nodes.append((len(self.tag) - 1, " ", False))
+            self.nodes.append((e, " ", False))
         if name not in _VOID:
-            self.open.append(len(self.tag) - 1)
+            self.open.append(e)
             self.links += name == "a"
+            for counts in (self.every, self.inline[-1], self.scope[-1]):
+                counts[name] = counts.get(name, 0) + 1
+            if name not in _INLINE:
+                self.inline.append({})
+            if name in _SCOPE:
+                self.scope.append({})
 
     def close_within(self, name: str, for_: str) -> None:
         """Closes an open element that the next one implies closed, not beyond its list, table or section."""
+        if not (self.every if for_ == "tr" or name in _SCOPE else self.scope[-1]).get(name):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[k]]
             if tag == name:
@@ -154,25 +216,30 @@ class _Page:
                 return
 
     def close(self, name: str) -> None:
+        if not (self.inline[-1] if name in _INLINE else self.scope[-1] if name == "p" else self.every).get(name):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == name:
                 self.pop(k)
                 if name not in _INLINE:
                     self.nodes.append((self.open[-1], " ", False))
                 return
-            if name in _INLINE and self.tag[self.open[k]] not in _INLINE:
-                return
-            if name == "p" and self.tag[self.open[k]] in _SCOPE:
-                return
 
     def pop(self, k: int) -> None:
-        self.links -= sum(self.tag[e] == "a" for e in self.open[k:])
-        del self.open[k:]
-
-
-def _selected_paths(page: _Page) -> set[tuple]:
+        while len(self.open) > k:
+            tag = self.tag[self.open.pop()]
+            self.links -= tag == "a"
+            if tag not in _INLINE:
+                self.inline.pop()
+            if tag in _SCOPE:
+                self.scope.pop()
+            for counts in (self.every, self.inline[-1], self.scope[-1]):
+                counts[tag] -= 1
+
+
+def _selected_paths(page: _Page) -> set[int]:
     """Tag paths whose fused, smoothed ratios reach the threshold."""
-    stats: dict[tuple, list[int]] = {}
+    stats: dict[int, list[int]] = {}
     for element, text, linked in page.nodes:
         n = len(text.strip())
         if n and not page.dropped[element]:
@@ -204,8 +271,7 @@ def _articles(page: _Page, weight: list[int]) -> set[int]:
     fullest = max(own, key=own.__getitem__)
     out = {a for a, w in own.items() if w >= SHARE * own[fullest]}
     for a in list(out):
-        while a:
-            a = page.article[page.parent[a]]
+        while a and (a := page.article[page.parent[a]]) not in out:
             out.add(a)
     return out
 
