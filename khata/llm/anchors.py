@@ -20,7 +20,8 @@ from khata.llm.common import Rolling, Words, as_bytes, byte_symbols, chunks, cut
 
 #: A run's place and number of windows in one long: place << LENGTH_BITS | windows.
 LENGTH_BITS = 12
-_PLACE_BITS = 27
+#: Bits of a symbol's place in its batch: a text has under 2^31 symbols, and only a text alone makes a longer batch.
+_PLACE_BITS = 32
 _SECOND = 0xD6E8FEB86659FD93
 
 

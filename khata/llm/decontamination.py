@@ -1,10 +1,12 @@
 """Benchmark decontamination: a BM25 index of test items, queried with every training passage by block-max WAND.
 
-Items are indexed in pieces of at most PIECE_WORDS words; impacts are divided by the piece's own threshold, so a
-passage retrieves a piece from 1 on. Pieces lie in small blocks whose maximal impacts bound a passage's score there:
-blocks that cannot reach 1 are skipped, the others are scored exactly. Passages overlap by half and are twice as long
-as a piece, so a copied piece always lies whole in one. What is retrieved is verified on word trigrams, for the
-question and the answer apart.
+Items are indexed in pieces of PIECE_WORDS words that overlap by half; impacts are divided by the piece's own threshold,
+so a passage retrieves a piece from 1 on. Pieces lie in small blocks; each posting list keeps its maximal impact in every
+block that it has. A passage whose words' maxima have no pivot, as they do not sum to 1, is skipped whole; of the others
+every block is skipped in which the words' block maxima cannot reach 1, and only the postings of what is left are
+scored. This is done for a run of passages at a time, as sums over sparse lists. Passages overlap by half
+and are twice as long as a piece, so a copied piece always lies whole in one. What is retrieved is verified on word
+trigrams, for the question and the answer apart. Items too short for an index are found by their exact word sequence.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm.common import Words, as_bytes, chunks, mix64, table
+from khata.llm.common import Rolling, Words, as_bytes, chunks, mix64, table
 
 PIECE_WORDS = 64
 #: A passage retrieves a piece at this share of the piece's score for itself.
@@ -28,12 +30,16 @@ RETRIEVE = 0.5
 OVERLAP = 0.6
 PART_OVERLAP = 0.3
 GRAM = 3
-#: Items with fewer words are no evidence of a leak: their text occurs anywhere.
+#: Items with fewer words are not indexed but looked for as an exact sequence of words.
 LEAST_WORDS = 8
 BLOCK_PIECES = 8
 K1, B = 1.2, 0.75
-#: Bytes of item texts in one index, which every task holds; a larger benchmark is taken in so many passes.
-INDEX_BYTES = 16 << 20
+#: Bytes of one index, which the driver builds and every task holds, and of each item word in it at most; a larger
+#: benchmark is taken in so many passes.
+INDEX_BYTES, WORD_BYTES = 128 << 20, 128
+#: List entries and bounds that are held together for a run of passages, about.
+ENTRIES = 1 << 21
+_ALMOST = 1 - 1e-9
 
 # Words are compared without case and ASCII punctuation.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -58,15 +64,28 @@ class Index:
     items: np.ndarray  # item of each piece
     grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # trigrams of each piece: all, question, answer
     terms: np.ndarray  # sorted word hashes
-    top: np.ndarray  # terms x blocks: maximal impact
+    highest: np.ndarray  # maximal impact of each term
     start: np.ndarray  # of each term's postings
     piece: np.ndarray
     impact: np.ndarray
+    blocks: int
+    entry: np.ndarray  # term * blocks + block of each term's blocks, sorted
+    block: np.ndarray  # of each entry
+    first: np.ndarray  # of each term's entries
+    posting: np.ndarray  # of each entry's postings
+    top: np.ndarray  # maximal impact of each entry
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of items with few words, by their number: hashes, items
+
+
+def _sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words on end."""
+    at = np.arange(len(words) - n + 1)
+    return Rolling(words, 0xA0761D6478BD642F).of(at, at + n)
 
 
 def build_index(items: list[tuple[int, str]]) -> Index | None:
-    """Postings of the items' pieces with normalised impacts; None where no item has LEAST_WORDS words."""
-    of, pieces, grams = [], [], []
+    """Postings of the items' pieces with normalised impacts; None where no item has a word."""
+    of, pieces, grams, short = [], [], [], {}
     for item, text in items:
         match = _PARTS.match(text)
         parts = [match[1], match[2]] if match else [text, ""]
@@ -76,35 +95,47 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
             q, a = both[: len(both) - len(both) // 4], both[len(both) - len(both) // 4 :]
         words = np.concatenate([q, a])
         if len(words) < LEAST_WORDS:
+            if len(words):
+                short.setdefault(len(words), []).append((_sequences(words, len(words))[0], item))
             continue
-        for i in range(0, max(1, len(words) - LEAST_WORDS + 1), PIECE_WORDS):
-            end = len(words) if len(words) - i - PIECE_WORDS < LEAST_WORDS else i + PIECE_WORDS
+        last = max(0, len(words) - PIECE_WORDS)
+        for i in [*range(0, last, PIECE_WORDS // 2), last]:
+            end = i + PIECE_WORDS
             of.append(item)
             pieces.append(words[i:end])
             grams.append((_grams(words[i:end]), _grams(q[i:end]), _grams(a[max(0, i - len(q)) : max(0, end - len(q))])))
-    if not pieces:
+    if not pieces and not short:
         return None
     n = len(pieces)
-    length = np.array([len(p) for p in pieces])
-    flat, piece_of = np.concatenate(pieces), np.repeat(np.arange(n), length)
+    length = np.array([len(p) for p in pieces], dtype=np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *pieces])
     terms, term_of = np.unique(flat, return_inverse=True)
-    pairs, tf = np.unique(term_of * n + piece_of, return_counts=True)
-    term, piece = pairs // n, pairs % n
+    pairs, tf = np.unique(term_of * max(n, 1) + np.repeat(np.arange(n), length), return_counts=True)
+    term, piece = pairs // max(n, 1), pairs % max(n, 1)
     df = np.bincount(term, minlength=len(terms))
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[piece] / length.mean()))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[piece] / (length.mean() if n else 1.0)))
     impact /= RETRIEVE * np.bincount(piece, weights=impact, minlength=n)[piece]
+    start = np.searchsorted(term, np.arange(len(terms) + 1))
     blocks = -(-n // BLOCK_PIECES)
-    top = np.zeros((len(terms), blocks), dtype=np.float32)
-    np.maximum.at(top, (term, piece // BLOCK_PIECES), impact.astype(np.float32))
-    return Index(np.array(of), grams, terms, top, np.searchsorted(term, np.arange(len(terms) + 1)), piece, impact)
+    entry, posting = np.unique(term * blocks + piece // BLOCK_PIECES, return_index=True)
+    highest, top = (np.maximum.reduceat(impact, at) if len(at) else np.zeros(0) for at in (start[:-1], posting))
+    few = {k: (np.array([h for h, _ in v], dtype=np.uint64), np.array([i for _, i in v], dtype=np.int64)) for k, v in short.items()}
+    return Index(np.array(of, dtype=np.int64), grams, terms, highest, start, piece, impact, blocks, entry, entry % max(blocks, 1), np.searchsorted(entry, np.arange(len(terms) + 1) * blocks), np.append(posting, len(piece)), top, few)
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) of every place of the ranges begin..end."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 def retrieve(index: Index, words: Words) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, first word, end word, piece, score) of every passage and piece whose score reaches 1."""
     half = PIECE_WORDS
-    at = np.minimum(np.searchsorted(index.terms, words.hash), len(index.terms) - 1)
-    known = np.flatnonzero(index.terms[at] == words.hash)
+    at = np.minimum(np.searchsorted(index.terms, words.hash), max(len(index.terms) - 1, 0))
+    known = np.flatnonzero(index.terms[at] == words.hash) if len(index.terms) else at[:0]
     if not len(known):
         return
     term = at[known]
@@ -114,22 +145,45 @@ def retrieve(index: Index, words: Words) -> Iterator[tuple[int, int, int, int, f
     first_half = np.concatenate([[0], np.cumsum(halves)])
     h = first_half[text] + (known - words.bounds[text]) // half
     later = h > first_half[text]
-    passage = np.concatenate([h, h[later] - 1])
-    pairs = np.unique(passage * len(index.terms) + np.concatenate([term, term[later]]))
+    pairs = np.unique(np.concatenate([h, h[later] - 1]) * len(index.terms) + np.concatenate([term, term[later]]))
     passage, term = pairs // len(index.terms), pairs % len(index.terms)
-    ids, begin = np.unique(passage, return_index=True)
-    bound = np.add.reduceat(index.top[term], begin, axis=0)
+    begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
     end = np.append(begin[1:], len(term))
-    for row in np.flatnonzero((bound >= 0.999).any(axis=1)):
-        mine = term[begin[row] : end[row]]
-        size = index.start[mine + 1] - index.start[mine]
-        posting = np.repeat(index.start[mine + 1] - np.cumsum(size), size) + np.arange(size.sum())
-        open_ = bound[row, index.piece[posting] // BLOCK_PIECES] >= 0.999
-        score = np.bincount(index.piece[posting[open_]], weights=index.impact[posting[open_]], minlength=len(index.items))
-        t = np.searchsorted(first_half, ids[row], side="right") - 1
-        first = words.bounds[t] + (ids[row] - first_half[t]) * half
-        for piece in np.flatnonzero(score >= 1):
-            yield int(t), int(first), int(min(first + 2 * half, words.bounds[t + 1])), int(piece), float(score[piece])
+    # Without a pivot, where all its words' maxima do not sum to 1, a passage reaches no piece.
+    alive = np.flatnonzero(np.add.reduceat(index.highest[term], begin) >= _ALMOST)
+    lists = np.add.reduceat(index.first[term + 1] - index.first[term], begin)[alive]
+    for run in np.split(alive, np.flatnonzero(np.diff(np.cumsum(lists + index.blocks) // ENTRIES)) + 1):
+        if not len(run):
+            continue
+        who, word = _ranges(begin[run], end[run])
+        which, entry = _ranges(index.first[term[word]], index.first[term[word] + 1])
+        bound = np.bincount(who[which] * index.blocks + index.block[entry], weights=index.top[entry], minlength=len(run) * index.blocks)
+        meeting = np.flatnonzero(bound >= _ALMOST)
+        mine, word = _ranges(begin[run[meeting // index.blocks]], end[run[meeting // index.blocks]])
+        key = term[word] * index.blocks + meeting[mine] % index.blocks
+        entry = np.minimum(np.searchsorted(index.entry, key), len(index.entry) - 1)
+        mine, entry = mine[index.entry[entry] == key], entry[index.entry[entry] == key]
+        which, posting = _ranges(index.posting[entry], index.posting[entry + 1])
+        found, inverse = np.unique(meeting[mine[which]] // index.blocks * len(index.items) + index.piece[posting], return_inverse=True)
+        score = np.bincount(inverse, weights=index.impact[posting], minlength=len(found))
+        for pair, value in zip(found[score >= 1].tolist(), score[score >= 1].tolist()):
+            number = int(passage[begin[run[pair // len(index.items)]]])
+            t = int(np.searchsorted(first_half, number, side="right")) - 1
+            first = int(words.bounds[t] + (number - first_half[t]) * half)
+            yield t, first, int(min(first + 2 * half, words.bounds[t + 1])), pair % len(index.items), value
+
+
+def exact(index: Index, words: Words) -> Iterator[tuple[int, int]]:
+    """(text, item) of every item with few words whose words stand on end in a text."""
+    for n, (hashes, items) in index.short.items():
+        if len(words.hash) < n:
+            continue
+        own = _sequences(words.hash, n)
+        at = np.flatnonzero(np.isin(own, hashes))
+        text = np.searchsorted(words.bounds, at, side="right") - 1
+        inside = at + n <= words.bounds[text + 1]
+        for t, h in zip(text[inside].tolist(), own[at[inside]]):
+            yield from ((t, int(i)) for i in items[hashes == h])
 
 
 def _shared(of: np.ndarray, among: np.ndarray) -> float:
@@ -147,14 +201,16 @@ def leaks(texts: list[bytes], index: Index) -> list[tuple[int, int, float, float
             key = (text, int(index.items[piece]))
             have = best.get(key, (0.0, 0.0))
             best[key] = (max(have[0], score * RETRIEVE), max(have[1], whole))
+    best |= {key: (1.0, 1.0) for key in exact(index, words)}
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, text: str, item: str) -> Iterator[Broadcast]:
-    """Broadcast indexes of at most about INDEX_BYTES of item texts each, which together hold all items."""
+    """Broadcast indexes of at most about INDEX_BYTES each, which together hold all items."""
     items = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("t")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // INDEX_BYTES))
+    # A word stands in two pieces at most: postings, block maxima and trigrams take WORD_BYTES.
+    total = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[0-9A-Za-z\x80-\uFFFF]+"))), F.lit(0))).first()[0]
+    passes = max(1, -(-total * WORD_BYTES // INDEX_BYTES))
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(passes)) == k)
         index = build_index(sorted((r["item"], r["t"]) for r in part.collect()))
@@ -163,7 +219,10 @@ def indexes(benchmark: DataFrame, text: str, item: str) -> Iterator[Broadcast]:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """docs less the rows in which a test item is found; narrow, all columns stay."""
+    """docs less the rows in which a test item is found (see find_leaks); narrow, all columns stay.
+
+    Null and empty texts hold no item. Repeated rows go or stay together; an empty benchmark drops nothing.
+    """
     place = docs.columns.index(text)
     for shared in indexes(benchmark, "text", item):
 
@@ -182,8 +241,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text:
     """doc_id, item_id, score, overlap: one row per document row and test item found in it; clean documents give none.
 
     score: BM25 as a share of the piece's own, overlap: share of its trigrams, both of the best passage. Null or empty
-    texts and items match nothing, nor do items under LEAST_WORDS words. Narrow: every task holds the index, whose size
-    is checked; a benchmark over INDEX_BYTES is taken in passes by a hash of the item.
+    texts and items match nothing. An item under LEAST_WORDS words is found where its words stand on end (score and
+    overlap 1). Narrow: every task holds the index, whose size is checked; a larger benchmark is taken in passes by a
+    hash of the item.
     """
     schema = f"{id_} long, item_id long, score double, overlap double"
     out = None

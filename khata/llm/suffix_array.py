@@ -31,8 +31,9 @@ _LENGTH = (1 << LENGTH_BITS) - 1
 _SEGMENT = "key long, uid long, pos long, off int, seg binary"
 
 
-def column_repeats(segments: list[bytes], offsets: np.ndarray, groups: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset in it) of every window that also occurs, equally aligned, in another segment of its group.
+def column_repeats(segments: list[bytes], offsets: np.ndarray, groups: np.ndarray, window: int, later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset in it) of every window that also occurs, equally aligned, in another segment of its group;
+    later: in one before it.
 
     offsets: where the common seed starts in each segment; groups: ascending. One round per column.
     """
@@ -64,7 +65,10 @@ def column_repeats(segments: list[bytes], offsets: np.ndarray, groups: np.ndarra
         end[:m] = fresh
         hit = fresh - x >= window
         if hit.any():
+            begin = np.flatnonzero(~hit)  # equal windows are neighbours in the order
             hit[:-1] |= hit[1:]
+            if later:
+                hit &= order > np.repeat(np.minimum.reduceat(order, begin), np.diff(np.append(begin, m)))
             who = order[hit]
             found_segment.append(who)
             found_at.append(x - left + offsets[who])
@@ -82,13 +86,13 @@ def _runs_of(segment: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, in
         yield int(segment[i]), int(at[i]), int(j - i)
 
 
-def _collections(window: int):
-    """Sorted segments (key, uid, pos, off, seg) -> uid, pos of their repeated windows."""
+def _collections(window: int, later: bool):
+    """Sorted segments (key, uid, pos, off, seg) -> uid, pos of their repeated windows; later: of all but the first of each."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         keys = np.array([r[0] for r in rows])
         groups = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
-        found = column_repeats([r[4] for r in rows], np.array([r[3] for r in rows]), groups, window)
+        found = column_repeats([r[4] for r in rows], np.array([r[3] for r in rows]), groups, window, later)
         spans = [(rows[i][1], ((rows[i][2] >> LENGTH_BITS) + at << LENGTH_BITS) | n) for i, at, n in _runs_of(*found)]
         return pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.int64())], names=["uid", "pos"])
 
@@ -151,14 +155,17 @@ def _halves(window: int, span: int):
     return run
 
 
-def repeat_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """uid, spans of docs (uid, text): runs of windows that also start elsewhere, as pos values, for texts that have any."""
+def repeat_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group: int = GROUP, later: bool = False) -> DataFrame:
+    """uid, spans of docs (uid, text): runs of windows that also start elsewhere, as pos values, for texts that have any.
+
+    later: only of those that also start before, in a smaller uid or earlier in the same text.
+    """
     spec = Spec(window, seed, False)
     found = repeated_runs(docs, spec)
     looked = found.where("open and first")
     large = looked.groupBy("seed").count().where(F.col("count") > group).select(F.col("seed").alias("key"))
     segments = cut(docs.join(per_text(looked).hint("shuffle_hash"), "uid").select("uid", "text", "spans").mapInArrow(_segments(spec), _SEGMENT))
-    parts = [found.where("copies > 1").select("uid", "pos")]
+    parts = [found.where("not first" if later else "copies > 1").select("uid", "pos")]
     small, span = segments, window
     if not large.isEmpty():
         small, rest = segments.join(large, "key", "left_anti"), segments.join(large, "key", "left_semi")
@@ -168,14 +175,15 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group:
             same = pieces.groupBy("key", "h", "g").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "pos")).alias("one"))
             told = cut(pieces.join(same, ["key", "h", "g"]))
             drop_cut(pieces)
-            parts.append(told.where("copies > 1").select("uid", "pos"))
-            alone = told.where(F.struct("uid", "pos") == F.col("one")).select("key", "uid", "pos", "off", "seg")
+            first = F.struct("uid", "pos") == F.col("one")
+            parts.append(told.where(~first if later else F.col("copies") > 1).select("uid", "pos"))
+            alone = told.where(first).select("key", "uid", "pos", "off", "seg")
             counts = alone.groupBy("key").count()
             small = small.unionByName(alone.join(counts.where(F.col("count").between(2, group)).select("key"), "key", "left_semi"))
             rest = alone.join(counts.where(F.col("count") > group).select("key"), "key", "left_semi")
             if rest.isEmpty():
                 break
-    parts.append(small.repartition("key").sortWithinPartitions("key").mapInArrow(_collections(window), "uid long, pos long"))
+    parts.append(small.repartition("key").sortWithinPartitions("key", "uid", "pos").mapInArrow(_collections(window, later), "uid long, pos long"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -224,11 +232,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_:
     return joined.mapInArrow(run, f"{id_} long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<long>")
 
 
+def _repeated(named: DataFrame) -> bool:
+    return not named.groupBy("uid").count().where("count > 1").isEmpty()
+
+
 def strip_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_: str = "doc_id", text: str = "text", chars: str | None = "n_chars") -> DataFrame:
-    """docs with every repeated passage of `window` bytes or more cut out of their texts, and the count of characters
-    set anew; all rows and columns stay. A cut keeps to whole characters; null texts stay null."""
+    """docs with repeated passages of `window` bytes or more cut out of their texts, but for their first occurrence (by
+    id, then place), and the count of characters set anew; all rows and columns stay. A cut keeps to whole characters;
+    null texts stay null. Rows with an equal id and text are one document, which its own copy does not cut.
+    """
     named = with_uid(docs, id_, text)
-    spans = repeat_spans(named.select("uid", "text"), window, seed)
+    spans = repeat_spans(named.select("uid", "text").dropDuplicates(["uid"]) if _repeated(named) else named.select("uid", "text"), window, seed, later=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

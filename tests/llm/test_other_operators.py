@@ -121,6 +121,14 @@ def test_counterfactuals_swap_terms():
     assert len(pairs) == 4 and pairs[0] == (b"Some women sing", b"Some people sing")
 
 
+def test_counterfactuals_have_no_cap_and_four_languages():
+    text = " ".join(f"Women sing {i}. Die Frauen lesen. Les étrangers dorment. Las mujeres leen." for i in range(40))
+    pairs = toxicity.counterfactuals(text.encode())
+    assert len(pairs) == 2 * 4 * 40
+    assert pairs[2] == (" Die Frauen lesen".encode(), " Die Menschen lesen".encode()) and pairs[5][1] == " Les réfugiés dorment".encode()
+
+
+
 def test_one_class_or_no_labels(spark):
     assert toxicity.fit(spark.createDataFrame([("a b", 0)], "text string, label int")).score([b"", b"x"]).tolist() == pytest.approx([1e-3] * 2, rel=1e-3)
     assert quality.fit(spark.createDataFrame([], "text string, label int")) is None

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from khata.llm import decontamination, minhash_dedup, mixing, substring_dedup, suffix_array, token_counts
 
@@ -139,6 +140,53 @@ def test_minhash_tiles(spark, monkeypatch):
     assert got == near_components(rows, 2)
 
 
+def half_similar(n: int, length: int = 60, own: int = 8) -> list[tuple[int, str]]:
+    """Texts of one stock of words with words of their own: most pairs are within the radius, none is a link."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(length)]
+        for j in rng.sample(range(length), own):
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_minhash_dense_groups(spark, monkeypatch):
+    """Groups compared tile by tile, with many tiles of either kind: near copies of two stocks beside half-similar texts."""
+    rng = random.Random(6)
+    rows = half_similar(40)
+    for i in range(60):
+        words = rows[i % 2][1].split()
+        for j in rng.sample(range(60), rng.randrange(12)):
+            words[j] = f"x{rng.randrange(30)}"
+        rows.append((100 + i, " ".join(words)))
+    monkeypatch.setattr(minhash_dedup, "DENSE", 0)
+    monkeypatch.setattr(minhash_dedup, "TILE", 20)
+    monkeypatch.setattr(minhash_dedup, "TILE_BYTES", 30_000)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(frame(spark, rows), 1).collect()}
+    assert got == near_components(rows, 1)
+
+
+def test_minhash_rows_of_a_half_similar_group(spark):
+    """5,000 half-similar texts have over a million pairs within the radius; what leaves the tiles grows with the texts."""
+    docs = minhash_dedup.with_uid(frame(spark, half_similar(5_000)), "doc_id", "text").select("uid", "text")
+    sigs = minhash_dedup.cut(minhash_dedup.features(docs, 1)).select("uid", F.col("uid").alias("c"), "n", "sig")
+    keys = sigs.select("uid", "sig").mapInArrow(minhash_dedup._keys, "key long, place byte, uid long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = minhash_dedup.cut(minhash_dedup.meetings(keys.join(shared, "key"), sigs, 80))
+    assert met.where("dense").count() > 0
+    assert met.count() < 100 * 5_000
+    assert minhash_dedup.group_links(minhash_dedup.components(met.where("dense").select("a", "b")), sigs, docs, 1, 80).count() == 0
+
+
+def test_keep_one_judges_each_text_of_an_id(spark):
+    text = "one two three four five six seven eight nine"
+    docs = frame(spark, [(1, text), (2, text), (2, "other words that nobody else has written down here"), (3, None), (3, None)])
+    kept = sorted((r["doc_id"], r["text"] or "") for r in minhash_dedup.keep_one(docs).collect())
+    assert kept == [(1, text), (2, "other words that nobody else has written down here"), (3, "")]
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words than those"), (None, "a b c d e f"), (None, None)]
     docs = frame(spark, rows)
@@ -162,7 +210,25 @@ def test_strip_repeats_keeps_characters_and_columns(spark):
     out = suffix_array.strip_repeats(frame(spark, rows), 50, 16)
     assert out.columns == frame(spark, rows).columns
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
-    assert got == {1: ("one", 3), 2: ("two", 3), 3: (None, None)}
+    # The first text's own windows repeat from its second letter on.
+    assert got == {1: ("éone", 4), 2: ("two", 3), 3: (None, None)}
+
+
+@pytest.mark.parametrize("group", [20_000, 3])
+def test_strip_repeats_keeps_the_first(spark, monkeypatch, group):
+    """Against brute force: a window goes where an equal one starts before, in a smaller id or earlier in the text."""
+    rows = [(i, t and t.encode("ascii", "replace").decode()) for i, t in texts() if i != 42]
+    seen, want = set(), {}
+    for i, text in sorted(rows):
+        flags = bytearray(len(text or ""))
+        for p in range(len(text or "") - 39):
+            if text[p : p + 40] in seen:
+                flags[p : p + 40] = b"\1" * 40
+            seen.add(text[p : p + 40])
+        want[i] = text if text is None else "".join(c for c, f in zip(text, flags) if not f)
+    spans = suffix_array.repeat_spans
+    monkeypatch.setattr(suffix_array, "repeat_spans", lambda *a, **k: spans(*a, **{**k, "group": group}))
+    assert {r["doc_id"]: r["text"] for r in suffix_array.strip_repeats(frame(spark, rows), 40, 8).collect()} == want
 
 
 def test_token_counts_match_the_library(spark):
@@ -221,6 +287,27 @@ def test_decontamination_retrieves_all_above_threshold(spark):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - {d for d, _ in got}
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    """Short items by their exact words; of a long item any quote of 60 words, wherever its pieces are cut."""
+    rng = random.Random(12)
+    words = [f"t{i}" for i in range(3_000)]
+    long = [rng.choice(words) for _ in range(400)]
+    bench = spark.createDataFrame([(1, "Who wrote it? Ann Lee"), (2, " ".join(long)), (3, "..."), (4, "t1 t2 t1")], "item_id long, text string")
+    rows = [(k, " ".join([*rng.choices(words, k=90), *long[k : k + 60], *rng.choices(words, k=90)])) for k in range(0, 340, 10)]
+    rows += [(900, "x who WROTE it: Ann Lee, y"), (901, "who wrote it Ann"), (902, "who wrote it"), (903, "Ann Lee"), (904, "a t1 t2"), (905, "t1 b t1 t2 t1")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame(spark, rows), bench).collect()}
+    assert got == {(k, 2) for k in range(0, 340, 10)} | {(900, 1), (905, 4)}
+
+
+def test_decontamination_in_passes(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(k, " ".join(f"t{rng.randrange(500)}" for _ in range(30))) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", 40_000)
+    assert len(list(decontamination.indexes(bench, "text", "item_id"))) > 2
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame(spark, items), bench).collect()} == {(k, k) for k in range(30)}
+
+
 def test_block_max_bounds_skip_nothing():
     """WAND's result is that of scoring every piece."""
     rng = random.Random(4)
@@ -236,4 +323,10 @@ def test_block_max_bounds_skip_nothing():
             for p in range(index.start[t], index.start[t + 1]):
                 score[index.piece[p]] += index.impact[p]
         want |= {(first, piece) for piece, s in enumerate(score) if s >= 1}
-    assert found == want
+    assert found == want and len(want) > 3
+    fewer = decontamination.ENTRIES
+    try:
+        decontamination.ENTRIES = 50
+        assert {(first, piece) for _, first, _, piece, _ in decontamination.retrieve(index, passage)} == want
+    finally:
+        decontamination.ENTRIES = fewer
