@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur more than once."""
+    """All documents; of passages that occur more than once only the first occurrence stays."""
     return strip_repeats(docs, PASSAGE_BYTES, PASSAGE_SEED)
 
 
