@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from khata.sources.space import shared_dir
+
 #: Text bytes that a numpy kernel works on at a time; a longer single text is taken alone.
 CHUNK_BYTES = 1 << 20
 #: The white space that separates words, `[^\x20\x09-\x0D]+`.
@@ -28,26 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="khata-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows as a table in the shared folder and reads them back: a short lineage that outlives executors."""
+    """Writes the rows as a table in the shared folder and reads them back: a short lineage that outlives executors.
+
+    All tables of an application lie in one folder, which can go when its results have been read.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/khata-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/khata-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Shuffle files of what led here go as soon as the driver's JVM finds them unused.
+    # Shuffle files of what led here go as soon as the driver's JVM finds them unused; without this they would pile up
+    # until it happens to collect, which for a small driver heap can be after the whole job.
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str = "at") -> tuple[DataFrame, DataFrame]:
+    """(df with the place of each row in an order as a long column, the written table that it reads): a range shuffle,
+    the place within each partition, and the partitions' sizes, of which there is one row a partition."""
+    mono = F.monotonically_increasing_id()
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mono", mono).withColumns({"_part": F.shiftright("_mono", 33), "_in": F.col("_mono") % (1 << 33)}).drop("_mono"))
+    base, offsets = 0, []
+    for r in sorted(placed.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], base))
+        base += r["count"]
+    starts = df.sparkSession.createDataFrame(offsets, "_part long, _base long")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_base", "_in"), placed
+
+
 #: Ids (8 bytes each) up to which a list of them is broadcast; a longer one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -79,9 +88,8 @@ def with_uid(docs: DataFrame, id_: str, text: str) -> DataFrame:
     if (ids[0] or 1) == 1 and not ids[1]:
         return docs.select(F.col("id").alias("uid"), "id", "text", "row")
     keyed = docs.withColumn("h", F.xxhash64("text"))
-    order = keyed.select("id", "h").distinct().orderBy(F.asc_nulls_first("id"), "h")
-    numbered = cut(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, h long, uid long"))
-    return keyed.join(numbered, keyed["id"].eqNullSafe(numbered["id"]) & (keyed["h"] == numbered["h"])).select("uid", keyed["id"], "text", "row")
+    uids, _ = numbered(keyed.select("id", "h").distinct(), [F.asc_nulls_first("id"), F.asc("h")], "uid")
+    return keyed.join(uids, keyed["id"].eqNullSafe(uids["id"]) & (keyed["h"] == uids["h"])).select("uid", keyed["id"], "text", "row")
 
 
 def chunks(texts: Iterable[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:

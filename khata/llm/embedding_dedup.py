@@ -3,8 +3,8 @@
 Every pass hashes vectors, less their mean, with its own random projections; the signs, concatenated, order the vectors
 of a label lexicographically, so that near vectors tend to be neighbours. In each pass a vector is compared with its
 block and at least its WINDOW next neighbours; verified pairs are united over the passes, of which there are the more,
-the larger the largest label. Links are then counted by comparing every
-component with itself, tile by tile, so that no window cuts a dense group short. Equal vectors are one class.
+the larger the largest label. Links are then counted by comparing every component with itself, tile by tile, so that no
+window cuts a dense group short. Equal vectors are one class.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm.common import components, cut, drop_cut, table
+from khata.llm.common import components, cut, drop_cut, numbered, table, united
 
 #: Passes at least, and those of one batch, whose shuffles are gone before the next one's.
 PASSES = 8
@@ -26,8 +26,10 @@ MISSED = 0.02
 PROJECTIONS = 48
 WINDOW = 256
 COSINE = 0.93
-#: Positions in one block, compared with each other and the WINDOW before them; and rows of a tile's side, about.
+#: Positions in one block, compared with each other and the WINDOW before them.
 BLOCK = 1024
+#: Rows of a side of a component's tiles, about, and those of them whose cosines are held at once.
+TILE, STRIP = 4096, 512
 SEED = 11
 #: A label has a mean of its own from this share of the rows on: so many means at most reach the driver.
 OWN_MEAN = 0.01
@@ -125,16 +127,9 @@ def _order_keys(first: int, passes: int, projections: int, slots: dict[tuple, in
 
 
 def _positions(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cid, pass, label, at; the written table that it reads), at: place in the order of (pass, label, key, cid), by a range shuffle and the partitions' sizes."""
-    order = ["pass", "label", "key", "cid"]
-    placed = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mono", F.monotonically_increasing_id()).select("cid", "pass", "label", F.shiftright("mono", 33).alias("part"), (F.col("mono") % (1 << 33)).alias("i")))
-    sizes = placed.groupBy("part").count().collect()  # one row a partition
-    base, offsets = 0, []
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        offsets.append((r["part"], base))
-        base += r["count"]
-    table_ = keys.sparkSession.createDataFrame(offsets, "part long, base long")
-    return placed.join(F.broadcast(table_), "part").select("cid", "pass", "label", (F.col("base") + F.col("i")).alias("at")), placed
+    """(cid, pass, label, at; the written table that it reads), at: place in the order of (pass, label, key, cid)."""
+    at, placed = numbered(keys, ["pass", "label", "key", "cid"])
+    return at.drop("key"), placed
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -143,13 +138,31 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _near(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of x and y are linked. A pair whose product is next to the threshold is decided by its own sum, so
+    that it is a link or none wherever the two meet."""
+    product = x @ y.T
+    near = product >= cosine
+    i, j = np.nonzero(np.abs(product - cosine) < 1e-9)
+    near[i, j] = (x[i] * y[j]).sum(axis=1) >= cosine
+    return near
+
+
+def _values(column: pa.Array) -> list:
+    """The column's values; lists as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[1:-1] - ends[0]) if len(column) else []
+
+
 def _grouped(solve):
     """A mapInArrow function that calls solve(rows) for each run of rows with one first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*map(_values, batch.columns)):
                 if held and row[0] != held[-1][0]:
                     yield solve(held)
                     held = []
@@ -170,16 +183,8 @@ def _unite(cosine: float):
         for dim in np.unique(size):
             some = np.flatnonzero(size == dim)
             x = _unit([rows[k][3] for k in some])
-            i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1) & (label[some][:, None] == label[some][None, :]))
-            i, j = some[i], some[j]
-            while True:
-                low, new = np.minimum(first[i], first[j]), first.copy()
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                new = new[new]
-                if (new == first).all():
-                    break
-                first = new
+            i, j = np.nonzero(np.triu(_near(x, x, cosine), 1) & (label[some][:, None] == label[some][None, :]))
+            first = np.minimum(first, united(len(rows), some[i], some[j]))
         tied = np.flatnonzero(first != np.arange(len(rows)))
         return pa.RecordBatch.from_arrays([pa.array(cid[first[tied]]), pa.array(cid[tied])], names=["a", "b"])
 
@@ -222,13 +227,17 @@ def _count(cosine: float):
         x = _unit([r[4] for r in rows])  # of one component, so of one length
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         n = np.zeros(len(rows), dtype=np.int64)
-        if (side < 2).all():  # two different parts of the component
-            near = x[p] @ x[q].T >= cosine
-            n[p], n[q] = near @ copies[q], near.T @ copies[p]
-        else:
-            near = x @ x.T >= cosine
-            np.fill_diagonal(near, False)
-            n = near @ copies
+        if not (side < 2).all():  # a part of the component with itself
+            p = q = np.arange(len(rows))
+        for k in range(0, len(p), STRIP):
+            strip = p[k : k + STRIP]
+            near = _near(x[strip], x[q], cosine)
+            if (side < 2).all():  # two different parts
+                n[strip] += near @ copies[q]
+                n[q] += near.T @ copies[strip]
+            else:
+                near[np.arange(len(strip)), strip] = False
+                n[strip] += near @ copies[q]
         some = np.flatnonzero(n)
         return pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(n[some])], names=["cid", "n"])
 
@@ -246,7 +255,7 @@ def count_links(classes: DataFrame, found: DataFrame, cosine: float, tile: int)
     return rows.mapInArrow(_count(cosine), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vector: str = "embedding", label: str = "label", passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_: str = "vec_id", vector: str = "embedding", label: str = "label", passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """id, n_links, component_id, kept for every row of vectors.
 
     Only vectors of one label, not null, are compared, in double precision. Vectors that are null, empty, zero or hold
@@ -262,7 +271,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_: str = "vec_id"
     member = cut(named.select("id", "label", "digest").join(classes.select("label", "digest", "cid", "copies"), ["label", "digest"]).select("id", "cid", "copies"))
     tied = candidates(classes.select("cid", "label", "vector"), cosine, passes, window, block)
     found = components(tied)
-    other = count_links(classes.select("cid", "copies", "vector"), found, cosine, block)
+    other = count_links(classes.select("cid", "copies", "vector"), found, cosine, tile)
     whole = member.join(other, "cid", "left").join(found.withColumnRenamed("id", "cid"), "cid", "left")
     whole = whole.select("id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     whole = whole.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

@@ -60,7 +60,7 @@ def test_embedding_links_against_brute_force(spark):
                 links[j] += 1
                 x, y = top(i), top(j)
                 root[max(x, y)] = min(x, y)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df, block=64, window=16).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df, block=64, window=16, tile=20).collect()}
     assert got == {i: (links[i], top(i), top(i) == i) for i in links}
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
