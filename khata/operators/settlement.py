@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from khata.functions.amounts import sum_paise
+from khata.functions.interest import verdict
 from khata.functions.rules import load_rules
 
 #: A refund may come this much before it is expected.
@@ -18,10 +19,12 @@ def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
     credits: id, user_id, amount_paise, txn_time, ordinal; pending: id, user_id, expected_amount_paise, expected_at
     (null: any time). A credit of another line may match. Of several credits the earliest is taken.
     """
-    c, p = credits.alias("c"), pending.alias("p")
-    on = (F.col("c.user_id") == F.col("p.user_id")) & (F.col("c.amount_paise") == F.col("p.expected_amount_paise")) & (F.col("p.expected_at").isNull() | (F.col("c.txn_time") >= F.col("p.expected_at") - F.expr(EARLY)))
-    pairs = p.join(c, on).select(F.col("p.id").alias("settlement_id"), F.col("c.id").alias("credit_id"), F.col("c.txn_time").alias("t"), F.col("c.ordinal").alias("o"))
-    return pairs.groupBy("settlement_id").agg(F.min_by("credit_id", F.struct("t", "o")).alias("credit_id"))
+    asked = pending.select("user_id", F.col("expected_amount_paise").alias("amount"), (F.col("expected_at") - F.expr(EARLY)).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("o"), F.col("id").alias("settlement_id"), F.lit(None).cast("string").alias("credit_id"))
+    came = credits.select("user_id", F.col("amount_paise").alias("amount"), F.col("txn_time").alias("t"), F.lit(1).alias("kind"), F.col("ordinal").cast("long").alias("o"), F.lit(None).cast("string").alias("settlement_id"), F.col("id").alias("credit_id"))
+    # In the order of times, a refund of any time first, the credit that follows a refund next is its own.
+    ahead = Window.partitionBy("user_id", "amount").orderBy(F.asc_nulls_first("t"), "kind", "o").rowsBetween(0, Window.unboundedFollowing)
+    out = asked.unionByName(came).withColumn("credit_id", F.first("credit_id", ignorenulls=True).over(ahead))
+    return out.where("settlement_id is not null and credit_id is not null").select("settlement_id", "credit_id")
 
 
 def write_off(settlements: DataFrame, ids: DataFrame) -> DataFrame:
@@ -64,11 +67,13 @@ def liability_payments(liabilities: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def suspected_refunds(entries: DataFrame, days: int = 30) -> DataFrame:
-    """debit_id, credit_id: a credit of a merchant and amount that follows a debit within `days`; the nearest debit."""
-    d = entries.where("direction = 'EXPENSE' and merchant_text is not null").alias("d")
-    c = entries.where("direction = 'INCOME' and merchant_text is not null").alias("c")
-    on = (F.col("d.user_id") == F.col("c.user_id")) & (F.col("d.merchant_text") == F.col("c.merchant_text")) & (F.col("d.amount_captured_paise") == F.col("c.amount_captured_paise")) & (F.col("c.txn_time") > F.col("d.txn_time")) & (F.col("c.txn_time") <= F.col("d.txn_time") + F.expr(f"INTERVAL {days} DAYS"))
-    return d.join(c, on).groupBy(F.col("c.id").alias("credit_id")).agg(F.max_by(F.col("d.id"), F.struct("d.txn_time", "d.ordinal")).alias("debit_id"))
+    """credit_id, debit_id: a credit of a merchant and amount that follows a debit within `days`; the nearest debit."""
+    e = entries.where("direction in ('EXPENSE', 'INCOME') and merchant_text is not null").withColumn("debit", (F.col("direction") == "EXPENSE").cast("int"))
+    # A debit of the credit's own moment does not come before it.
+    before = Window.partitionBy("user_id", "merchant_text", "amount_captured_paise").orderBy("txn_time", "debit", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("debit") == 1, F.struct("id", "txn_time")), ignorenulls=True).over(before)
+    out = e.withColumn("d", last).where((F.col("debit") == 0) & (F.col("txn_time") <= F.col("d.txn_time") + F.expr(f"INTERVAL {days} DAYS")))
+    return out.select(F.col("id").alias("credit_id"), F.col("d.id").alias("debit_id"))
 
 
 def recurring(entries: DataFrame, least: int = 3) -> DataFrame:
@@ -84,7 +89,34 @@ def suspected_emi(chain: DataFrame, months: int = 1) -> DataFrame:
     later. A heuristic."""
     by = Window.partitionBy("line_id").orderBy("txn_time", "ordinal")
     moves = chain.withColumn("move", F.col("balance_after_paise") - F.lag("balance_after_paise").over(by)).select("line_id", "id", "txn_time", "move")
-    down, up = moves.where("move < 0").alias("d"), moves.where("move > 0").alias("u")
-    days = F.datediff(F.col("u.txn_time"), F.col("d.txn_time"))
-    pairs = down.join(up, (F.col("d.line_id") == F.col("u.line_id")) & (F.col("d.move") == -F.col("u.move")) & days.between(30 * months - 5, 30 * months + 5))
-    return pairs.select(F.col("d.line_id"), F.col("d.id").alias("entry_id"), F.col("u.move").alias("drop_paise")).distinct()
+    # A fall looks for the first rise of its size from its own earliest day of restoring on.
+    low, high = 30 * months - 5, 30 * months + 5
+    day, down = F.to_date("txn_time"), F.col("move") < 0
+    keyed = moves.where("move <> 0").select("line_id", "id", F.abs("move").alias("drop_paise"), down.alias("down"), F.when(down, F.date_add(day, low)).otherwise(day).alias("day"))
+    ahead = Window.partitionBy("line_id", "drop_paise").orderBy("day", F.desc("down")).rowsBetween(0, Window.unboundedFollowing)
+    out = keyed.withColumn("restored", F.first(F.when(~F.col("down"), F.col("day")), ignorenulls=True).over(ahead))
+    return out.where(F.col("down") & (F.datediff("restored", "day") <= high - low)).select("line_id", F.col("id").alias("entry_id"), "drop_paise").distinct()
+
+
+def code_links(codes: DataFrame, entries: DataFrame, seconds: int = 600) -> DataFrame:
+    """code_id, entry_id: each one-time code that names an amount, with the user's next expense of that amount within
+    `seconds`. codes: id, user_id, amount_paise, received_at; the code itself never counts."""
+    asked = codes.where("amount_paise is not null").select("user_id", "amount_paise", F.col("received_at").alias("t"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("o"), F.col("id").alias("code_id"), F.lit(None).cast("struct<id: string, t: timestamp>").alias("spent"))
+    came = entries.where("direction = 'EXPENSE'").select("user_id", "amount_paise", F.col("received_at").alias("t"), F.lit(1).alias("kind"), F.col("seq").alias("o"), F.lit(None).alias("code_id"), F.struct(F.col("id"), F.col("received_at").alias("t")).alias("spent"))
+    ahead = Window.partitionBy("user_id", "amount_paise").orderBy("t", "kind", "o").rowsBetween(0, Window.unboundedFollowing)
+    out = asked.unionByName(came).withColumn("next", F.first("spent", ignorenulls=True).over(ahead)).where("code_id is not null")
+    return out.where(F.unix_seconds("next.t") - F.unix_seconds("t") <= seconds).select("code_id", F.col("next.id").alias("entry_id"))
+
+
+def interest_income(events: DataFrame) -> DataFrame:
+    """line_id, credits, income_paise: what absorbed drips add up to. events: line_id, balance_before_paise,
+    credit_paise, confirmed, rate_daily."""
+    seen = events.withColumn("verdict", verdict(F.col("balance_before_paise"), F.col("credit_paise"), F.col("confirmed"), F.col("rate_daily")))
+    return seen.where("verdict = 'absorb'").groupBy("line_id").agg(F.count("*").alias("credits"), sum_paise(F.col("credit_paise")).alias("income_paise"))
+
+
+def resolve_discrepancies(found: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """found (line_id, entry_id, ...) with status and resolution; resolutions: line_id, entry_id, resolution, one each.
+    "ignored" ignores, any other resolves; without one a discrepancy is open."""
+    out = found.join(resolutions.select("line_id", "entry_id", "resolution"), ["line_id", "entry_id"], "left")
+    return out.withColumn("status", F.when(F.col("resolution").isNull(), "open").when(F.col("resolution") == "ignored", "ignored").otherwise("resolved"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from khata.functions import amounts, classify, gating, ids, interest, masking, payees, senders
@@ -382,10 +382,10 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.correct(e, c).select("id", "amount_captured_paise", "amount_effective_paise")
 
 
-@query("SELECT DISTINCT settle_entry_id AS id FROM settlements WHERE settle_entry_id IS NOT NULL AND settle_entry_id NOT IN (SELECT id FROM entries)", "settlements", "entries")
+@query("SELECT DISTINCT id FROM (SELECT CASE WHEN base_entry_id LIKE '%3' THEN 'x' ELSE '' END || base_entry_id AS id FROM settlements) WHERE id NOT IN (SELECT id FROM entries)", "settlements", "entries")
 def unknown_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, s = _ledger(spark, sf_dir)
-    return ledger.unknown_corrections(e, s.where("settle_entry_id is not null").select(F.col("settle_entry_id").alias("id")))
+    return ledger.unknown_corrections(e, s.select(F.concat(F.when(F.col("base_entry_id").like("%3"), "x").otherwise(""), F.col("base_entry_id")).alias("id")))
 
 
 def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -531,12 +531,14 @@ def suspected_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, merchant_text, amount_paise, count(*) AS n, avg(gap) AS gap_days FROM (SELECT user_id, merchant_text, amount_captured_paise % 3 AS amount_paise, ordinal, d - lag(d) OVER (PARTITION BY user_id, merchant_text, amount_captured_paise % 3 ORDER BY d, ordinal) AS gap
-    FROM (SELECT *, CAST(floor(t_sec * 1000.0 / 86400) AS BIGINT) AS d FROM entries WHERE direction = 'EXPENSE' AND merchant_text IS NOT NULL)) GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND min(gap) >= 25 AND max(gap) <= 35""",
-    "entries",
+    """SELECT user_id, 'm' || CAST(user_id % 9 AS STRING) AS merchant_text, user_id * 10 AS amount_paise, count(*) AS n, avg(gap) AS gap_days FROM (SELECT user_id, d - lag(d) OVER (PARTITION BY user_id ORDER BY d, o_orderkey) AS gap
+    FROM (SELECT o_custkey AS user_id, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 20 ELSE 30 END * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + o_orderkey % 5 AS d FROM orders)) GROUP BY user_id HAVING count(*) >= 3 AND min(gap) >= 25 AND max(gap) <= 35"""
 )
 def recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "entries").withColumn("amount_captured_paise", F.col("amount_captured_paise") % 3).withColumn("txn_time", F.timestamp_seconds(F.col("t_sec") * 1000))
+    """Each customer's orders as monthly payments, a third of them every twenty days."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.when(F.col("o_custkey") % 3 == 0, 20).otherwise(30) * F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + F.col("o_orderkey") % 5
+    e = o.select(F.col("o_custkey").alias("user_id"), F.concat(F.lit("m"), (F.col("o_custkey") % 9).cast("string")).alias("merchant_text"), (F.col("o_custkey") * 10).alias("amount_captured_paise"), F.timestamp_seconds(day * 86_400).alias("txn_time"), F.col("o_orderkey").alias("ordinal"), F.lit("EXPENSE").alias("direction"))
     return settlement.recurring(e)
 
 
@@ -550,6 +552,55 @@ def suspected_emi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.suspected_emi(e.withColumn("balance_after_paise", F.col("balance_after_paise") % 9).withColumn("txn_time", F.timestamp_seconds(F.col("t_sec") * 40)))
 
 
+@query(
+    f"""SELECT CAST(o.seq AS STRING) AS code_id, CAST(arg_min(e.seq, e.t_sec * 100000000 + e.seq) AS STRING) AS entry_id FROM (SELECT * FROM messages WHERE shape = 4) o
+    JOIN (SELECT * FROM messages WHERE {by_shape(lambda s: str(s.verb == 'out' and s.reason == 'admit'))}) e ON o.user_id % 50 = e.user_id % 50 AND o.paise % 300 = e.paise % 300 AND e.t_sec BETWEEN o.t_sec AND o.t_sec + 86400 GROUP BY o.seq""",
+    "messages",
+)
+def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and expenses of fewer users and amounts than there are, so that they meet."""
+    gated = gating.gate(load(spark, sf_dir, "messages").withColumn("sender", F.lit("VM-YESBNK")))
+    rows = gated.select(F.col("seq").cast("string").alias("id"), "seq", (F.col("user_id") % 50).alias("user_id"), (F.col("paise") % 300).alias("amount_paise"), F.timestamp_seconds("t_sec").alias("received_at"), "gate", F.when(classify.verb_direction(F.col("body")) == "out", "EXPENSE").alias("direction"), amounts.has_amount(F.col("body")).alias("named"))
+    return settlement.code_links(rows.where("gate.buffered and named"), rows.where("gate.admit"), 86_400)
+
+
+@query(
+    """SELECT line_id, count(*) AS credits, CAST(sum(credit) AS BIGINT) AS income_paise FROM (SELECT line_id, amount_captured_paise % 100 AS credit, CAST(floor(balance_after_paise::DOUBLE * 0.0001 + 0.5) AS BIGINT) AS e, ordinal FROM entries WHERE balance_after_paise IS NOT NULL)
+    WHERE ordinal % 3 <> 0 AND e > 0 AND abs(credit - e)::DOUBLE / e <= 0.5 GROUP BY line_id""",
+    "entries",
+)
+def interest_income(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "entries").where("balance_after_paise is not null")
+    return settlement.interest_income(e.select("line_id", F.col("balance_after_paise").alias("balance_before_paise"), (F.col("amount_captured_paise") % 100).alias("credit_paise"), (F.col("ordinal") % 3 != 0).alias("confirmed"), F.lit(0.0001).alias("rate_daily")))
+
+
+@query(_on_chain("SELECT line_id, id AS entry_id, CASE WHEN length(id) % 3 = 0 THEN 'ignored' WHEN length(id) % 3 = 1 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN length(id) % 3 = 0 THEN 'ignored' WHEN length(id) % 3 = 1 THEN 'manual_added' END AS resolution FROM g WHERE rn > 1 AND gap <> 0"))
+def resolved_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reconciliation.discrepancies(load(spark, sf_dir, "chain"))
+    given = found.select("line_id", "entry_id", F.when(F.length("entry_id") % 3 == 0, "ignored").when(F.length("entry_id") % 3 == 1, "manual_added").alias("resolution")).where("resolution is not null")
+    return settlement.resolve_discrepancies(found, given).select("line_id", "entry_id", "status", "resolution")
+
+
+_IN = f"{_X} AND t_sec >= 10000 AND t_sec < 50000"
+
+
+@query(
+    _on_bases(
+        f"""SELECT 'category' AS kind, CAST(coalesce(category_id, -1) AS STRING) AS key, CAST(sum(c) AS BIGINT) AS amount_paise {_IN} GROUP BY 2 UNION ALL SELECT 'tag', coalesce(tag_id, '__untagged__'), CAST(sum(c) AS BIGINT) {_IN} GROUP BY 2
+        UNION ALL SELECT 'line', line_id, CAST(sum(c) AS BIGINT) {_IN} GROUP BY 2 UNION ALL SELECT 'total', NULL, CAST(sum(c) AS BIGINT) {_IN}"""
+    )
+)
+def breakdowns_of_a_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, s = _ledger(spark, sf_dir)
+    return aggregation.breakdowns(e.where((F.col("txn_time") >= F.timestamp_seconds(F.lit(10_000))) & (F.col("txn_time") < F.timestamp_seconds(F.lit(50_000)))), s)
+
+
+@query("SELECT seq FROM messages WHERE t_sec >= 900000 - 5 * 86400", "messages")
+def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = load(spark, sf_dir, "messages").withColumn("received_at", F.timestamp_seconds("t_sec"))
+    return reports.backfill(m, F.timestamp_seconds(F.lit(900_000)), 5).select("seq")
+
+
 # Parts, templates, the whole pipeline, streams -------------------------------------------------------------------------------------
 
 
@@ -628,17 +679,53 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(ordinal % 500 AS STRING) AS id, min(ordinal) AS seq, arg_max(amount_captured_paise, ordinal) AS amount_captured_paise FROM entries GROUP BY 1", "entries")
 def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries' writes in four files, one a batch, into a ledger."""
+    at = new_folder(spark)
+    writes = load(spark, sf_dir, "entries").select((F.col("ordinal") % 500).cast("string").alias("id"), F.col("ordinal").alias("seq"), "amount_captured_paise")
+    ingest.drain(_stream(writes, at), f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
+    return ingest.read_ledger(spark, f"{at}/ledger", writes.schema)
+
+
+def _stream(rows: DataFrame, at: str) -> DataFrame:
+    """The rows as a stream of a few files, one a batch."""
+    rows.repartition(4).write.parquet(f"{at}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def _ran(stream: DataFrame, at: str) -> DataFrame:
+    """What a stream appends, once it has run through."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query(f"SELECT seq FROM messages WHERE {by_shape(lambda s: str(s.reason == 'otp'))} AND sender NOT LIKE '+%'", "messages")
+def stream_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_folder(spark)
-    load(spark, sf_dir, "entries").select((F.col("ordinal") % 500).cast("string").alias("id"), F.col("ordinal").alias("seq"), "amount_captured_paise").write.parquet(f"{at}/out")
-    stream = spark.readStream.schema("id string, seq bigint, amount_captured_paise bigint").parquet(f"{at}/out")
-    ingest.drain(stream, f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/ledger/v0")
+    return _ran(ingest.buffered(_stream(load(spark, sf_dir, "messages").select("user_id", "sender", "body", "seq"), at)).select("seq"), at)
+
+
+@query("SELECT DISTINCT ordinal // 3 AS entry_id FROM entries", "entries")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each id three times, as retries come."""
+    at = new_folder(spark)
+    rows = load(spark, sf_dir, "entries").select(F.expr("ordinal DIV 3").alias("entry_id"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("received_at"))
+    return _ran(ingest.once(_stream(rows, at)).select("entry_id"), at)
+
+
+@query(
+    """SELECT DISTINCT s.id AS settlement_id, c.id AS credit_id FROM settlements s JOIN entries c ON c.direction = 'INCOME' AND c.user_id = s.user_id AND c.amount_captured_paise = s.expected_amount_paise
+    AND (s.expected_sec IS NULL OR c.t_sec >= s.expected_sec - 86400) WHERE s.status = 'pending'""",
+    "entries",
+    "settlements",
+)
+def stream_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = new_folder(spark)
+    e, s = _ledger(spark, sf_dir)
+    credits = e.where("direction = 'INCOME'").select("id", "user_id", F.col("amount_captured_paise").alias("amount_paise"), "txn_time")
+    return _ran(ingest.match_refunds(_stream(credits, at), s.where("status = 'pending'").select("id", "user_id", "expected_amount_paise", "expected_at")), at)
 
 
 @query(f"SELECT seq FROM messages WHERE {by_shape(lambda s: str(s.reason == 'admit'))} AND sender NOT LIKE '+%'", "messages")
 def stream_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = new_folder(spark)
-    load(spark, sf_dir, "messages").select("user_id", "sender", "body", "seq").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema("user_id bigint, sender string, body string, seq bigint").parquet(f"{at}/in")
-    ingest.admitted(stream).select("seq").writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
-    return spark.read.schema("seq bigint").parquet(f"{at}/out")
+    return _ran(ingest.admitted(_stream(load(spark, sf_dir, "messages").select("user_id", "sender", "body", "seq"), at)).select("seq"), at)

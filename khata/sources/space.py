@@ -29,3 +29,9 @@ def written(rows: DataFrame) -> DataFrame:
     at = new_folder(rows.sparkSession)
     rows.write.parquet(at)
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

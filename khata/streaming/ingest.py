@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from khata.functions.gating import gate
-from khata.operators.ledger import upsert
+from khata.functions.interest import TOLERANCE
+from khata.sources.space import remove
 
 #: How long a retry or a late part may come after the first.
 RETRY = "7 days"
@@ -40,9 +43,16 @@ def near_duplicates(entries: DataFrame, seconds: int = 120) -> DataFrame:
     return a.join(b, F.expr(f"a_line_id = b_line_id and a_amount_captured_paise = b_amount_captured_paise and a_m = b_m and a_ordinal < b_ordinal and {near}")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def assemble(parts: DataFrame) -> DataFrame:
-    """ref_id, complete, body as parts come in any order; update mode. The total is the least arrived ordinal's."""
-    state = parts.groupBy("ref_id").agg(F.min_by("total_parts", "ordinal").alias("total"), F.array_sort(F.collect_list(F.struct("part_index", "ordinal", "text"))).alias("p"))
+def assemble(parts: DataFrame, late: str | None = None) -> DataFrame:
+    """ref_id, complete, body as parts come in any order; update mode. The total is the least arrived ordinal's.
+
+    late: how long after its first part a message may still be completed, by the parts' received_at; then it is
+    forgotten and the state with it. Without it references are kept for ever.
+    """
+    keys = ["ref_id"]
+    if late is not None:
+        parts, keys = parts.withWatermark("received_at", late), ["ref_id", F.window("received_at", late)]
+    state = parts.groupBy(*keys).agg(F.min_by("total_parts", "ordinal").alias("total"), F.array_sort(F.collect_list(F.struct("part_index", "ordinal", "text"))).alias("p"))
     last = F.transform(F.sequence(F.lit(1), F.greatest("total", F.lit(1))), lambda i: F.element_at(F.transform(F.filter("p", lambda x: x["part_index"] == i), lambda x: x["text"]), -1))
     with_parts = state.withColumn("t", F.when(F.size(F.array_distinct(F.transform(F.filter("p", lambda x: x["part_index"].between(1, F.col("total"))), lambda x: x["part_index"]))) >= F.col("total"), last))
     return with_parts.select("ref_id", F.col("t").isNotNull().alias("complete"), F.array_join("t", "").alias("body"))
@@ -56,20 +66,48 @@ def chain_gaps(entries: DataFrame) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        out, previous = [], state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("ordinal")
-        for r in rows.itertuples():
-            if previous is not None and r.is_hold:
-                continue
-            if previous is not None and (gap := int(r.balance_after_paise) - previous - int(r.delta_paise)):
-                out.append((key[0], r.id, gap))
-            previous = int(r.balance_after_paise)
-        state.update((previous,))
-        yield pd.DataFrame(out, columns=["line_id", "entry_id", "gap_paise"])
+        anchored = state.exists
+        # A hold does not move the balance, unless it is the anchor.
+        keep = ~rows["is_hold"].astype(bool)
+        if not anchored:
+            keep.iloc[0] = True
+        rows = rows[keep]
+        if len(rows):
+            before = rows["balance_after_paise"].shift(1, fill_value=state.get[0] if anchored else 0)
+            gap = rows["balance_after_paise"] - before - rows["delta_paise"]
+            if not anchored:
+                gap.iloc[0] = 0
+            state.update((int(rows["balance_after_paise"].iloc[-1]),))
+            found = rows.assign(gap_paise=gap)[gap != 0]
+            yield pd.DataFrame({"line_id": key[0], "entry_id": found["id"], "gap_paise": found["gap_paise"]})
 
     return entries.groupBy("line_id").applyInPandasWithState(step, "line_id string, entry_id string, gap_paise bigint", "previous bigint", "append", "NoTimeout")
 
 
+def interest_verdicts(events: DataFrame) -> DataFrame:
+    """line_id, id, verdict of unexplained credits as they come: ask until the user confirms one, which teaches the
+    line's daily rate, its state; then absorb or flag by it.
+
+    events: line_id string, id string, balance_before_paise bigint, credit_paise bigint, confirms boolean, ordinal bigint.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("ordinal")
+        balance, credit = rows["balance_before_paise"].to_numpy(float), rows["credit_paise"].to_numpy(float)
+        rate, known = (state.get[0], np.ones(len(rows), dtype=bool)) if state.exists else (None, np.zeros(len(rows), dtype=bool))
+        if rate is None and rows["confirms"].any():
+            at = int(rows["confirms"].to_numpy(bool).argmax())
+            rate = credit[at] / balance[at] if balance[at] > 0 else 0.0
+            known[at + 1 :] = True
+            state.update((float(rate),))
+        expected = np.floor(balance * (rate or 0.0) + 0.5)
+        near = (expected > 0) & (np.abs(credit - expected) <= TOLERANCE * expected)
+        yield pd.DataFrame({"line_id": key[0], "id": rows["id"], "verdict": np.where(~known, "ask", np.where(near, "absorb", "flag"))})
+
+    return events.groupBy("line_id").applyInPandasWithState(step, "line_id string, id string, verdict string", "rate double", "append", "NoTimeout")
+
+
 def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
     """Streamed credits against the pending refunds: every pair that may match."""
     p = pending.select(F.col("id").alias("settlement_id"), F.col("user_id").alias("p_user"), "expected_amount_paise", "expected_at")
@@ -77,15 +115,57 @@ def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
     return credits.join(p, on).select("settlement_id", F.col("id").alias("credit_id"))
 
 
+#: Parts of a ledger by key; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, ledger: str, number: int) -> dict[int, int]:
+    """bucket -> the batch that wrote it last, after batch `number`: BUCKETS rows at most."""
+    if number < 0:
+        return {}
+    return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch int").parquet(f"{ledger}/manifest/{number}").collect()}
+
+
+def _parts(spark: SparkSession, ledger: str, manifest: dict[int, int], schema: StructType) -> DataFrame:
+    """The rows that a manifest names, with the seq of the write that each one's values are from."""
+    schema = StructType([*schema.fields, StructField("last_seq", LongType())])
+    paths = [f"{ledger}/data/{batch}/bucket={bucket}" for bucket, batch in sorted(manifest.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_ledger(spark: SparkSession, ledger: str, schema: StructType) -> DataFrame:
+    """The ledger as its last batch left it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{ledger}/manifest")
+    last = files.select(F.max(F.regexp_extract("path", r"/manifest/(\d+)/", 1).cast("int"))).first()[0]
+    return _parts(spark, ledger, _manifest(spark, ledger, -1 if last is None else last), schema).drop("last_seq")
+
+
 def drain(outbox: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """All that waits in an outbox stream (id, seq, ...) into a ledger of Parquet versions, the last write of an id
-    winning; then stops. Offline is simply no call; a repeated batch writes the same version again."""
+    """All that waits in an outbox stream (id, seq, ...) into a ledger in Parquet; then stops. The write
+    of an id with the highest seq wins, whichever batch brings it; the lowest seq is the entry's place.
+
+    A batch rewrites the buckets that its ids fall in, beside the old ones, and then names the valid ones in a manifest;
+    a repeated batch starts from the manifest before it and writes the same again. What no manifest from the last but
+    one on names is removed. Offline is simply no call.
+    """
+    schema = outbox.schema
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(f"{ledger}/v{number - 1}").unionByName(batch)
-        upsert(rows).write.mode("overwrite").parquet(f"{ledger}/v{number}")
+        had = _manifest(spark, ledger, number - 1)
+        bucket_of = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+        rows = batch.withColumn("last_seq", F.col("seq").cast("bigint")).withColumn("bucket", bucket_of).persist()
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+        old = _parts(spark, ledger, {b: n for b, n in had.items() if b in touched}, schema).withColumn("bucket", bucket_of)
+        values = [c for c in schema.names if c not in ("id", "seq")]
+        merged = old.unionByName(rows).groupBy("bucket", "id").agg(F.min("seq").alias("seq"), F.max_by(F.struct(*values), "last_seq").alias("v"), F.max("last_seq").alias("last_seq"))
+        merged = merged.select("bucket", *(c if c in ("id", "seq") else F.col(f"v.{c}") for c in schema.names), "last_seq")
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/data/{number}")
+        now = had | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/manifest/{number}")
+        rows.unpersist()
+        for bucket, n in (_manifest(spark, ledger, number - 2) if number > 1 else {}).items():
+            if had[bucket] != n:
+                remove(spark, f"{ledger}/data/{n}/bucket={bucket}")
 
     return outbox.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
