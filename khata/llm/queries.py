@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from khata.llm import oracles
 from khata.llm.decontamination import op10_decontamination
 from khata.llm.embedding_dedup import op6_embedding_dedup
 from khata.llm.html_extraction import op1_html_extraction
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op4_minhash_dedup": oracles.OP4, "op6_embedding_dedup": oracles.OP6}
