@@ -18,6 +18,19 @@ placed AS (SELECT d.doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
 kept AS (SELECT doc_id, string_agg(w[pos], ' ' ORDER BY pos) AS text FROM placed ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lists.places), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+# Hexadecimal digits stand for bytes; windows are taken from chunks, as finding a place in a long string takes long.
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+chunks AS (SELECT doc_id, n, c, substr(x, 2 * c + 1, 4800) AS y FROM (SELECT *, unnest(range(0, n - 399, 2000)) AS c FROM d WHERE n >= 400)),
+windows AS (SELECT doc_id, c + q AS p, md5(substr(y, 2 * q + 1, 800)) AS h FROM (SELECT *, unnest(range(0, least(2000, n - 399 - c))) AS q FROM chunks)),
+again AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY h) AS k FROM windows) WHERE k > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 1 ELSE 0 END AS fresh FROM again),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs UNION ALL SELECT doc_id, max(b), 9223372036854775807 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (least(b, n) - a)), '' ORDER BY a) AS x FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS spans, sum(b - a) AS removed FROM runs GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 OP4 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),

@@ -32,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op4_minhash_dedup": oracles.OP4, "op6_embedding_dedup": oracles.OP6}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op3_suffix_array": oracles.OP3, "op4_minhash_dedup": oracles.OP4, "op6_embedding_dedup": oracles.OP6}
