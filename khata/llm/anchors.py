@@ -22,6 +22,8 @@ from khata.llm.common import Rolling, Words, as_bytes, byte_symbols, chunks, cut
 LENGTH_BITS = 12
 #: Bits of a symbol's place in its batch: a text has under 2^31 symbols, and only a text alone makes a longer batch.
 _PLACE_BITS = 32
+#: Runs of a seed beyond which it is hot: LEAST_HOT, or a share of all that bounds the hot seeds to MOST_HOT.
+LEAST_HOT, MOST_HOT = 5_000, 100_000
 _SECOND = 0xD6E8FEB86659FD93
 
 
@@ -80,18 +82,34 @@ def repeated_runs(docs: DataFrame, spec: Spec) -> DataFrame:
     """uid, seed, seg, pos, open, first, copies of the runs whose seed occurs again, written to the shared folder.
 
     open: the seed has other segments too; first: no equal run starts earlier (by uid, then place); copies: equal runs.
-    Counts per seed and per segment are aggregates with map-side combination; the rows they are joined to can be split.
+    Counts per seed and per segment are aggregates with map-side combination. Runs of a hot seed are told by a
+    broadcast of those seeds and dealt by their own place, so that no task has all runs of one.
     """
     every = runs(docs, spec)
-    seeds = every.groupBy("seed").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("n > 1").select("seed", (F.col("a") != F.col("b")).alias("open"))
-    again = cut(every.join(seeds, "seed"))
-    best = again.groupBy("seed", "seg").agg(F.min(F.struct("uid", "pos")).alias("best"), F.count("*").alias("copies")).where("copies > 1")
-    out = again.join(best, ["seed", "seg"], "left").select("uid", "seed", "seg", "pos", "open", F.coalesce(F.struct("uid", "pos") == F.col("best"), F.lit(True)).alias("first"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    out = cut(out.where("open or copies > 1"))
-    drop_cut(again)
+    seeds = cut(every.groupBy("seed").agg(F.count("*").alias("n"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("n > 1").select("seed", "n", (F.col("a") != F.col("b")).alias("open")))
+    again = cut(_told(every, seeds, ["seed"]).where("n is not null").drop("n"))
+    segments = cut(again.groupBy("seed", "seg").agg(F.min(F.struct("uid", "pos")).alias("best"), F.count("*").alias("n")).where("n > 1"))
+    out = _told(again, segments, ["seed", "seg"]).withColumn("first", F.coalesce(F.struct("uid", "pos") == F.col("best"), F.lit(True)))
+    out = cut(out.select("uid", "seed", "seg", "pos", "open", "first", F.coalesce("n", F.lit(1)).alias("copies")).where("open or copies > 1"))
+    for done in (seeds, again, segments):
+        drop_cut(done)
     return out
 
 
+def _told(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (uid, pos, ...) with the columns of facts (keys, n, ...), one row for each of the keys; null where there is none.
+
+    The facts of hot keys are broadcast, MOST_HOT of them at most, and their rows dealt by their own place.
+    """
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(LEAST_HOT, total // MOST_HOT)
+    fact = F.struct(*(c for c in facts.columns if c not in keys))
+    told = rows.join(F.broadcast(facts.where(hot).select(*keys, fact.alias("_hot"))), keys, "left")
+    told = told.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64("uid", "pos")))
+    told = told.join(facts.where(~hot).select(F.col(keys[0]).alias("_key"), *keys[1:], fact.alias("_cool")), ["_key", *keys[1:]], "left")
+    return told.select(*rows.columns, F.coalesce("_hot", "_cool").alias("_fact")).select(*rows.columns, "_fact.*")
+
+
 def per_text(rows: DataFrame) -> DataFrame:
     """uid, spans: the rows' pos values of each text, in order; as many as the text has places at most."""
     return rows.groupBy("uid").agg(F.array_sort(F.collect_list("pos")).alias("spans"))

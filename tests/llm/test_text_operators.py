@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from khata.llm import decontamination, minhash_dedup, mixing, substring_dedup, suffix_array, token_counts
+from khata.llm import anchors, decontamination, minhash_dedup, mixing, substring_dedup, suffix_array, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASHING = "uid long, id string, row long, seed long, key string, spans string, component long, _text string, score double, n long, sig string, size long"
@@ -99,8 +99,9 @@ def test_substring_dedup(spark, window, seed):
     assert got == words_gone(rows, window)
 
 
-@pytest.mark.parametrize("window,seed", [(40, 8), (400, 64)])
-def test_suffix_array(spark, window, seed):
+@pytest.mark.parametrize("window,seed,hot", [(40, 8, 5_000), (40, 8, 2), (400, 64, 5_000)])
+def test_suffix_array(spark, monkeypatch, window, seed, hot):
+    monkeypatch.setattr(anchors, "LEAST_HOT", hot)
     rows = texts()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_array.remove_repeats(frame(spark, rows), window, seed).collect()}
     assert got == bytes_gone(rows, window)
