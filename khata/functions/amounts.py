@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from khata.functions.text import EDGE, WS, found
+from khata.functions.text import EDGE, WS, found, let
 
 # The grammar of amounts.
 CURRENCY = r"(?:rs\.?|inr|₹)"
@@ -56,9 +56,14 @@ def parse_amount(body: Column, strict_boundary: bool = False) -> Column:
     and null, however plausible a part of it is. Without one, a bare number with a multiplier counts. By default a
     multiplier needs no right boundary ("Rs 65,000 credited" is read with "cr"); strict_boundary asks for one.
     """
-    led, bare = _matched(body, _led(strict_boundary))
-    paise = _value(*_unglued(*_parts(led, bare, _led(strict_boundary))))
-    return F.struct(paise.alias("paise"), F.when(paise.isNotNull(), "high").otherwise("low").alias("confidence"), F.coalesce(led, bare).alias("matched"))
+    pattern = _led(strict_boundary)
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def read(m: Column) -> Column:
+        value = let(let(pair(*_parts(m["a"], m["b"], pattern)), lambda p: pair(*_unglued(p["a"], p["b"]))), lambda p: _value(p["a"], p["b"]))
+        return let(value, lambda paise: F.struct(paise.alias("paise"), F.when(paise.isNotNull(), "high").otherwise("low").alias("confidence"), F.coalesce(m["a"], m["b"]).alias("matched")))
+
+    return let(pair(*_matched(body, pattern)), read)
 
 
 def with_paise(rows: DataFrame, **texts: Column) -> DataFrame:

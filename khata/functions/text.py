@@ -6,6 +6,7 @@ Word boundaries and digits are ASCII, white space is Unicode's, and the end is t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,5 +39,11 @@ def has_text(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def found(c: Column, pattern: str, group: int = 0) -> Column:
-    """The first match's group; null where nothing, or nothing in the group, matches."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    """The first match's group; null where nothing, or nothing in the group, matches. The match is sought once, where
+    nullif would repeat it."""
+    return F.get(F.filter(F.array(F.regexp_extract(c, pattern, group)), lambda x: x != ""), F.lit(0))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value calculated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

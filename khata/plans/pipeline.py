@@ -17,12 +17,13 @@ from khata.operators.templates import apply_templates
 
 
 def build_entries(messages: DataFrame, templates: DataFrame | None = None, denylist: DataFrame | None = None) -> DataFrame:
-    """Ledger entries of messages (user_id, sender, body, received_at, seq), the last write of each id.
+    """Ledger entries of messages (user_id, sender, body, received_at, seq, maybe gate), the last write of each id.
 
     Amount and balance come from a trusted template where one fits, else from the first amount and from one after
     "bal". Narrow but for the joins with templates and denylist and the final grouping by id.
     """
-    kept = gate(messages, denylist).where("gate.admit").withColumn("issuer", F.col("gate.entity")).drop("gate")
+    kept = messages if "gate" in messages.columns else gate(messages, denylist)
+    kept = kept.where("gate.admit").withColumn("issuer", F.col("gate.entity")).drop("gate")
     if templates is not None:
         kept = apply_templates(kept, templates, trusted_only=True).withColumnRenamed("amount_paise", "t_amount").withColumnRenamed("balance_paise", "t_balance").withColumnRenamed("merchant", "t_merchant").drop("template_found", "fingerprint", "skeleton")
     else:

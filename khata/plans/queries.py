@@ -657,10 +657,10 @@ _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) |
     "messages",
 )
 def ledger_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages to ledger: templates are induced from all messages that become entries, masked once."""
+    """Messages to ledger: templates are induced from all messages that become entries, gated and masked once."""
     m = load(spark, sf_dir, "messages").select("seq", "user_id", "sender", "body", F.timestamp_seconds("t_sec").alias("received_at"))
-    m = written(templates.shape(m))
-    learned = templates.induce(gating.gate(m).where("gate.admit").withColumn("issuer", F.col("gate.entity")))
+    m = written(templates.shape(written(gating.gate(m).where("gate.admit"))))
+    learned = written(templates.induce(m.withColumn("issuer", F.col("gate.entity"))))
     return build_entries(m, learned).withColumn("txn_sec", F.unix_seconds("txn_time")).drop("txn_time")
 
 
