@@ -145,6 +145,32 @@ def test_class_prior():
     assert quality.class_prior(positive, web) == pytest.approx(0.3, abs=0.06)
 
 
+class ByLength:
+    def __init__(self, most):
+        self.most = most
+
+    def score(self, texts):
+        return np.array([min(len(t) / self.most, 1.0) for t in texts])
+
+
+def test_class_prior_counts_every_document_that_is_not_learned_from(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randrange(100)) for i in range(3_000)] + [(7, "y" * 90)] * 3 + [(None, "z" * 40)] * 500 + [(5_000, None), (5_001, "")]
+    known = [(i,) for i in range(0, 3_000, 3)]
+    models = [ByLength(100), ByLength(120)]
+    texts = [(t or "").encode() for i, t in rows if (i,) not in set(known)]
+    half = quality._half(texts)
+    positive = [np.linspace(0.4, 0.9, 50), np.linspace(0.3, 0.8, 70)]
+    web = [models[h].score([t for t, own in zip(texts, half) if own == h]) for h in (0, 1)]
+    cuts = [np.quantile(p, np.linspace(0, 1 - quality.LEAST_MASS, 60)) for p in positive]
+    ratios = [(sum((w >= c[k]).sum() for w, c in zip(web, cuts)) / len(texts)) / (sum((p >= c[k]).sum() for p, c in zip(positive, cuts)) / 120) for k in range(60)]
+    share = min(r for r, k in zip(ratios, range(60)) if sum((p >= c[k]).sum() for p, c in zip(positive, cuts)) / 120 >= quality.LEAST_MASS)
+    share -= 2 * math.sqrt(share * (1 - share) / len(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = quality.corpus_prior(docs, spark.createDataFrame(known, "doc_id long"), models, positive)
+    assert got == pytest.approx(share, abs=1e-9)
+
+
 def test_pipeline_stages(spark):
     """Each stage's decisions on its own input, against a plain version of them where there is one."""
     import corpus_pipeline
