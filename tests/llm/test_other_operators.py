@@ -138,6 +138,25 @@ def test_one_class_or_no_labels(spark):
     assert [r["doc_id"] for r in toxicity.reject(docs, quality.Constant(0.2), 0.5).orderBy("doc_id").collect()] == [None, 1, 1, 2]
 
 
+CASES = {
+    "empty": ([], []),
+    "no labels": ([(1, "a b", 0), (2, None, 0), (None, "x", 0)], []),
+    "one class": ([(1, "a b", 0)], [(1, 1, 1)]),
+    "nulls": ([(1, "a b", 0), (2, "c d", 0), (3, "", 0), (3, "", 0), (None, None, 0)], [(1, 1, 1), (2, 0, 0), (None, 1, 1), (3, None, None)]),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_classifier_queries_on_small_tables(spark, tmp_path, case):
+    docs, labels = CASES[case]
+    spark.createDataFrame(docs, "doc_id long, text string, score int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (toxicity.op5_toxicity, quality.op9_quality):
+        out = query(spark, str(tmp_path)).collect()
+        assert sorted(str(r["doc_id"]) for r in out) == sorted(str(d[0]) for d in docs)
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] is not None for r in out)
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     positive = rng.normal(2, 1, 4_000)
