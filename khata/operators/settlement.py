@@ -27,6 +27,26 @@ def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
     return out.where("settlement_id is not null and credit_id is not null").select("settlement_id", "credit_id")
 
 
+def settle_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
+    """settlement_id, credit_id: refunds and credits one to one. Each credit, in the order of times, settles the refund
+    of its user and amount that has waited longest; so the most refunds are settled, and no credit twice.
+
+    credits: id, user_id, amount_paise, txn_time, ordinal; pending: id, user_id, expected_amount_paise, expected_at (null:
+    any time; those come first). Whether a credit finds a refund waiting follows from counts alone: refunds less credits
+    so far; each time they fall to a new low, a credit goes unused. One sorted pass a user and amount, no pairs.
+    """
+    asked = pending.select("user_id", F.col("expected_amount_paise").alias("amount"), (F.col("expected_at") - F.expr(EARLY)).cast("timestamp").alias("t"), F.lit(1).alias("step"), F.lit(None).cast("long").alias("o"), F.col("id").cast("string").alias("id"))
+    came = credits.select("user_id", F.col("amount_paise").alias("amount"), F.col("txn_time").cast("timestamp").alias("t"), F.lit(-1).alias("step"), F.col("ordinal").cast("long").alias("o"), F.col("id").cast("string").alias("id"))
+    order = Window.partitionBy("user_id", "amount").orderBy(F.asc_nulls_first("t"), F.desc("step"), "o", "id")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    walk = asked.unionByName(came).where("amount is not null and (step = 1 or t is not null)").withColumn("level", F.sum("step").over(so_far))
+    # least() and min() pass over null: before the first event the low is 0.
+    walk = walk.withColumns({"low": F.least(F.lit(0), F.min("level").over(before)), "refunds": F.count_if(F.col("step") == 1).over(so_far), "credits": F.count_if(F.col("step") == -1).over(so_far)})
+    served = walk.where("step = 1 or level >= low").withColumn("number", F.when(F.col("step") == 1, F.col("refunds")).otherwise(F.col("credits") + F.col("low")))
+    pairs = served.groupBy("user_id", "amount", "number").agg(F.max(F.when(F.col("step") == 1, F.col("id"))).alias("settlement_id"), F.max(F.when(F.col("step") == -1, F.col("id"))).alias("credit_id"))
+    return pairs.where("settlement_id is not null and credit_id is not null").select("settlement_id", "credit_id")
+
+
 def write_off(settlements: DataFrame, ids: DataFrame) -> DataFrame:
     """Settlements with the listed ones (id) written off: they no longer reduce anything."""
     gone = ids.select("id", F.lit(True).alias("_off")).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from khata.functions.amounts import with_paise
 from khata.functions.masking import MONTHS, SLOTS, leak, mask
 from khata.functions.text import WS, literal, trimmed
+from khata.sources.space import written
 
 TRUST_RUNS = 5
 _SLOT = re.compile(f"§({'|'.join(SLOTS)})§")
@@ -102,7 +103,8 @@ def induce(messages: DataFrame, author: Author | None = None, runs: int = TRUST_
     key = ["issuer", "fingerprint"]
     columns = [c for c in ("body", "seq", "skeleton", "fingerprint") if c in messages.columns]
     shaped = shape(messages.select(F.coalesce("issuer", F.lit("")).alias("issuer"), *columns))
-    templates = write_patterns(clusters(shaped).drop("representative", "n"), author).drop("skeleton")
+    # Written, so that the author is asked once a cluster and not once a use of what it says.
+    templates = written(write_patterns(clusters(shaped).drop("representative", "n"), author).drop("skeleton"))
     read = apply_templates(shaped, templates).select(*key, F.col("amount_paise").isNotNull().alias("ok"))
     every = read.groupBy(*key).agg(F.bool_and("ok").alias("round_trip"))
     # The first bodies of a cluster are the ones that the round-robin checks read; each is read again by later runs.

@@ -169,6 +169,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_inputs(sql: str, *names: str) -> str:
-    """DuckDB SQL with the named inputs before it."""
-    ctes = ", ".join(f"{n} AS ({TABLES[n][0]})" for n in names)
-    return f"WITH {ctes} {sql}"
+    """DuckDB SQL with the named inputs before it; "RECURSIVE" among them lets what follows refer to itself."""
+    ctes = ", ".join(f"{n} AS ({TABLES[n][0]})" for n in names if n in TABLES)
+    return f"WITH {'RECURSIVE ' if 'RECURSIVE' in names else ''}{ctes} {sql}"

@@ -35,3 +35,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, wherever it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(spark: SparkSession, path: str) -> list[int]:
+    """The numbered folders below a path that Spark wrote to their end, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(at))
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))

@@ -14,7 +14,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from khata.functions.gating import gate
 from khata.functions.interest import TOLERANCE
-from khata.sources.space import remove
+from khata.sources.space import written
+from khata.streaming.keyed import KeyedTable
 
 #: How long a retry or a late part may come after the first.
 RETRY = "7 days"
@@ -115,57 +116,31 @@ def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
     return credits.join(p, on).select("settlement_id", F.col("id").alias("credit_id"))
 
 
-#: Parts of a ledger by key; a batch rewrites those that it touches.
-BUCKETS = 64
-
-
-def _manifest(spark: SparkSession, ledger: str, number: int) -> dict[int, int]:
-    """bucket -> the batch that wrote it last, after batch `number`: BUCKETS rows at most."""
-    if number < 0:
-        return {}
-    return {r["bucket"]: r["batch"] for r in spark.read.schema("bucket int, batch int").parquet(f"{ledger}/manifest/{number}").collect()}
-
-
-def _parts(spark: SparkSession, ledger: str, manifest: dict[int, int], schema: StructType) -> DataFrame:
-    """The rows that a manifest names, with the seq of the write that each one's values are from."""
-    schema = StructType([*schema.fields, StructField("last_seq", LongType())])
-    paths = [f"{ledger}/data/{batch}/bucket={bucket}" for bucket, batch in sorted(manifest.items())]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def _ledger(spark: SparkSession, at: str, schema: StructType) -> KeyedTable:
+    """The ledger's rows with the seq of the write that each one's values are from."""
+    return KeyedTable(spark, at, "id", StructType([*schema.fields, StructField("last_seq", LongType())]))
 
 
 def read_ledger(spark: SparkSession, ledger: str, schema: StructType) -> DataFrame:
     """The ledger as its last batch left it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{ledger}/manifest")
-    last = files.select(F.max(F.regexp_extract("path", r"/manifest/(\d+)/", 1).cast("int"))).first()[0]
-    return _parts(spark, ledger, _manifest(spark, ledger, -1 if last is None else last), schema).drop("last_seq")
+    return _ledger(spark, ledger, schema).read().drop("last_seq")
 
 
 def drain(outbox: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
     """All that waits in an outbox stream (id, seq, ...) into a ledger in Parquet; then stops. The write
     of an id with the highest seq wins, whichever batch brings it; the lowest seq is the entry's place.
 
-    A batch rewrites the buckets that its ids fall in, beside the old ones, and then names the valid ones in a manifest;
-    a repeated batch starts from the manifest before it and writes the same again. What no manifest from the last but
-    one on names is removed. Offline is simply no call.
+    A batch rewrites the parts of the ledger that its ids fall in (see KeyedTable); a repeated batch writes the same
+    again. Offline is simply no call.
     """
     schema = outbox.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        had = _manifest(spark, ledger, number - 1)
-        bucket_of = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
-        rows = batch.withColumn("last_seq", F.col("seq").cast("bigint")).withColumn("bucket", bucket_of).persist()
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
-        old = _parts(spark, ledger, {b: n for b, n in had.items() if b in touched}, schema).withColumn("bucket", bucket_of)
+        table = _ledger(batch.sparkSession, ledger, schema)
+        rows = written(batch.withColumn("last_seq", F.col("seq").cast("bigint")))
         values = [c for c in schema.names if c not in ("id", "seq")]
-        merged = old.unionByName(rows).groupBy("bucket", "id").agg(F.min("seq").alias("seq"), F.max_by(F.struct(*values), "last_seq").alias("v"), F.max("last_seq").alias("last_seq"))
-        merged = merged.select("bucket", *(c if c in ("id", "seq") else F.col(f"v.{c}") for c in schema.names), "last_seq")
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/data/{number}")
-        now = had | dict.fromkeys(touched, number)
-        spark.createDataFrame(sorted(now.items()), "bucket int, batch int").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/manifest/{number}")
-        rows.unpersist()
-        for bucket, n in (_manifest(spark, ledger, number - 2) if number > 1 else {}).items():
-            if had[bucket] != n:
-                remove(spark, f"{ledger}/data/{n}/bucket={bucket}")
+        both = table.lookup(rows, number).unionByName(rows)
+        merged = both.groupBy("id").agg(F.min("seq").alias("seq"), F.max_by(F.struct(*values), "last_seq").alias("v"), F.max("last_seq").alias("last_seq"))
+        table.put(written(merged.select(*(c if c in ("id", "seq") else F.col(f"v.{c}") for c in schema.names), "last_seq")), number)
 
     return outbox.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
