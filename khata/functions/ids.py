@@ -13,10 +13,15 @@ NAMESPACE = "b9f8a4e2-1c3d-4f5a-9b6e-7d8c9a0b1c2d"
 BUCKET_SECONDS = 10
 
 
+def reference_pattern() -> str:
+    # Fixed value: the keywords before a reference.
+    keyword = rf"(?:upi(?:{WS}*ref(?:erence)?(?:{WS}*no\.?)?)?|ref(?:erence)?(?:{WS}*(?:no|id|num)\.?)?|rrn|utr|txn{WS}*id|transaction{WS}*id)"
+    return rf"(?i){keyword}(?:[:#.-]|{WS})*((?=[a-z0-9]*[0-9])[a-z0-9]{{6,}})"
+
+
 def extract_reference(body: Column) -> Column:
     """The bank's own reference, in upper case: at least six letters and digits, a digit among them, after its keyword."""
-    keyword = rf"(?:upi(?:{WS}*ref(?:erence)?(?:{WS}*no\.?)?)?|ref(?:erence)?(?:{WS}*(?:no|id|num)\.?)?|rrn|utr|txn{WS}*id|transaction{WS}*id)"
-    return F.upper(found(body, rf"(?i){keyword}(?:[:#.-]|{WS})*((?=[a-z0-9]*[0-9])[a-z0-9]{{6,}})", 1))
+    return F.upper(found(body, reference_pattern(), 1))
 
 
 def uuid5(name: Column, namespace: str = NAMESPACE) -> Column:

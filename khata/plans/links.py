@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from khata.operators import chains
-from khata.plans.inputs import load
+from khata.functions import observed, sql
+from khata.operators import chains, tag_search
+from khata.plans.inputs import SKELETON, by_shape, load
 from khata.plans.queries import _SUMS, ORACLE_SQL, _issued, _ledger, _on_bases, _stream, query
 from khata.sources.space import new_folder
 from khata.streaming import headlines, library
@@ -73,3 +74,46 @@ def stream_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = right.withColumns({"seq": F.lit(1), "amount_effective_paise": F.col("amount_effective_paise") * 3, "status": F.when(F.col("status") == "pending", "settled").otherwise("pending"), "user_id": F.when(F.length("id") % 2 == 0, F.lit("0")).otherwise(F.col("user_id"))})
     headlines.keep_headlines(_stream(right.unionByName(wrong), at), f"{at}/headlines", f"{at}/checkpoint").awaitTermination()
     return headlines.read_headlines(spark, f"{at}/headlines")
+
+
+# Tags, leaks, SQL --------------------------------------------------------------------------------------------------------------
+
+_TAG = "SELECT DISTINCT p_partkey % 100 AS user_id, CASE p_partkey % 5 WHEN 0 THEN substr(p_name, 1, 4) WHEN 1 THEN upper(substr(p_name, 2)) WHEN 2 THEN substr(p_name, 1, 3) || 'x' || substr(p_name, 5) WHEN 3 THEN p_type ELSE reverse(p_name) END AS name FROM part"
+_TAGS = "SELECT p_partkey % 100 AS user_id, p_name AS name, min(p_partkey) AS pos FROM part GROUP BY 1, 2"
+
+
+@query(
+    f"""WITH n AS ({_TAG}), e AS ({_TAGS}), p AS (SELECT n.user_id, n.name, e.name AS tag, pos, lower(n.name) AS a, lower(e.name) AS b FROM n JOIN e USING (user_id)),
+    q AS (SELECT *, CASE WHEN length(a) < length(b) THEN a ELSE b END AS s, CASE WHEN length(a) < length(b) THEN b ELSE a END AS l FROM p),
+    c AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN contains(l, s) THEN 0.9 ELSE greatest(len(list_filter(range(1, length(s) + 1), lambda i: substr(s, 1, i) = substr(l, 1, i)))::DOUBLE / length(s), 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / length(l)) END::DOUBLE AS score FROM q)
+    SELECT user_id, name, first(tag ORDER BY score DESC, pos DESC) FILTER (WHERE score >= 0.6) AS suggestion FROM c GROUP BY user_id, name"""
+)
+def search_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mistyped, cut and other tags of a hundred users against what they have."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return tag_search.suggest_tags(*(spark.sql(q.replace("FROM part", "FROM {part}"), part=part) for q in (_TAG, _TAGS)))
+
+
+_BODY_LEAKS = "regexp_matches(lower(body), '(rs\\.?|inr|₹|rupees)\\s*[0-9]') OR regexp_matches(body, '[0-9]{3}')"
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (WHERE {_BODY_LEAKS}) AS leaks, count(DISTINCT body) AS bodies FROM messages", "messages")
+def leak_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over the bodies, which were not masked, observed beside its own result."""
+    seen = Observation()
+    bodies = observed.observed(load(spark, sf_dir, "messages"), seen, "body").select("body")
+    n = bodies.agg(F.count_distinct("body").alias("n")).first()[0]
+    return spark.createDataFrame([(seen.get["rows"], seen.get["leaks"], n)], "rows long, leaks long, bodies long")
+
+
+@query(f"SELECT seq, CAST({by_shape(lambda s: s.paise)} AS BIGINT) AS paise, sha256({SKELETON}) AS fingerprint FROM messages", "messages")
+def sql_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in SQL alone."""
+    sql.register(spark)
+    return spark.sql("SELECT seq, parse_amount(body) AS paise, fingerprint(body) AS fingerprint FROM {m}", m=load(spark, sf_dir, "messages"))
+
+
+@query(ORACLE_SQL["entry_ids"])
+def sql_entry_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql("SELECT seq, reference, entry_id(CAST(user_id AS STRING), 'HDFCBK', 'out', paise, t_sec, reference) AS entry_id FROM (SELECT *, extract_reference(body) AS reference FROM {m})", m=load(spark, sf_dir, "messages"))

@@ -71,7 +71,10 @@ class _Parts(_Keyed):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = _rows(rows)
         if self.closed.exists():
-            return
+            new = [r for r in new if r[4] > self.closed.get()[0]]
+            if not new:
+                return
+            self.closed.clear()
         held = [tuple(r) for r in self.parts.get()] + new if self.parts.exists() else new
         first = min(r[4] for r in held)
         within = [r for r in held if r[4] <= first + self.wait]
