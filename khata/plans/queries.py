@@ -402,11 +402,17 @@ def shared_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.shared_pools(_pools(spark, sf_dir))
 
 
+def _uuid(name: str) -> str:
+    """SQL of the version 5 id of a name."""
+    h = f"sha1(unhex('b9f8a4e21c3d4f5a9b6e7d8c9a0b1c2d') || encode({name}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', CAST('0x' || substr({h}, 17, 1) AS INT) % 4 + 1, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
 _KIND = "CASE ordinal % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'credit_pool' WHEN 2 THEN 'wallet' ELSE 'unattributed' END"
 
 
 @query(
-    f"""SELECT user_id, key, CASE WHEN k = 'unattributed' THEN 'bank' ELSE k END AS kind, issuer, CASE WHEN k = 'unattributed' THEN 'Unattributed at ' || issuer END AS display_name, k IN ('wallet', 'unattributed') AS balance_is_soft
+    f"""SELECT {_uuid("CAST(user_id AS STRING) || '|' || key")} AS id, true AS is_own_node, user_id, key, CASE WHEN k = 'unattributed' THEN 'bank' ELSE k END AS kind, issuer, CASE WHEN k = 'unattributed' THEN 'Unattributed at ' || issuer END AS display_name, k IN ('wallet', 'unattributed') AS balance_is_soft
     FROM (SELECT DISTINCT user_id, issuer, {_KIND} AS k, CASE ordinal % 4 WHEN 0 THEN 'bank|' || issuer || '|' || coalesce(tag_id, '?') WHEN 1 THEN 'credit|' || issuer || '|' || coalesce(tag_id, 'pool') WHEN 2 THEN 'wallet|' || issuer ELSE 'unattributed|' || issuer END AS key FROM entries)""",
     "entries",
 )
@@ -414,11 +420,11 @@ def discover_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("bank", "credit_pool", "wallet", "unattributed"))), (F.col("ordinal") % 4 + 1).cast("int"))
     detail = F.when(F.col("ordinal") % 4 == 1, F.coalesce("tag_id", F.lit("pool"))).otherwise(F.col("tag_id"))
     s = load(spark, sf_dir, "entries").select("user_id", kind.alias("kind"), "issuer", detail.alias("detail"), F.col("ordinal").alias("seq"))
-    return ledger.discover_lines(s).drop("id", "is_own_node")
+    return ledger.discover_lines(s)
 
 
 @query(
-    """SELECT user_id, kind, arg_min(issuer, ordinal) AS issuer, arg_min(line_id, ordinal) AS line_id, count(DISTINCT 1) AS one FROM
+    f"""SELECT {_uuid("user_id || '|' || kind || '|' || identity")} AS id, user_id, kind, arg_min(issuer, ordinal) AS issuer, arg_min(line_id, ordinal) AS line_id, count(DISTINCT 1) AS one FROM
     (SELECT *, CASE WHEN ordinal % 2 = 0 THEN 'upi' ELSE 'debit_card' END AS kind, CASE WHEN ordinal % 2 = 0 AND coalesce(merchant_text, '') <> '' THEN 'vpa|' || merchant_text ELSE 'card|' || issuer || '|' || coalesce(tag_id, '') END AS identity FROM entries)
     GROUP BY user_id, kind, identity""",
     "entries",
@@ -426,7 +432,7 @@ def discover_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def discover_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "entries")
     s = e.select("user_id", F.when(F.col("ordinal") % 2 == 0, "upi").otherwise("debit_card").alias("kind"), "issuer", F.col("tag_id").alias("last4"), F.when(F.col("ordinal") % 2 == 0, F.col("merchant_text")).alias("vpa"), F.lit(None).cast("string").alias("holder"), "line_id", F.col("ordinal").alias("seq"))
-    return ledger.discover_instruments(s).select("user_id", "kind", "issuer", "line_id", F.lit(1).cast("long").alias("one"))
+    return ledger.discover_instruments(s).select("id", "user_id", "kind", "issuer", "line_id", F.lit(1).cast("long").alias("one"))
 
 
 @query("SELECT id, CASE WHEN line_id LIKE '%-2' THEN user_id || '-1' ELSE line_id END AS line_id FROM entries", "entries")
@@ -595,10 +601,12 @@ def breakdowns_of_a_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregation.breakdowns(e.where((F.col("txn_time") >= F.timestamp_seconds(F.lit(10_000))) & (F.col("txn_time") < F.timestamp_seconds(F.lit(50_000)))), s)
 
 
-@query("SELECT seq FROM messages WHERE t_sec >= 900000 - 5 * 86400", "messages")
+@query("SELECT seq FROM messages WHERE t_sec * 40 >= (SELECT max(t_sec) FROM messages) * 40 - 2 * 86400", "messages")
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = load(spark, sf_dir, "messages").withColumn("received_at", F.timestamp_seconds("t_sec"))
-    return reports.backfill(m, F.timestamp_seconds(F.lit(900_000)), 5).select("seq")
+    """The last two days before the last message."""
+    m = load(spark, sf_dir, "messages").withColumn("received_at", F.timestamp_seconds(F.col("t_sec") * 40))
+    now = m.agg(F.max("received_at")).first()[0]
+    return reports.backfill(m, F.lit(now), 2).select("seq")
 
 
 # Parts, templates, the whole pipeline, streams -------------------------------------------------------------------------------------
