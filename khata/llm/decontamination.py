@@ -75,6 +75,8 @@ class Index:
     posting: np.ndarray  # of each entry's postings
     top: np.ndarray  # maximal impact of each entry
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # of items with few words, by their number: hashes, items
+    asking: set[int]  # items with an answer of their own whose question, and whose answer, is in the index
+    answering: set[int]
 
 
 def _sequences(words: np.ndarray, n: int) -> np.ndarray:
@@ -85,7 +87,7 @@ def _sequences(words: np.ndarray, n: int) -> np.ndarray:
 
 def build_index(items: list[tuple[int, str]]) -> Index | None:
     """Postings of the items' pieces with normalised impacts; None where no item has a word."""
-    of, pieces, grams, short = [], [], [], {}
+    of, pieces, grams, short, apart = [], [], [], {}, set()
     for item, text in items:
         match = _PARTS.match(text)
         parts = [match[1], match[2]] if match else [text, ""]
@@ -93,6 +95,8 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         if len(a) < GRAM or len(q) < GRAM:  # no answer of its own: the last quarter stands for it
             both = np.concatenate([q, a])
             q, a = both[: len(both) - len(both) // 4], both[len(both) - len(both) // 4 :]
+        else:
+            apart.add(item)
         words = np.concatenate([q, a])
         if len(words) < LEAST_WORDS:
             if len(words):
@@ -121,7 +125,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     entry, posting = np.unique(term * blocks + piece // BLOCK_PIECES, return_index=True)
     highest, top = (np.maximum.reduceat(impact, at) if len(at) else np.zeros(0) for at in (start[:-1], posting))
     few = {k: (np.array([h for h, _ in v], dtype=np.uint64), np.array([i for _, i in v], dtype=np.int64)) for k, v in short.items()}
-    return Index(np.array(of, dtype=np.int64), grams, terms, highest, start, piece, impact, blocks, entry, entry % max(blocks, 1), np.searchsorted(entry, np.arange(len(terms) + 1) * blocks), np.append(posting, len(piece)), top, few)
+    return Index(np.array(of, dtype=np.int64), grams, terms, highest, start, piece, impact, blocks, entry, entry % max(blocks, 1), np.searchsorted(entry, np.arange(len(terms) + 1) * blocks), np.append(posting, len(piece)), top, few, {i for i, g in zip(of, grams) if len(g[1])} & apart, {i for i, g in zip(of, grams) if len(g[2])} & apart)
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,22 +191,29 @@ def exact(index: Index, words: Words) -> Iterator[tuple[int, int]]:
 
 
 def _shared(of: np.ndarray, among: np.ndarray) -> float:
-    return float(np.isin(of, among).mean()) if len(of) else 1.0
+    return float(np.isin(of, among).mean()) if len(of) else 0.0
 
 
 def leaks(texts: list[bytes], index: Index) -> list[tuple[int, int, float, float]]:
-    """(text, item, best score, best overlap) of verified leaks, once for each text and item."""
-    best: dict[tuple[int, int], tuple[float, float]] = {}
+    """(text, item, best score, best overlap) of verified leaks, once for each text and item.
+
+    A piece that is shared holds its own share of the question or the answer, or both; an item is a leak if among the
+    pieces that a text shares one verifies the question and one the answer, so a long question alone is none. Of an item
+    without an answer of its own any piece that is shared counts.
+    """
+    best: dict[tuple[int, int], tuple[float, float, bool, bool]] = {}
     words = _words(texts)
     for text, first, end, piece, score in retrieve(index, words):
         here = _grams(words.hash[first:end])
         whole, question, answer = (_shared(g, here) for g in index.grams[piece])
-        if whole >= OVERLAP and question >= PART_OVERLAP and answer >= PART_OVERLAP:
-            key = (text, int(index.items[piece]))
-            have = best.get(key, (0.0, 0.0))
-            best[key] = (max(have[0], score * RETRIEVE), max(have[1], whole))
-    best |= {key: (1.0, 1.0) for key in exact(index, words)}
-    return [(t, i, *v) for (t, i), v in sorted(best.items())]
+        if whole < OVERLAP or any(0 < len(g) and x < PART_OVERLAP for g, x in zip(index.grams[piece][1:], (question, answer))):
+            continue
+        key = (text, int(index.items[piece]))
+        have = best.get(key, (0.0, 0.0, False, False))
+        best[key] = (max(have[0], score * RETRIEVE), max(have[1], whole), have[2] or question > 0, have[3] or answer > 0)
+    found = {key: v[:2] for key, v in best.items() if (v[2] or key[1] not in index.asking) and (v[3] or key[1] not in index.answering)}
+    found |= {key: (1.0, 1.0) for key in exact(index, words)}
+    return [(t, i, *v) for (t, i), v in sorted(found.items())]
 
 
 def indexes(benchmark: DataFrame, text: str, item: str) -> Iterator[Broadcast]:
@@ -212,7 +223,8 @@ def indexes(benchmark: DataFrame, text: str, item: str) -> Iterator[Broadcast]:
     total = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[0-9A-Za-z\x80-\uFFFF]+"))), F.lit(0))).first()[0]
     passes = max(1, -(-total * WORD_BYTES // INDEX_BYTES))
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(passes)) == k)
+        # By item, so that all texts of one item are verified together, whatever the number of passes.
+        part = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
         index = build_index(sorted((r["item"], r["t"]) for r in part.collect()))
         if index is not None:
             yield benchmark.sparkSession.sparkContext.broadcast(index)

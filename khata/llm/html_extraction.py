@@ -43,6 +43,9 @@ _NEVER = frozenset("nav footer aside form button select option optgroup input di
 _PARAGRAPH_ENDS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+#: Blocks of running text, and what holds them together without being a division of the page.
+_TEXT_BLOCKS = frozenset("p li dt dd td th caption pre blockquote figcaption summary h1 h2 h3 h4 h5 h6".split())
+_STRUCTURE = _TEXT_BLOCKS | frozenset("ul ol dl table tbody thead tfoot tr colgroup figure details hgroup".split())
 _SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 _SCOPE = frozenset("ul ol dl table td th div article section main body html aside nav footer header form blockquote".split())
 _NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
@@ -53,8 +56,8 @@ _NOT_CONTENT_NAMES = frozenset(
     cookie cookies consent gdpr notice notices notification notifications alert disclaimer copyright
     comment comments commentlist disqus respond reply replies discussion feedback form search tags taglist""".split()
 )
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
-_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -326,10 +329,16 @@ def extract_main_text(source: str | None) -> str:
         for e in range(root + 1, n):
             inside[e] = inside[page.parent[e]]
 
+    # The division that a block is part of: what is round it but lists, tables, quotes and inline markup.
+    division = list(range(n))
+    for e in range(1, n):
+        if page.tag[e] in _STRUCTURE or page.tag[e] in _INLINE:
+            division[e] = division[page.parent[e]]
+
     def selected(e: int) -> bool:
-        """On a selected path, or a heading, too short to reach the threshold, of an element that holds such text."""
+        """On a selected path, or a text block, too short to reach the threshold, of a division that holds such text."""
         block = page.block[e]
-        return page.path[block] in kept or page.tag[block] in _HEADINGS and weight[page.parent[block]] > 0
+        return page.path[block] in kept or page.tag[block] in _TEXT_BLOCKS and weight[division[block]] > 0
 
     return " ".join("".join(text for e, text, _ in page.nodes if inside[e] and selected(e) and not page.dropped[e] and not menu[e] or text == " ").split())
 

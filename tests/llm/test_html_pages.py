@@ -81,3 +81,37 @@ def test_cut_off_pages():
     assert extract_main_text("<p>One &amp; two &#x41;</p><!-- never closed <p>no</p>") == "One & two A"
     assert extract_main_text("5 < 6 and a<b>c</b>") == "5 < 6 and ac"
     assert [extract_main_text(x) for x in (None, "", "<div></div>", "   ")] == [""] * 4
+
+
+# What an article holds besides long paragraphs: (markup, words).
+KINDS = {
+    "list": ("<p>You need</p><ul><li>two eggs</li><li>sugar</li></ul>", "You need two eggs sugar"),
+    "steps": ("<ol><li>Beat</li><li>Bake it</li></ol>", "Beat Bake it"),
+    "table": ("<table><caption>Times</caption><tr><th>Mon</th><td>9</td></tr><tr><th>Tue</th><td>10</td></tr></table>", "Times Mon 9 Tue 10"),
+    "code": ("<pre>x = 1</pre>", "x = 1"),
+    "quote": ("<blockquote>So it was</blockquote>", "So it was"),
+    "quote of a paragraph": ("<blockquote><p>So it was</p></blockquote>", "So it was"),
+    "caption": ("<figure><img src=a><figcaption>The kitchen</figcaption></figure>", "The kitchen"),
+    "definitions": ("<dl><dt>Roux</dt><dd>flour in fat</dd></dl>", "Roux flour in fat"),
+    "heading": ("<h3>Notes</h3>", "Notes"),
+    "nested list": ("<ul><li>dry<ul><li>salt</li></ul></li></ul>", "dry salt"),
+    "short paragraph": ("<p>Done.</p>", "Done."),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("frame", ["<article>{}</article>", '<div id="body">{}</div>'])
+def test_short_parts_of_the_article_stay(kind, frame):
+    markup, words = KINDS[kind]
+    title, ps = article(7)
+    for before, after in ((1, 0), (1, len(ps)), (len(ps), 0)):
+        inner = f"<h1>{title}</h1>{paragraphs(ps[:before])}{markup}{paragraphs(ps[before:after])}"
+        want = f"{title} {' '.join(ps[:before])} {words} {' '.join(ps[before:after])}".split()
+        assert extract_main_text(f"<body>{NAV}{frame.format(inner)}{COMMENTS}{FOOT}</body>").split() == want
+
+
+def test_broken_names_take_linear_time():
+    for page in ("<x" * 400_000, "<x" + "a" * 1_000_000, "<x" * 200_000 + ">", "<p>a" + "<x" + "b" * 500_000 + " c"):
+        start = time.monotonic()
+        extract_main_text(page)
+        assert time.monotonic() - start < 5

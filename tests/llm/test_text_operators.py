@@ -331,3 +331,23 @@ def test_block_max_bounds_skip_nothing():
         assert {(first, piece) for _, first, _, piece, _ in decontamination.retrieve(index, passage)} == want
     finally:
         decontamination.ENTRIES = fewer
+
+
+def test_a_long_question_alone_is_no_leak(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    items = [(i, " ".join(word() for _ in range(150)) + "? " + " ".join(word() for _ in range(20))) for i in range(12)]
+    items += [(i + 20, " ".join(word() for _ in range(30)) + "? " + " ".join(word() for _ in range(9))) for i in range(12)]
+    # Some items have a second text.
+    items += [(i, " ".join(word() for _ in range(40)) + "? " + " ".join(word() for _ in range(12))) for i in range(6)]
+    docs, want = [], set()
+    for k, (item, text) in enumerate(items):
+        question, answer = text.split("? ")
+        docs += [(3 * k, f"{word()} {text} {word()}"), (3 * k + 1, " ".join(question.split()[:120])), (3 * k + 2, f"{word()} {answer} {word()}")]
+        want.add((3 * k, item))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(df, bench).collect())
+    assert found() == sorted(want)
+    # One row a document and item in any number of passes.
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", 60_000)
+    assert found() == sorted(want)
