@@ -565,7 +565,7 @@ def suspected_emi(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and expenses of fewer users and amounts than there are, so that they meet."""
-    gated = gating.gate(load(spark, sf_dir, "messages").withColumn("sender", F.lit("VM-YESBNK")))
+    gated = written(gating.gate(load(spark, sf_dir, "messages").withColumn("sender", F.lit("VM-YESBNK"))))
     rows = gated.select(F.col("seq").cast("string").alias("id"), "seq", (F.col("user_id") % 50).alias("user_id"), (F.col("paise") % 300).alias("amount_paise"), F.timestamp_seconds("t_sec").alias("received_at"), "gate", F.when(classify.verb_direction(F.col("body")) == "out", "EXPENSE").alias("direction"), amounts.has_amount(F.col("body")).alias("named"))
     return settlement.code_links(rows.where("gate.buffered and named"), rows.where("gate.admit"), 86_400)
 
@@ -667,7 +667,8 @@ _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) |
 def ledger_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages to ledger: templates are induced from all messages that become entries, gated and masked once."""
     m = load(spark, sf_dir, "messages").select("seq", "user_id", "sender", "body", F.timestamp_seconds("t_sec").alias("received_at"))
-    m = written(templates.shape(written(gating.gate(m).where("gate.admit"))))
+    # Gated, written and only then filtered: the filter would bring the whole gate into the stage a second time.
+    m = written(templates.shape(written(gating.gate(m)).where("gate.admit")))
     learned = written(templates.induce(m.withColumn("issuer", F.col("gate.entity"))))
     return build_entries(m, learned).withColumn("txn_sec", F.unix_seconds("txn_time")).drop("txn_time")
 
