@@ -50,3 +50,15 @@ def reversal_roots(entries: DataFrame) -> DataFrame:
     """id, root, hops: the entry that a reversal, or a reversal of reversals, is about in the end, known or not. An odd
     number of hops undoes it, an even one restores it; in a circle both are null."""
     return roots(entries.select("id", "reverses_entry_id"), "id", "reverses_entry_id")
+
+
+def pool_groups(lines: DataFrame) -> DataFrame:
+    """id, first, n: each credit pool that shows the same available credit as others of its user and issuer, with the
+    smallest id among them and how many they are; operators.ledger.shared_pools without its pairs, so a line is one row.
+
+    Unknown issuers are equal. Groups are counted before they meet their lines, so none has to fit in a task.
+    """
+    pools = lines.where("kind = 'credit_pool' and available_credit_paise is not null").withColumn("_issuer", F.struct("issuer"))
+    keys = ["user_id", "_issuer", "available_credit_paise"]
+    groups = pools.groupBy(*keys).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return pools.join(groups, keys).select("id", "first", "n")

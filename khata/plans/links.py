@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from khata.functions import observed, sql
 from khata.operators import chains, tag_search
 from khata.plans.inputs import SKELETON, by_shape, load
-from khata.plans.queries import _SUMS, ORACLE_SQL, _issued, _ledger, _on_bases, _stream, query
+from khata.plans.queries import _SUMS, ORACLE_SQL, _issued, _ledger, _on_bases, _pools, _stream, query
 from khata.sources.space import new_folder
 from khata.streaming import headlines, library
 
@@ -49,6 +49,14 @@ def merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.merge_lines(lines, e.select("id", "line_id", F.lit(False).alias("is_confirmed")), e, merges)[2].select("id", "line_id")
 
 
+@query(
+    """SELECT id, first, n FROM (SELECT c_custkey AS id, min(c_custkey) OVER g AS first, count(*) OVER g AS n FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 9 <> 0
+    WINDOW g AS (PARTITION BY c_custkey % 20, nullif(c_nationkey % 5, 0), CAST(floor(abs(c_acctbal)) AS BIGINT) % 50)) WHERE n > 1"""
+)
+def pool_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.pool_groups(_pools(spark, sf_dir))
+
+
 # Kept from streams -----------------------------------------------------------------------------------------------------------
 
 

@@ -363,15 +363,15 @@ def near_duplicate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.near_duplicates(load(spark, sf_dir, "entries"), 3600)
 
 
-@query("SELECT CAST(ordinal % 500 AS STRING) AS id, min(ordinal) AS seq, arg_max(amount_captured_paise, ordinal) AS amount_captured_paise, arg_max(direction, ordinal) AS direction FROM entries GROUP BY 1", "entries")
+@query("SELECT CAST(ordinal // 3 AS STRING) AS id, min(ordinal) AS seq, arg_max(amount_captured_paise, ordinal) AS amount_captured_paise, arg_max(direction, ordinal) AS direction FROM entries GROUP BY 1", "entries")
 def upsert_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "entries").select((F.col("ordinal") % 500).cast("string").alias("id"), F.col("ordinal").alias("seq"), "amount_captured_paise", "direction")
+    e = load(spark, sf_dir, "entries").select(F.expr("ordinal DIV 3").cast("string").alias("id"), F.col("ordinal").alias("seq"), "amount_captured_paise", "direction")
     return ledger.upsert(e)
 
 
-@query("SELECT CAST(ordinal % 500 AS STRING) AS id, min(ordinal) AS seq, arg_max_null(category_id, CASE WHEN ordinal % 2 = 0 THEN ordinal END) AS category_id FROM entries GROUP BY 1", "entries")
+@query("SELECT CAST(ordinal // 3 AS STRING) AS id, min(ordinal) AS seq, arg_max_null(category_id, CASE WHEN ordinal % 2 = 0 THEN ordinal END) AS category_id FROM entries GROUP BY 1", "entries")
 def patch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "entries").select((F.col("ordinal") % 500).cast("string").alias("id"), F.col("ordinal").alias("seq"), "category_id", (F.col("ordinal") % 2 == 0).alias("set_category_id"))
+    e = load(spark, sf_dir, "entries").select(F.expr("ordinal DIV 3").cast("string").alias("id"), F.col("ordinal").alias("seq"), "category_id", (F.col("ordinal") % 2 == 0).alias("set_category_id"))
     return ledger.patch(e, ("category_id",))
 
 
@@ -686,11 +686,11 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.dashboard(*_ledger(spark, sf_dir))
 
 
-@query("SELECT CAST(ordinal % 500 AS STRING) AS id, min(ordinal) AS seq, arg_max(amount_captured_paise, ordinal) AS amount_captured_paise FROM entries GROUP BY 1", "entries")
+@query("SELECT CAST(ordinal // 3 AS STRING) AS id, min(ordinal) AS seq, arg_max(amount_captured_paise, ordinal) AS amount_captured_paise FROM entries GROUP BY 1", "entries")
 def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries' writes in four files, one a batch, into a ledger."""
     at = new_folder(spark)
-    writes = load(spark, sf_dir, "entries").select((F.col("ordinal") % 500).cast("string").alias("id"), F.col("ordinal").alias("seq"), "amount_captured_paise")
+    writes = load(spark, sf_dir, "entries").select(F.expr("ordinal DIV 3").cast("string").alias("id"), F.col("ordinal").alias("seq"), "amount_captured_paise")
     ingest.drain(_stream(writes, at), f"{at}/ledger", f"{at}/checkpoint").awaitTermination()
     return ingest.read_ledger(spark, f"{at}/ledger", writes.schema)
 
