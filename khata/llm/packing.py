@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from khata.llm.common import as_bytes, chunks, table
-from khata.llm.token_counts import BLOCK_BYTES, ENCODE_BYTES, MEMO_LENGTH, MEMO_PIECES, _PLAIN, _byte_letters
+from khata.llm.token_counts import BLOCK_BYTES, ENCODE_BYTES, MEMO_LENGTH, MEMO_PIECES, _CUTS, _PLAIN, _byte_letters
 
 WINDOW = 2048
 #: Windows that are dealt together, tokens that a window of a block is left short, and the longest piece of a remainder.
@@ -30,7 +29,6 @@ WINDOWS, SLACK, CUT = 64, 24, 512
 #: Token after every text.
 END = 1
 _BYTES = 4
-_CUTS = re.compile(rb"[0-9]|[^0-9]+")
 
 
 class Encoder:

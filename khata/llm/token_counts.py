@@ -1,8 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are cut at safe boundaries (ASCII white space, where the tokenizer splits words in any case), so no long text
-is encoded whole. The distinct pieces of a byte-balanced block of rows are encoded together and only their lengths
-are kept; a bounded memo serves pieces seen before.
+is encoded whole; a long piece without any is cut at its digits. The distinct pieces of a byte-balanced block of rows are
+encoded together and only their lengths are kept; a bounded memo serves pieces seen before.
 """
 
 from __future__ import annotations
@@ -45,6 +45,9 @@ def _encoder(path: str):
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){0,64})([!-&(-/:;=>?@\[-`{-~]{0,64})")
 
 
+_CUTS = re.compile(rb"[0-9]|[^0-9]+")
+
+
 def _byte_letters() -> dict[int, str]:
     """The usual byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ..."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -98,8 +101,15 @@ class _Counter:
             if tail:
                 n += known(tail) or run(tail)
             found[piece] = n
-        for _, part in chunks(rest, ENCODE_BYTES):
-            found.update(zip(part, self.whole([p.decode("utf-8") for p in part])))
+        # Digits are tokens of their own, so a long piece is cut at them.
+        cuts = [_CUTS.findall(p) if len(p) > MEMO_LENGTH else [p] for p in rest]
+        flat: list[int] = []
+        for _, part in chunks([x for c in cuts for x in c], ENCODE_BYTES):
+            flat += self.whole([p.decode("utf-8") for p in part])
+        at = 0
+        for piece, c in zip(rest, cuts):
+            found[piece] = sum(flat[at : at + len(c)])
+            at += len(c)
         return found
 
     def counts(self, texts: list[bytes]) -> list[int]:
