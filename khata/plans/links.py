@@ -19,7 +19,7 @@ def _walk(links: str) -> str:
     ended AS (SELECT child, up AS root, hops FROM r WHERE up NOT IN (SELECT child FROM links))"""
 
 
-# Reversals of reversals: the third of each ten entries and further ones refer to earlier ones, every hundredth pair to each other.
+# Reversals of reversals: three of four entries refer to the one at half their place, two of each hundred to each other.
 _REVERSES = "CASE WHEN ordinal % 100 = 98 THEN ordinal + 1 WHEN ordinal % 100 = 99 THEN ordinal - 1 WHEN ordinal % 4 <> 0 THEN ordinal // 2 END"
 
 

@@ -1,7 +1,6 @@
 """Keyed state, timers, libraries, kept sums, chains and searches against batch operators and brute force."""
 
 import datetime as dt
-import itertools
 import random
 
 import pytest
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from khata.functions import amounts, ids, masking, observed, sql
 from khata.operators import aggregation, chains, ledger, reconciliation, settlement, tag_search, templates
 from khata.streaming import headlines, keyed, library, stateful
-from tests.test_streams import batches, run
+from tests.test_streams import batches
 
 DAY = dt.datetime(2026, 1, 1, 12)
 
