@@ -2,9 +2,11 @@
 
 Every pass hashes vectors, less their mean, with its own random projections; the signs, concatenated, order the vectors
 of a label lexicographically, so that near vectors tend to be neighbours. In each pass a vector is compared with its
-block and at least its WINDOW next neighbours; verified pairs are united over the passes, of which there are the more,
-the larger the largest label. Links are then counted by comparing every component with itself, tile by tile, so that no
-window cuts a dense group short. Equal vectors are one class.
+block and at least its WINDOW next neighbours; verified pairs are united over the passes. How many passes there are is
+measured on the data: PROBES vectors get a made partner each, just at the threshold, that is ordered with all the others,
+and passes go on until all but MISSED of these partners have met a vector they are linked with. Links are then counted by
+comparing every component with itself, tile by tile, so that no window cuts a dense group short. Equal vectors are one
+class.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from khata.llm.common import components, cut, drop_cut, numbered, table, united
 
 #: Passes at least, and those of one batch, whose shuffles are gone before the next one's.
 PASSES = 8
-#: Share of the pairs just at the threshold that all passes together may miss, by the passes' number.
+#: Share of the probes that all passes together may miss, and the number of probes: a fixed number of made vectors, so
+#: that at 0.02 the share missed is known to about 0.003 (one standard error), however many rows there are.
 MISSED = 0.02
+PROBES = 2_000
 PROJECTIONS = 48
 WINDOW = 256
 COSINE = 0.93
@@ -40,14 +44,14 @@ def _usable(vector: str):
     return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def _slots(classes: DataFrame, block: int) -> tuple[dict[tuple, int], int]:
-    """((label or None for all, length) -> number of a mean, rows of the largest label); 2 / OWN_MEAN slots at most."""
+def _slots(classes: DataFrame, block: int) -> dict[tuple, int]:
+    """(label or None for all, length) -> number of a mean; 2 / OWN_MEAN slots at most."""
     sizes = cut(classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n")))
-    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(block, OWN_MEAN * total)
     lengths = sizes.groupBy("dim").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
     own = sizes.where(F.col("n") >= least).collect()
-    return {k: i for i, k in enumerate([*((None, r["dim"]) for r in lengths), *((r["label"], r["dim"]) for r in own)])}, most
+    return {k: i for i, k in enumerate([*((None, r["dim"]) for r in lengths), *((r["label"], r["dim"]) for r in own)])}
 
 
 def _means(classes: DataFrame, slots: dict[tuple, int]) -> dict[int, np.ndarray]:
@@ -75,33 +79,41 @@ def _means(classes: DataFrame, slots: dict[tuple, int]) -> dict[int, np.ndarray]
     return {r["slot"]: np.array(r["mean"]) for r in rows}
 
 
-def _met(rows: int, agree: float, window: int, block: int) -> float:
-    """Chance that one pass compares a pair whose signs agree with probability `agree`, in a label of so many rows.
+def _probes(classes: DataFrame, cosine: float) -> DataFrame:
+    """cid, label, vector: the made partners of PROBES classes, chosen by a hash of their ids; written.
 
-    Codes are taken as even: a pair that parts after k signs lies in a run of rows / 2^k, its two halves' sides apart.
+    A partner is the class's unit vector turned in a random direction until their cosine is just over the threshold.
     """
-    out, places = 0.0, (np.arange(256) + 0.5) / 256
-    weight = np.minimum(places, 1 - places)
-    for k in range(PROJECTIONS):
-        reached = np.clip(1 - (places * rows / 2**k - window) / block, 0, 1)
-        out += agree**k * (1 - agree) * float(reached @ weight / weight.sum())
-    return out
+    near = min(cosine + 1e-6, 1.0)
 
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cid, vector in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                x = _unit([vector])[0]
+                side = np.random.default_rng([SEED, cid & (1 << 63) - 1]).standard_normal(len(x))
+                side -= (side @ x) * x
+                length = math.sqrt(side @ side)
+                out.append((near * x + math.sqrt(1 - near * near) * side / length if length > 1e-9 else x).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["cid", "label", "vector"])
+
+    some = classes.select("cid").distinct().orderBy(F.xxhash64("cid", F.lit(SEED)), "cid").limit(PROBES)
+    label = dict(classes.dtypes)["label"]
+    # PROBES ids of 8 bytes: a proven bound for the broadcast.
+    return cut(classes.select("cid", "label", "vector").join(F.broadcast(some), "cid").mapInArrow(turn, f"cid long, label {label}, vector array<double>"))
 
-def passes_for(rows: int, cosine: float, window: int, block: int, mean: float = 0.0) -> int:
-    """Passes that leave out MISSED of the pairs at the threshold. mean: squared length of the mean that was taken off.
 
-    Less the mean, a pair at the threshold is as far apart as before, but its vectors are shorter, so their angle is
-    wider. Where the rest is so short that any two vectors are links, it counts as just that long.
-    """
-    rest = max(1 - mean, 2 * (1 - cosine), 1e-9)
-    agree = 1 - math.acos(max(-1.0, 1 - (1 - cosine) / rest)) / math.pi
-    met = min(_met(rows, agree, window, block), 1 - 1e-9)
-    return max(1, math.ceil(math.log(MISSED) / math.log1p(-met)))
+def more_passes(done: int, met: int, probes: int, least: int) -> int:
+    """Passes of the next batch, PASSES at most: 0 once all but MISSED of the probes have met in `least` passes or more."""
+    missed = 1 - met / probes if probes else 0.0
+    if missed <= MISSED:
+        return max(0, min(PASSES, least - done))
+    need = done * (math.log(MISSED) / math.log(missed) - 1) if 0 < missed < 1 else PASSES
+    return max(1, min(PASSES, math.ceil(max(need, least - done))))
 
 
 def _order_keys(first: int, passes: int, projections: int, slots: dict[tuple, int], means: dict[int, np.ndarray]):
-    """cid, label, vector -> cid, label, pass, key: the signs of the passes' projections as numbers."""
+    """cid, label, vector, probe -> cid, label, probe, pass, key: the signs of the passes' projections as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -121,14 +133,14 @@ def _order_keys(first: int, passes: int, projections: int, slots: dict[tuple, in
                 sign = (x @ planes[dim] > 0).reshape(len(at), passes, projections)
                 key[at] = sign @ (1 << np.arange(projections - 1, -1, -1, dtype=np.int64))
             again = pa.array(np.repeat(np.arange(len(cid)), passes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(cid))), pa.array(key.ravel())], names=["cid", "label", "pass", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), batch.column(3).take(again), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(cid))), pa.array(key.ravel())], names=["cid", "label", "probe", "pass", "key"])
 
     return run
 
 
 def _positions(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cid, pass, label, at; the written table that it reads), at: place in the order of (pass, label, key, cid)."""
-    at, placed = numbered(keys, ["pass", "label", "key", "cid"])
+    """(cid, probe, pass, label, at; the written table that it reads), at: place in the order of (pass, label, key, cid)."""
+    at, placed = numbered(keys, ["pass", "label", "key", "cid", "probe"])
     return at.drop("key"), placed
 
 
@@ -174,19 +186,24 @@ def _grouped(solve):
 
 
 def _unite(cosine: float):
-    """A block's rows (block, label, cid, vector) -> a, b: every row tied to the first one it is linked with."""
+    """A block's rows (block, label, cid, probe, vector) -> a, b: every row tied to the first one it is linked with; and
+    (a, null) for each probe of class a that is linked with a row. Probes tie no rows."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         label, cid = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        size = np.array([len(r[3]) for r in rows])
-        first = np.arange(len(rows))
+        probe = np.array([r[3] for r in rows], dtype=bool)
+        size = np.array([len(r[4]) for r in rows])
+        first, met = np.arange(len(rows)), np.zeros(len(rows), dtype=bool)
         for dim in np.unique(size):
             some = np.flatnonzero(size == dim)
-            x = _unit([rows[k][3] for k in some])
-            i, j = np.nonzero(np.triu(_near(x, x, cosine), 1) & (label[some][:, None] == label[some][None, :]))
+            x = _unit([rows[k][4] for k in some])
+            near = _near(x, x, cosine) & (label[some][:, None] == label[some][None, :]) & ~probe[some][None, :]
+            met[some] = probe[some] & near.any(axis=1)
+            i, j = np.nonzero(np.triu(near & ~probe[some][:, None], 1))
             first = np.minimum(first, united(len(rows), some[i], some[j]))
-        tied = np.flatnonzero(first != np.arange(len(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(cid[first[tied]]), pa.array(cid[tied])], names=["a", "b"])
+        tied, known = np.flatnonzero(first != np.arange(len(rows))), cid[met]
+        b = pa.array(np.concatenate([cid[tied], known]), mask=np.arange(len(tied) + len(known)) >= len(tied))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([cid[first[tied]], known])), b], names=["a", "b"])
 
     return _grouped(solve)
 
@@ -194,28 +211,30 @@ def _unite(cosine: float):
 def candidates(classes: DataFrame, cosine: float, passes: int, window: int, block: int) -> DataFrame:
     """a, b: pairs of classes (cid, label, vector) that verified links of the passes connect; written.
 
-    passes: at least so many; more where the largest label has too many rows for them.
+    passes: at least so many; more until the probes have met.
     """
-    slots, most = _slots(classes, block)
+    if block < 2 or window < 1:
+        raise ValueError("a block holds two positions or more, a window one or more")
+    slots = _slots(classes, block)
     means = _means(classes, slots)
-    mean = max((float(m @ m) for m in means.values()), default=0.0)
-    every = max(passes, passes_for(most, cosine, window, block, mean))
     label = dict(classes.dtypes)["label"]
-    found = []
-    for first in range(0, every, PASSES):
-        some = min(PASSES, every - first)
-        keys = classes.select("cid", "label", "vector").mapInArrow(_order_keys(first, some, PROJECTIONS, slots, means), f"cid long, label {label}, pass int, key long")
+    probes = _probes(classes, cosine)
+    rows = classes.select("cid", "label", "vector", F.lit(False).alias("probe")).unionByName(probes.withColumn("probe", F.lit(True)))
+    asked = probes.select("cid").distinct().count()
+    found, first, some = None, 0, max(1, min(PASSES, passes))
+    while some:
+        keys = rows.mapInArrow(_order_keys(first, some, PROJECTIONS, slots, means), f"cid long, label {label}, probe boolean, pass int, key long")
         at, placed = _positions(keys)
         # A row's own block, and the next one where that begins within the window.
         home = F.floor(F.col("at") / block)
         blocks = F.when(F.col("at") % block >= block - window, F.array(home, home + 1)).otherwise(F.array(home))
-        rows = at.withColumn("block", F.explode(blocks)).select("cid", (F.col("block") * some + F.col("pass")).alias("block"), "label").join(classes.select("cid", "vector"), "cid")
-        found.append(cut(rows.select("block", "label", "cid", "vector").repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_unite(cosine), "a long, b long").distinct()))
+        sent = at.withColumn("block", F.explode(blocks)).select("cid", "probe", (F.col("block") * some + F.col("pass")).alias("block"), "label").join(rows.select("cid", "probe", "vector"), ["cid", "probe"])
+        new = cut(sent.select("block", "label", "cid", "probe", "vector").repartition("block").sortWithinPartitions("block", "cid", "probe").mapInArrow(_unite(cosine), "a long, b long").distinct())
         drop_cut(placed)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        found = new if found is None else found.unionByName(new)
+        first += some
+        some = more_passes(first, found.where("b is null").select("a").distinct().count(), asked, passes)
+    return found.where("b is not null")
 
 
 def _count(cosine: float):

@@ -83,9 +83,29 @@ def test_embedding_recall_in_a_label_far_larger_than_a_block(spark, mean):
     assert recall >= 0.95
 
 
-def test_passes_grow_with_the_label():
-    some = [embedding_dedup.passes_for(n, 0.93, 256, 1024) for n in (0, 10**4, 10**6, 10**8)]
-    assert some == sorted(some) and some[0] == 1 and some[-1] > embedding_dedup.PASSES
+def test_embedding_recall_in_clusters(spark):
+    """Planted pairs in 20 clusters of cosine 0.83, which no one pass tells apart; 3,750 blocks of 8."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre = unit(rng.standard_normal((20, 64)))
+    x = unit(math.sqrt(0.83) * centre[rng.integers(20, size=30_000)] + math.sqrt(0.17) * unit(rng.standard_normal((30_000, 64))))
+    side = rng.standard_normal((2_000, 64))
+    side = unit(side - (side * x[:2_000]).sum(axis=1, keepdims=True) * x[:2_000])
+    x[2_000:4_000] = 0.935 * x[:2_000] + math.sqrt(1 - 0.935**2) * side
+    links = {(int(i) + at, int(j)) for at in range(0, 30_000, 3_000) for i, j in zip(*np.nonzero(x[at : at + 3_000] @ x.T >= 0.93)) if i + at < j}
+    assert len(links) >= 2_000
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    component = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_vectors(df, block=32, window=8).collect()}
+    recall = sum(component[i] == component[j] for i, j in links) / len(links)
+    print(f"recall {recall:.4f} of {len(links)}")
+    assert recall >= 0.95
+
+
+def test_passes_go_on_until_the_probes_have_met():
+    more = embedding_dedup.more_passes
+    assert more(8, 0, 0, 8) == 0  # no rows
+    assert more(8, 1_990, 2_000, 8) == 0 and more(8, 1_990, 2_000, 10) == 2
+    assert 1 <= more(8, 1_950, 2_000, 8) <= more(8, 1_500, 2_000, 8) <= more(8, 0, 2_000, 8) == embedding_dedup.PASSES
 
 
 def accuracy(spark, query, label):
