@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from khata.llm.common import Rolling, Words, as_bytes, chunks, mix64, table
+from khata.llm.common import Rolling, Words, as_bytes, chunks, cut, mix64, table
 
 PIECE_WORDS = 64
 #: A passage retrieves a piece at this share of the piece's score for itself.
@@ -85,8 +85,18 @@ def _sequences(words: np.ndarray, n: int) -> np.ndarray:
     return Rolling(words, 0xA0761D6478BD642F).of(at, at + n)
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    """Postings of the items' pieces with normalised impacts; None where no item has a word."""
+@dataclass
+class Weights:
+    """What the retrieval counts over all items of a benchmark, of which an index may hold a part."""
+
+    pieces: int
+    words: int
+    terms: np.ndarray  # sorted word hashes, those of the index at least
+    df: np.ndarray  # pieces that hold each term
+
+
+def _pieces(items: list[tuple[int, str]]) -> tuple[list, list, list, dict, set]:
+    """(item of each piece, its words, its trigrams; items with few words by their number, items with an answer)."""
     of, pieces, grams, short, apart = [], [], [], {}, set()
     for item, text in items:
         match = _PARTS.match(text)
@@ -108,6 +118,15 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
             of.append(item)
             pieces.append(words[i:end])
             grams.append((_grams(words[i:end]), _grams(q[i:end]), _grams(a[max(0, i - len(q)) : max(0, end - len(q))])))
+    return of, pieces, grams, short, apart
+
+
+def build_index(items: list[tuple[int, str]], weights: Weights | None = None) -> Index | None:
+    """Postings of the items' pieces with normalised impacts; None where no item has a word.
+
+    weights: of all items, where these are a part of them.
+    """
+    of, pieces, grams, short, apart = _pieces(items)
     if not pieces and not short:
         return None
     n = len(pieces)
@@ -116,9 +135,11 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     terms, term_of = np.unique(flat, return_inverse=True)
     pairs, tf = np.unique(term_of * max(n, 1) + np.repeat(np.arange(n), length), return_counts=True)
     term, piece = pairs // max(n, 1), pairs % max(n, 1)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[piece] / (length.mean() if n else 1.0)))
+    if weights is None:
+        weights = Weights(n, int(length.sum()), terms, np.bincount(term, minlength=len(terms)))
+    df = weights.df[np.searchsorted(weights.terms, terms)]
+    idf = np.log(1 + (weights.pieces - df + 0.5) / (df + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[piece] * (weights.pieces / max(weights.words, 1))))
     impact /= RETRIEVE * np.bincount(piece, weights=impact, minlength=n)[piece]
     start = np.searchsorted(term, np.arange(len(terms) + 1))
     blocks = -(-n // BLOCK_PIECES)
@@ -216,16 +237,46 @@ def leaks(texts: list[bytes], index: Index) -> list[tuple[int, int, float, float
     return [(t, i, *v) for (t, i), v in sorted(found.items())]
 
 
+def _counted(items: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(item, term: the words of each item; term, df: the pieces that hold it; pieces and words of all) of all items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pieces = _pieces([(item, t)])[1]
+                terms, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, pieces)]), return_counts=True)
+                rows.append((item, None, len(pieces), sum(map(len, pieces))))
+                rows += [(item, x, n, 0) for x, n in zip(terms.view(np.int64).tolist(), held.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["item", "term", "pieces", "words"])
+
+    rows = cut(items.mapInArrow(run, "item long, term long, pieces long, words long"))
+    held = cut(rows.where("term is not null").groupBy("term").agg(F.sum("pieces").alias("df")))
+    pieces, words = rows.where("term is null").agg(F.sum("pieces"), F.sum("words")).first()
+    return rows.where("term is not null").select("item", "term"), held, pieces or 0, words or 0
+
+
+def _weights(counted: tuple[DataFrame, DataFrame, int, int], part) -> Weights:
+    """The counts over all items of the words of a part, which are no more than its index has."""
+    rows, held, pieces, words = counted
+    some = rows.where(part).select("term").distinct().join(held, "term").toArrow()
+    terms, df = some["term"].to_numpy().view(np.uint64), some["df"].to_numpy()
+    order = np.argsort(terms)
+    return Weights(pieces, words, terms[order], df[order])
+
+
 def indexes(benchmark: DataFrame, text: str, item: str) -> Iterator[Broadcast]:
     """Broadcast indexes of at most about INDEX_BYTES each, which together hold all items."""
     items = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).alias("t")).distinct()
     # A word stands in two pieces at most: postings, block maxima and trigrams take WORD_BYTES.
     total = items.agg(F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[0-9A-Za-z\x80-\uFFFF]+"))), F.lit(0))).first()[0]
     passes = max(1, -(-total * WORD_BYTES // INDEX_BYTES))
+    # By item, so that all texts of one item are verified together, whatever the number of passes.
+    part = F.pmod(F.xxhash64("item"), F.lit(passes))
+    counted = _counted(items) if passes > 1 else None
     for k in range(passes):
-        # By item, so that all texts of one item are verified together, whatever the number of passes.
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
-        index = build_index(sorted((r["item"], r["t"]) for r in part.collect()))
+        weights = _weights(counted, part == k) if passes > 1 else None
+        index = build_index(sorted((r["item"], r["t"]) for r in items.where(part == k).collect()), weights)
         if index is not None:
             yield benchmark.sparkSession.sparkContext.broadcast(index)
 
@@ -255,7 +306,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text:
     score: BM25 as a share of the piece's own, overlap: share of its trigrams, both of the best passage. Null or empty
     texts and items match nothing. An item under LEAST_WORDS words is found where its words stand on end (score and
     overlap 1). Narrow: every task holds the index, whose size is checked; a larger benchmark is taken in passes by a
-    hash of the item.
+    hash of the item, with word weights counted over all items, so that rows and scores are those of one pass.
     """
     schema = f"{id_} long, item_id long, score double, overlap double"
     out = None

@@ -301,12 +301,21 @@ def test_decontamination_of_short_and_long_items(spark):
 
 
 def test_decontamination_in_passes(spark, monkeypatch):
+    """Rows and scores are those of one pass: words are weighed over all items, of which each pass has a part."""
     rng = random.Random(13)
-    items = [(k, " ".join(f"t{rng.randrange(500)}" for _ in range(30))) for k in range(30)]
+    # Frequent and rare words, items of one piece and of several, an item with two texts, one too short for the index.
+    words = rng.choices(range(500), weights=[1 / (1 + w) for w in range(500)], k=4_000)
+    item = lambda n: " ".join(f"t{w}" for w in rng.sample(words, n))
+    items = [(k, item(30 + 10 * (k % 9))) for k in range(30)] + [(3, item(40)), (99, "only five words of it")]
+    docs = frame(spark, [(k, f"{item(50)} {text} {item(50)}") for k, (_, text) in enumerate(items)] + [(200 + k, item(300)) for k in range(30)])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontamination, "INDEX_BYTES", 40_000)
-    assert len(list(decontamination.indexes(bench, "text", "item_id"))) > 2
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame(spark, items), bench).collect()} == {(k, k) for k in range(30)}
+    rows = lambda: sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["overlap"]) for r in decontamination.find_leaks(docs, bench).collect())
+    whole = rows()
+    assert {r[:2] for r in whole} == {(k, i) for k, (i, _) in enumerate(items)}
+    for size, least in ((80_000, 2), (20_000, 8)):
+        monkeypatch.setattr(decontamination, "INDEX_BYTES", size)
+        assert len(list(decontamination.indexes(bench, "text", "item_id"))) >= least
+        assert rows() == whole
 
 
 def test_block_max_bounds_skip_nothing():
