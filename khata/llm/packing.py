@@ -231,7 +231,10 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", id_: str = "doc_i
             return pa.RecordBatch.from_arrays(columns, names=[id_, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            # Of documents that are out only those with pieces still held are remembered.
+            # Of documents that are out only those with pieces still held are remembered: rows that name others go first.
+            if rows:
+                yield flush()
+                rows = []
             oldest = packer.held[0][0] if packer.held else base + len(ids)
             ids, tokens, base = ids[oldest - base :], tokens[oldest - base :], oldest
             ids += batch.column(0).to_pylist()

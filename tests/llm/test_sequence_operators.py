@@ -137,6 +137,19 @@ def test_op12_against_the_library(spark):
     check_packed(QUERIES["op12_packing"](spark, sf).collect(), docs, 0.03)
 
 
+def test_packing_over_many_batches_of_one_task(spark):
+    from pyspark.sql import functions as F
+
+    texts = {i: "word " * (i * 7 % 900) for i in range(600)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        check_packed(packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).collect(), texts, 0.03)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_packing_of_odd_rows(spark):
     from pyspark.sql import functions as F
 
