@@ -17,14 +17,15 @@ def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
     """settlement_id, credit_id: each pending refund with the first credit of its amount that is not too early.
 
     credits: id, user_id, amount_paise, txn_time, ordinal; pending: id, user_id, expected_amount_paise, expected_at
-    (null: any time). A credit of another line may match. Of several credits the earliest is taken.
+    (null: any time). A credit of another line may match. Of several credits the earliest is taken; an id that several
+    pending refunds share has one row, with the earliest credit of them all.
     """
-    asked = pending.select("user_id", F.col("expected_amount_paise").alias("amount"), (F.col("expected_at") - F.expr(EARLY)).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("o"), F.col("id").alias("settlement_id"), F.lit(None).cast("string").alias("credit_id"))
-    came = credits.select("user_id", F.col("amount_paise").alias("amount"), F.col("txn_time").alias("t"), F.lit(1).alias("kind"), F.col("ordinal").cast("long").alias("o"), F.lit(None).cast("string").alias("settlement_id"), F.col("id").alias("credit_id"))
+    asked = pending.select("user_id", F.col("expected_amount_paise").alias("amount"), (F.col("expected_at") - F.expr(EARLY)).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("o"), F.col("id").alias("settlement_id"), F.lit(None).cast("struct<id: string, t: timestamp, o: long>").alias("credit"))
+    came = credits.select("user_id", F.col("amount_paise").alias("amount"), F.col("txn_time").alias("t"), F.lit(1).alias("kind"), F.col("ordinal").cast("long").alias("o"), F.lit(None).cast("string").alias("settlement_id"), F.struct(F.col("id").cast("string").alias("id"), F.col("txn_time").cast("timestamp").alias("t"), F.col("ordinal").cast("long").alias("o")).alias("credit"))
     # In the order of times, a refund of any time first, the credit that follows a refund next is its own.
     ahead = Window.partitionBy("user_id", "amount").orderBy(F.asc_nulls_first("t"), "kind", "o").rowsBetween(0, Window.unboundedFollowing)
-    out = asked.unionByName(came).withColumn("credit_id", F.first("credit_id", ignorenulls=True).over(ahead))
-    return out.where("settlement_id is not null and credit_id is not null").select("settlement_id", "credit_id")
+    out = asked.unionByName(came).withColumn("credit", F.first("credit", ignorenulls=True).over(ahead)).where("settlement_id is not null and credit is not null")
+    return out.groupBy("settlement_id").agg(F.min_by("credit.id", F.struct("credit.t", "credit.o", "credit.id")).alias("credit_id"))
 
 
 def settle_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
