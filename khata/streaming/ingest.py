@@ -110,8 +110,12 @@ def interest_verdicts(events: DataFrame) -> DataFrame:
 
 
 def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
-    """Streamed credits against the pending refunds: every pair that may match."""
-    p = pending.select(F.col("id").alias("settlement_id"), F.col("user_id").alias("p_user"), "expected_amount_paise", "expected_at")
+    """Streamed credits against the pending refunds: every pair that may match, once for refunds that share an id.
+
+    Of the refunds of one id, user and amount the earliest lets in what any of them does; one of any time lets in all.
+    """
+    early = F.when(F.count("*") == F.count("expected_at"), F.min("expected_at")).alias("expected_at")
+    p = pending.groupBy(F.col("id").alias("settlement_id"), F.col("user_id").alias("p_user"), "expected_amount_paise").agg(early)
     on = (F.col("user_id") == F.col("p_user")) & (F.col("amount_paise") == F.col("expected_amount_paise")) & (F.col("expected_at").isNull() | (F.col("txn_time") >= F.col("expected_at") - F.expr("INTERVAL 1 DAY")))
     return credits.join(p, on).select("settlement_id", F.col("id").alias("credit_id"))
 
