@@ -40,6 +40,13 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(repr([plain(r[c]) for c in names]) for r in df.collect()) == want
 
 
+def test_backfill_takes_five_days(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id") * 120)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    want = [r[0] for r in events.select("event_id").collect() if r[0] * 7 % 900_000 >= 900_000 - 5 * 86_400]
+    assert sorted(r[0] for r in QUERIES["backfill"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) > 100
+
+
 def test_registry(spark):
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
