@@ -45,6 +45,13 @@ def test_parts_that_time_out_are_reported_once(spark, tmp_path):
     assert state(spark, checkpoint, "parts") == 0
 
 
+def test_parts_are_kept_by_bucket(spark, tmp_path):
+    parts = [(f"r{i}", k, 2, f"{i}.{k}", 2 * i + k, at(i)) for i in range(100) for k in ((1, 2) if i % 4 else (1,))]
+    rows, checkpoint = kept(spark, stateful.assemble(batches(spark, tmp_path, PARTS, parts), "1 minute", 600, 7200, buckets=4), tmp_path)
+    assert sorted(map(tuple, rows.collect())) == sorted((f"r{i}", True, f"{i}.1{i}.2", []) for i in range(100) if i % 4)
+    assert 0 < state(spark, checkpoint, "closed") <= 4 and 0 < state(spark, checkpoint, "parts") <= 4
+
+
 CHAIN = "line_id string, id string, delta_paise long, balance_after_paise long, is_hold boolean, txn_time timestamp, ordinal long"
 
 
