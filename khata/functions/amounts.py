@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from khata.functions.text import EDGE, WS, found, let
+from khata.functions.text import AFTER, BEFORE, WS, found, let
 
 # The grammar of amounts.
 CURRENCY = r"(?:rs\.?|inr|₹)"
@@ -22,10 +22,10 @@ def scale_to_paise(core: Column, multiplier: Column) -> Column:
 
 
 def _led(strict_boundary: bool) -> str:
-    return f"(?i){CURRENCY}{WS}*([0-9a-z.,]+)(?:{WS}+{MULTIPLIER}{EDGE if strict_boundary else ''})?"
+    return f"(?i){CURRENCY}{WS}*([0-9a-z.,]+)(?:{WS}+{MULTIPLIER}{AFTER if strict_boundary else ''})?"
 
 
-_BARE = f"(?i){EDGE}{NUMBER}{WS}*{MULTIPLIER}{EDGE}"
+_BARE = f"(?i){BEFORE}{NUMBER}{WS}*{MULTIPLIER}{AFTER}"
 _GLUED = r"(?i)^([0-9.,]+)(k|lakhs|lakh|lac|l|crores|crore|cr)\z"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from khata.functions.rules import Rules, load_rules
-from khata.functions.text import ANY, EDGE, has_text
+from khata.functions.text import AFTER, ANY, BEFORE, has_text
 
 
 def modality(body: Column, rules: Rules | None = None) -> Column:
@@ -18,8 +18,8 @@ def modality(body: Column, rules: Rules | None = None) -> Column:
 def verb_direction(body: Column) -> Column:
     """out, in or null, by the verbs; money added to a wallet comes in."""
     low = F.lower(body)
-    out = low.rlike(f"{EDGE}(?:debited|spent|withdrawn|paid|deducted|debit|sent|blocked|added){EDGE}")
-    into = low.rlike(f"{EDGE}(?:credited|received|refund|reversed|returned|load|loaded){EDGE}")
+    out = low.rlike(f"{BEFORE}(?:debited|spent|withdrawn|paid|deducted|debit|sent|blocked|added){AFTER}")
+    into = low.rlike(f"{BEFORE}(?:credited|received|refund|reversed|returned|load|loaded){AFTER}")
     return F.when(out, F.when(low.rlike(f"added to {ANY}*wallet"), "in").otherwise("out")).when(into, "in")
 
 
@@ -37,7 +37,7 @@ def is_topup(body: Column) -> Column:
 
 
 def is_reversal_notice(body: Column) -> Column:
-    return body.rlike(f"(?i){EDGE}reversed{EDGE}|reversal of|credited back")
+    return body.rlike(f"(?i){BEFORE}reversed{AFTER}|reversal of|credited back")
 
 
 def is_counted(direction: Column, modality_: Column, net_status: Column) -> Column:

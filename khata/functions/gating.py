@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from khata.functions.amounts import has_amount
 from khata.functions.rules import Rules, load_rules
 from khata.functions.senders import is_personal, normalise_sender
-from khata.functions.text import EDGE, has_word, trimmed
+from khata.functions.text import AFTER, BEFORE, W, has_word, trimmed
 
 
 def is_otp(body: Column) -> Column:
-    return body.rlike(f"(?i){EDGE}otp{EDGE}|one time password|do not share|code is")
+    return body.rlike(f"(?i){BEFORE}otp{AFTER}|one time password|do not share|code is")
 
 
 def is_promo(body: Column) -> Column:
-    return body.rlike(f"(?i){EDGE}(?:offer|sale|win|won|discount|expires|click|claim|shop now|flat [0-9]+%|[0-9]+% off){EDGE}|{EDGE}cashback{EDGE}")
+    return body.rlike(f"(?i){BEFORE}(?:(?:offer|sale|win|won|discount|expires|cl(?:ick|aim)|shop now|[0-9]+% off|cashback){AFTER}|flat [0-9]+%(?={W}))")
 
 
 def gate_reason(sender: Column, body: Column, denied: Column | None = None, rules: Rules | None = None) -> Column:

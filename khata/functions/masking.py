@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from khata.functions.text import ANY, EDGE, WS, W, found, trimmed
+from khata.functions.text import AFTER, ANY, BEFORE, EDGE, WS, W, found, let, trimmed
 
 # Slots, stop words and rewrites decide the fingerprints.
 SLOTS = ("AMT", "DATE", "ACCT", "NUM", "VPA", "MERCHANT")
@@ -18,11 +18,11 @@ _STOPS = r"via|on|from|using|thru|through|ref|avl|bal|upi|info|txn|dated|at|to|f
 #: (pattern, replacement) in order; the text is in lower case and trimmed.
 REWRITES = (
     (rf"(?:rs\.?|inr|₹|rupees){WS}*[0-9][0-9,]*(?:\.[0-9]+)?{WS}*{_MULTIPLIER}?(?:{WS}*\/-)?", "§AMT§"),
-    (rf"{EDGE}[0-9][0-9,]*(?:\.[0-9]+)?{WS}*{_MULTIPLIER}{EDGE}", "§AMT§"),
-    (rf"{EDGE}[0-9]{{1,2}}[-/ ](?:[0-9]{{1,2}}|{MONTHS})[-/ ]?[0-9]{{2,4}}{EDGE}", "§DATE§"),
-    (rf"{EDGE}(?:x{{2,}}|\*{{2,}}|a\/c{WS}*[*.]*{WS}*|ending{WS}+|acct\.?{WS}*|account{WS}+|card{WS}+x*){WS}*[0-9]{{2,6}}{EDGE}", "§ACCT§"),
-    (rf"{EDGE}(?:{W}|[.-])+@[a-z]+{EDGE}", "§VPA§"),
-    (rf"{EDGE}(at|to|for|towards){WS}+({ANY}+?)(?={WS}+(?:{_STOPS}){EDGE}|{WS}*§|[.,]|\z)", "$1 §MERCHANT§"),
+    (rf"{BEFORE}[0-9][0-9,]*(?:\.[0-9]+)?{WS}*{_MULTIPLIER}{AFTER}", "§AMT§"),
+    (rf"{BEFORE}[0-9]{{1,2}}[-/ ](?:[0-9]{{1,2}}|{MONTHS})[-/ ]?[0-9]{{2,4}}{AFTER}", "§DATE§"),
+    (rf"(?:{BEFORE}(?:x{{2,}}|a\/c{WS}*[*.]*{WS}*|ending{WS}+|acct\.?{WS}*|account{WS}+|card{WS}+x*)|(?<={W})\*{{2,}}){WS}*[0-9]{{2,6}}{AFTER}", "§ACCT§"),
+    (rf"{EDGE}[A-Za-z0-9_.-]++@[a-z]+{AFTER}", "§VPA§"),
+    (rf"{BEFORE}(at|to|for|towards){WS}+({ANY}+?)(?={WS}+(?:{_STOPS}){AFTER}|{WS}*§|[.,]|\z)", "$1 §MERCHANT§"),
     (r"[0-9]{3,}", "§NUM§"),
     (rf"{WS}+", " "),
 )
@@ -46,7 +46,7 @@ def leak(skeleton: Column) -> Column:
 
 def redact(body: Column, strict: bool = True) -> Column:
     """The skeleton; strict: the query fails on a row whose skeleton leaks."""
-    skeleton = mask(body)
     if not strict:
-        return skeleton
-    return F.when(leak(skeleton).isNotNull(), F.raise_error(F.concat(F.lit("skeleton leaks: "), leak(skeleton)))).otherwise(skeleton)
+        return mask(body)
+    sound = lambda s: let(leak(s), lambda x: F.when(x.isNotNull(), F.raise_error(F.concat(F.lit("skeleton leaks: "), x))).otherwise(s))
+    return let(mask(body), sound)

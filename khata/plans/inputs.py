@@ -154,13 +154,18 @@ FROM lineitem"""
 TABLES = {"messages": (MESSAGES, "events"), "entries": (ENTRIES, "orders"), "settlements": (SETTLEMENTS, "lineitem"), "chain": (CHAIN, "lineitem")}
 
 
+#: Messages that one task reads, about.
+MESSAGES_A_TASK = 100_000
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input over its whole table. Times, seconds in both engines, are timestamps besides."""
     sql, base = TABLES[name]
     rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
-    if name == "messages" and rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        # Reading messages is costlier than moving them: a file that is one partition is dealt to all cores.
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    if name == "messages":
+        # Reading messages is costlier than moving them: they are dealt to all cores, and to more tasks as they grow.
+        tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // MESSAGES_A_TASK))
+        rows = rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
     df = spark.sql(sql.replace(f"FROM {base}", "FROM {base}").replace("//", " DIV "), base=rows)
     for seconds, time in (("t_sec", "txn_time"), ("expected_sec", "expected_at")):
         if seconds in df.columns:
