@@ -622,9 +622,13 @@ def reassemble_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _issued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All messages, masked once, under one issuer but for those of none."""
-    m = load(spark, sf_dir, "messages").select("seq", "body", F.when(F.col("shape") != 2, F.lit("YESBNK")).alias("issuer"))
-    return written(templates.shape(m))
+    """All messages under one issuer but for those of none."""
+    return load(spark, sf_dir, "messages").select("seq", "body", F.when(F.col("shape") != 2, F.lit("YESBNK")).alias("issuer"))
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, masked once."""
+    return written(templates.shape(_issued(spark, sf_dir)))
 
 
 _TRUSTED, _READ = by_shape(lambda s: s.trusted), f"CAST({by_shape(lambda s: s.read)} AS BIGINT)"
@@ -636,12 +640,12 @@ _TRUSTED, _READ = by_shape(lambda s: s.trusted), f"CAST({by_shape(lambda s: s.re
     "messages",
 )
 def induce_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.induce(_issued(spark, sf_dir)).drop("pattern", "groups", "reading")
+    return templates.induce(_shaped(spark, sf_dir)).drop("pattern", "groups", "reading")
 
 
 @query(f"SELECT seq, {_READ} AS amount_paise, CAST({by_shape(lambda s: s.balance)} AS BIGINT) AS balance_paise, {by_shape(lambda s: s.merchant)} AS merchant FROM messages", "messages")
 def apply_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _issued(spark, sf_dir)
+    m = _shaped(spark, sf_dir)
     return templates.apply_templates(m, templates.induce(m)).select("seq", "amount_paise", "balance_paise", "merchant")
 
 
@@ -694,9 +698,10 @@ def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(rows: DataFrame, at: str) -> DataFrame:
-    """The rows as a stream of a few files, one a batch."""
-    rows.repartition(4).write.parquet(f"{at}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    """The rows as a stream of four batches, each of a file a core, as one task reads a file."""
+    files = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(4 * files).write.parquet(f"{at}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
 
 
 def _ran(stream: DataFrame, at: str) -> DataFrame:
