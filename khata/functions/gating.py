@@ -19,11 +19,9 @@ def is_promo(body: Column) -> Column:
     return body.rlike(f"(?i){BEFORE}(?:(?:offer|sale|win|won|discount|expires|cl(?:ick|aim)|shop now|[0-9]+% off|cashback){AFTER}|flat [0-9]+%(?={W}))")
 
 
-def gate_reason(sender: Column, body: Column, denied: Column | None = None, rules: Rules | None = None) -> Column:
-    """struct(admit, reason, entity, buffered). denied: whether the sender's entity is on the user's denylist."""
-    rules = rules or load_rules()
+def _reason(sender: Column, body: Column, denied: Column | None, rules: Rules) -> Column:
     words = rules.transaction_verbs + rules.future + rules.conditional + rules.hold + rules.mandate + rules.refund + rules.failed
-    reason = (
+    return (
         F.when(body.isNull() | (trimmed(body) == ""), "empty")
         .when(is_personal(trimmed(F.coalesce(sender, F.lit("")))), "personal")
         .when(F.coalesce(denied, F.lit(False)) if denied is not None else F.lit(False), "denylist")
@@ -32,13 +30,27 @@ def gate_reason(sender: Column, body: Column, denied: Column | None = None, rule
         .when(has_amount(body) & has_word(body, words), "admit")
         .otherwise("balance_only")
     )
-    return F.struct((reason == "admit").alias("admit"), reason.alias("reason"), normalise_sender(sender, rules)["entity"].alias("entity"), (reason == "otp").alias("buffered"))
+
+
+def _verdict(reason: Column, entity: Column) -> Column:
+    return F.struct((reason == "admit").alias("admit"), reason.alias("reason"), entity.alias("entity"), (reason == "otp").alias("buffered"))
+
+
+def gate_reason(sender: Column, body: Column, denied: Column | None = None, rules: Rules | None = None) -> Column:
+    """struct(admit, reason, entity, buffered). denied: whether the sender's entity is on the user's denylist."""
+    rules = rules or load_rules()
+    return _verdict(_reason(sender, body, denied, rules), normalise_sender(sender, rules)["entity"])
 
 
 def gate(messages: DataFrame, denylist: DataFrame | None = None, rules: Rules | None = None) -> DataFrame:
-    """messages (user_id, sender, body, ...) with a column gate. denylist: user_id, entity; joined on both."""
+    """messages (user_id, sender, body, ...) with a column gate. denylist: user_id, entity; joined on both.
+
+    In steps, so that the reason is found once for all that the gate says."""
+    rules = rules or load_rules()
+    sender, body = F.col("sender"), F.col("body")
     if denylist is None:
-        return messages.withColumn("gate", gate_reason(F.col("sender"), F.col("body"), None, rules))
+        return messages.withColumn("_reason", _reason(sender, body, None, rules)).withColumn("gate", _verdict(F.col("_reason"), normalise_sender(sender, rules)["entity"])).drop("_reason")
     known = denylist.select(F.col("user_id"), F.col("entity").alias("_entity"), F.lit(True).alias("_denied")).distinct()
-    named = messages.withColumn("_entity", normalise_sender(F.col("sender"), rules)["entity"])
-    return named.join(known, ["user_id", "_entity"], "left").withColumn("gate", gate_reason(F.col("sender"), F.col("body"), F.col("_denied"), rules)).drop("_entity", "_denied")
+    named = messages.withColumn("_entity", normalise_sender(sender, rules)["entity"])
+    judged = named.join(known, ["user_id", "_entity"], "left").withColumn("_reason", _reason(sender, body, F.col("_denied"), rules))
+    return judged.withColumn("gate", _verdict(F.col("_reason"), F.col("_entity"))).drop("_entity", "_denied", "_reason")

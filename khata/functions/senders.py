@@ -6,25 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from khata.functions.rules import Rules, load_rules
-from khata.functions.text import WS, trimmed
+from khata.functions.text import SPACES, literal, trimmed
 
 
 def is_personal(sender: Column) -> Column:
     """Ten digits are left without white space, hyphens and a country code. A number that itself begins with 91 loses
     those digits and is not personal."""
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(sender, F.lit("")), f"(?:{WS}|-)", ""), r"^\+?91", ""), r"^\+", "")
-    return digits.rlike(r"^[0-9]{10}\z")
+    return F.translate(F.coalesce(sender, F.lit("")), f"{SPACES}-", "").rlike(r"^(?:\+?91|(?!\+?91))\+?[0-9]{10}\z")
 
 
 def normalise_sender(sender: Column, rules: Rules | None = None) -> Column:
     """struct(kind, entity): the registered entity without operator prefix and category suffix; null for a person."""
     rules = rules or load_rules()
     raw = trimmed(F.coalesce(sender, F.lit("")))
-    parts = F.filter(F.split(F.upper(raw), "-"), lambda p: p != "")
-    first = F.try_element_at(parts, F.lit(1))
-    led = (F.size(parts) > 1) & (first.isin(*rules.operator_prefixes) | first.rlike(r"^[A-Z]{2}\z"))
-    rest = F.when(led, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
-    ends = (F.size(parts) > 1) & (F.size(rest) > 1) & F.try_element_at(rest, F.lit(-1)).isin(*rules.category_suffixes)
-    rest = F.when(F.coalesce(ends, F.lit(False)), F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+    # One hyphen between parts and none at the ends; then a part before a hyphen goes, and one behind a hyphen.
+    parts = F.regexp_replace(F.upper(raw), "^-+|-+\\z|(?<=-)-+", "")
+    prefixes, suffixes = (["[A-Z]{2}", *map(literal, rules.operator_prefixes)], list(map(literal, rules.category_suffixes)))
+    named = F.regexp_replace(parts, "|".join([f"^(?:{'|'.join(prefixes)})-", *([f"-(?:{'|'.join(suffixes)})\\z"] if suffixes else [])]), "")
     person = is_personal(raw)
-    return F.struct(F.when(person, "personal").otherwise("dlt").alias("kind"), F.when(~person, F.nullif(F.array_join(rest, "-"), F.lit(""))).alias("entity"))
+    return F.struct(F.when(person, "personal").otherwise("dlt").alias("kind"), F.when((named != "") & ~person, named).alias("entity"))

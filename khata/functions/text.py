@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-WS = f"[{_SPACES}]"
+#: White space, character by character. In the pattern one look rules out what is neither Latin nor a late one.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS = r"[\t-\r \u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]"
 ANY = r"[^\n\r\u2028\u2029]"
 W = "[A-Za-z0-9_]"
 #: Either side of a word boundary.
@@ -22,7 +23,7 @@ BEFORE, AFTER = f"(?<!{W})", f"(?!{W})"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}+", ""), rf"{WS}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def literal(words: str) -> str:

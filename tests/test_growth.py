@@ -14,6 +14,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_the_gate_looks_once_at_a_body(spark):
+    m = load(spark, SF, "messages").select("seq", "user_id", "sender", "body")
+    denied = spark.createDataFrame([(1, "KOTAKB-X")], "user_id long, entity string")
+    for gated in (gating.gate(m), gating.gate(m, denied)):
+        assert plan(gated.select("seq", "gate")).count("one time password") == 1
+
+
 def test_a_batch_of_a_stream_is_read_by_all_cores(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     stream = queries._stream(spark.range(1000).toDF("n"), str(tmp_path))
