@@ -22,9 +22,10 @@ def match_refunds(credits: DataFrame, pending: DataFrame) -> DataFrame:
     """
     asked = pending.select("user_id", F.col("expected_amount_paise").alias("amount"), (F.col("expected_at") - F.expr(EARLY)).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("o"), F.col("id").alias("settlement_id"), F.lit(None).cast("struct<id: string, t: timestamp, o: long>").alias("credit"))
     came = credits.select("user_id", F.col("amount_paise").alias("amount"), F.col("txn_time").alias("t"), F.lit(1).alias("kind"), F.col("ordinal").cast("long").alias("o"), F.lit(None).cast("string").alias("settlement_id"), F.struct(F.col("id").cast("string").alias("id"), F.col("txn_time").cast("timestamp").alias("t"), F.col("ordinal").cast("long").alias("o")).alias("credit"))
-    # In the order of times, a refund of any time first, the credit that follows a refund next is its own.
-    ahead = Window.partitionBy("user_id", "amount").orderBy(F.asc_nulls_first("t"), "kind", "o").rowsBetween(0, Window.unboundedFollowing)
-    out = asked.unionByName(came).withColumn("credit", F.first("credit", ignorenulls=True).over(ahead)).where("settlement_id is not null and credit is not null")
+    # In the order of times, a refund of any time first, the credit that follows a refund next is its own. The order is
+    # gone through from its end, as a frame of the following rows is read anew for each row.
+    behind = Window.partitionBy("user_id", "amount").orderBy(F.desc_nulls_last("t"), F.desc("kind"), F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
+    out = asked.unionByName(came).withColumn("credit", F.last("credit", ignorenulls=True).over(behind)).where("settlement_id is not null and credit is not null")
     return out.groupBy("settlement_id").agg(F.min_by("credit.id", F.struct("credit.t", "credit.o", "credit.id")).alias("credit_id"))
 
 
@@ -114,8 +115,9 @@ def suspected_emi(chain: DataFrame, months: int = 1) -> DataFrame:
     low, high = 30 * months - 5, 30 * months + 5
     day, down = F.to_date("txn_time"), F.col("move") < 0
     keyed = moves.where("move <> 0").select("line_id", "id", F.abs("move").alias("drop_paise"), down.alias("down"), F.when(down, F.date_add(day, low)).otherwise(day).alias("day"))
-    ahead = Window.partitionBy("line_id", "drop_paise").orderBy("day", F.desc("down")).rowsBetween(0, Window.unboundedFollowing)
-    out = keyed.withColumn("restored", F.first(F.when(~F.col("down"), F.col("day")), ignorenulls=True).over(ahead))
+    # From the last day backwards, so that a fall comes after the rises of its day and each row is read once.
+    behind = Window.partitionBy("line_id", "drop_paise").orderBy(F.desc("day"), "down").rowsBetween(Window.unboundedPreceding, 0)
+    out = keyed.withColumn("restored", F.last(F.when(~F.col("down"), F.col("day")), ignorenulls=True).over(behind))
     return out.where(F.col("down") & (F.datediff("restored", "day") <= high - low)).select("line_id", F.col("id").alias("entry_id"), "drop_paise").distinct()
 
 
@@ -124,8 +126,9 @@ def code_links(codes: DataFrame, entries: DataFrame, seconds: int = 600) -> Data
     `seconds`. codes: id, user_id, amount_paise, received_at; the code itself never counts."""
     asked = codes.where("amount_paise is not null").select("user_id", "amount_paise", F.col("received_at").alias("t"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("o"), F.col("id").alias("code_id"), F.lit(None).cast("struct<id: string, t: timestamp>").alias("spent"))
     came = entries.where("direction = 'EXPENSE'").select("user_id", "amount_paise", F.col("received_at").alias("t"), F.lit(1).alias("kind"), F.col("seq").alias("o"), F.lit(None).alias("code_id"), F.struct(F.col("id"), F.col("received_at").alias("t")).alias("spent"))
-    ahead = Window.partitionBy("user_id", "amount_paise").orderBy("t", "kind", "o").rowsBetween(0, Window.unboundedFollowing)
-    out = asked.unionByName(came).withColumn("next", F.first("spent", ignorenulls=True).over(ahead)).where("code_id is not null")
+    # From the end backwards, so that each row is read once.
+    behind = Window.partitionBy("user_id", "amount_paise").orderBy(F.desc("t"), F.desc("kind"), F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)
+    out = asked.unionByName(came).withColumn("next", F.last("spent", ignorenulls=True).over(behind)).where("code_id is not null")
     return out.where(F.unix_seconds("next.t") - F.unix_seconds("t") <= seconds).select("code_id", F.col("next.id").alias("entry_id"))
 
 

@@ -565,8 +565,10 @@ def suspected_emi(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and expenses of fewer users and amounts than there are, so that they meet."""
-    gated = written(gating.gate(load(spark, sf_dir, "messages").withColumn("sender", F.lit("VM-YESBNK"))))
+    gated = gating.gate(load(spark, sf_dir, "messages").withColumn("sender", F.lit("VM-YESBNK")))
+    # Written without bodies: what is read from them is read once, for codes and expenses.
     rows = gated.select(F.col("seq").cast("string").alias("id"), "seq", (F.col("user_id") % 50).alias("user_id"), (F.col("paise") % 300).alias("amount_paise"), F.timestamp_seconds("t_sec").alias("received_at"), "gate", F.when(classify.verb_direction(F.col("body")) == "out", "EXPENSE").alias("direction"), amounts.has_amount(F.col("body")).alias("named"))
+    rows = written(rows)
     return settlement.code_links(rows.where("gate.buffered and named"), rows.where("gate.admit"), 86_400)
 
 

@@ -14,6 +14,19 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+@pytest.mark.parametrize("name", ["match_refunds", "suspected_emi", "code_links"])
+def test_windows_read_each_row_once(spark, name):
+    """A frame up to the last row is gone through again for each row of its key."""
+    assert "unboundedfollowing" not in plan(queries.QUERIES[name](spark, SF)).replace(" ", "")
+
+
+def test_what_follows_next_is_found_backwards(spark):
+    t = lambda s: f"timestamp_seconds({s})"
+    codes = spark.sql(f"SELECT * FROM VALUES ('k1', 1L, 5L, {t(10)}), ('k2', 1L, 5L, {t(20)}), ('k3', 1L, 5L, {t(40)}), ('k4', 2L, 5L, {t(10)}) AS v(id, user_id, amount_paise, received_at)")
+    spends = spark.sql(f"SELECT *, 'EXPENSE' AS direction FROM VALUES ('s1', 1L, 5L, {t(20)}, 1L), ('s0', 1L, 5L, {t(20)}, 0L), ('s2', 1L, 5L, {t(5)}, 2L), ('s3', 2L, 5L, {t(700)}, 3L) AS v(id, user_id, amount_paise, received_at, seq)")
+    assert sorted(map(tuple, settlement.code_links(codes, spends).collect())) == [("k1", "s0"), ("k2", "s0")]
+
+
 def test_the_gate_looks_once_at_a_body(spark):
     m = load(spark, SF, "messages").select("seq", "user_id", "sender", "body")
     denied = spark.createDataFrame([(1, "KOTAKB-X")], "user_id long, entity string")
@@ -30,6 +43,14 @@ def test_a_batch_of_a_stream_is_read_by_all_cores(spark, tmp_path):
     assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 4 and spark.read.parquet(f"{tmp_path}/out").count() == 1000
 
 
+@pytest.mark.parametrize("module, take", [(queries, lambda s, at: queries.code_links(s, SF)), (streams, lambda s, at: streams._codes_and_spends(s, SF, at))])
+def test_codes_and_spends_are_kept_without_bodies(spark, tmp_path, monkeypatch, module, take):
+    kept = []
+    monkeypatch.setattr(module, "written", lambda df, write=module.written: kept.append(df.columns) or write(df))
+    take(spark, f"{tmp_path}/at")
+    assert len(kept) == 1 and not {"body", "x_amt"} & set(kept[0])
+
+
 def test_a_stream_learns_from_messages_that_were_not_masked_before(spark, monkeypatch):
     came = []
     monkeypatch.setattr(links, "_stream", lambda df, at, stream=links._stream: came.append(df) or stream(df, at))
