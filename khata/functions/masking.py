@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from khata.functions.text import AFTER, ANY, BEFORE, EDGE, WS, W, found, let, trimmed
+from khata.functions.text import AFTER, ANY, WS, W, found, let, trimmed
 
 # Slots, stop words and rewrites decide the fingerprints.
 SLOTS = ("AMT", "DATE", "ACCT", "NUM", "VPA", "MERCHANT")
@@ -15,14 +15,20 @@ MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _MULTIPLIER = "(?:k|lakhs?|lac|l|crores?|cr)"
 _STOPS = r"via|on|from|using|thru|through|ref|avl|bal|upi|info|txn|dated|at|to|for|towards|a\/c|acct"
 
+# What cannot end a merchant's name, so that only its ends are looked behind.
+_INSIDE = rf"[^§.,{WS}]"
+# A character that begins a word, before what stands around it is looked at: most places fail at the character.
+_FIRST = lambda c: f"{c}(?<!{W}{c})"
+_DIGIT = _FIRST("[0-9]")
+
 #: (pattern, replacement) in order; the text is in lower case and trimmed.
 REWRITES = (
-    (rf"(?:rs\.?|inr|₹|rupees){WS}*[0-9][0-9,]*(?:\.[0-9]+)?{WS}*{_MULTIPLIER}?(?:{WS}*\/-)?", "§AMT§"),
-    (rf"{BEFORE}[0-9][0-9,]*(?:\.[0-9]+)?{WS}*{_MULTIPLIER}{AFTER}", "§AMT§"),
-    (rf"{BEFORE}[0-9]{{1,2}}[-/ ](?:[0-9]{{1,2}}|{MONTHS})[-/ ]?[0-9]{{2,4}}{AFTER}", "§DATE§"),
-    (rf"(?:{BEFORE}(?:x{{2,}}|a\/c{WS}*[*.]*{WS}*|ending{WS}+|acct\.?{WS}*|account{WS}+|card{WS}+x*)|(?<={W})\*{{2,}}){WS}*[0-9]{{2,6}}{AFTER}", "§ACCT§"),
-    (rf"{EDGE}[A-Za-z0-9_.-]++@[a-z]+{AFTER}", "§VPA§"),
-    (rf"{BEFORE}(at|to|for|towards){WS}+({ANY}+?)(?={WS}+(?:{_STOPS}){AFTER}|{WS}*§|[.,]|\z)", "$1 §MERCHANT§"),
+    (rf"(?:r(?:s\.?|upees)|inr|₹){WS}*[0-9][0-9,]*(?:\.[0-9]+)?{WS}*{_MULTIPLIER}?(?:{WS}*\/-)?", "§AMT§"),
+    (rf"{_DIGIT}[0-9,]*(?:\.[0-9]+)?{WS}*{_MULTIPLIER}{AFTER}", "§AMT§"),
+    (rf"{_DIGIT}[0-9]?[-/ ](?:[0-9]{{1,2}}|{MONTHS})[-/ ]?[0-9]{{2,4}}{AFTER}", "§DATE§"),
+    (rf"(?:{_FIRST('x')}x+|{_FIRST('a')}(?:\/c{WS}*[*.]*{WS}*|cct\.?{WS}*|ccount{WS}+)|{_FIRST('e')}nding{WS}+|{_FIRST('c')}ard{WS}+x*|\*(?<={W}\*)\*+){WS}*[0-9]{{2,6}}{AFTER}", "§ACCT§"),
+    (rf"(?:{_FIRST(W)}|[.-](?<={W}[.-]))[A-Za-z0-9_.-]*+@[a-z]+{AFTER}", "§VPA§"),
+    (rf"({_FIRST('a')}t|{_FIRST('t')}o(?:wards)?|{_FIRST('f')}or){WS}+({ANY}{_INSIDE}*+(?:{ANY}{_INSIDE}*+)*?)(?={WS}+(?:{_STOPS}){AFTER}|{WS}*§|[.,]|\z)", "$1 §MERCHANT§"),
     (r"[0-9]{3,}", "§NUM§"),
     (rf"{WS}+", " "),
 )

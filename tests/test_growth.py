@@ -34,6 +34,10 @@ def test_the_gate_looks_once_at_a_body(spark):
         assert plan(gated.select("seq", "gate")).count("one time password") == 1
 
 
+def test_masks_look_behind_a_character_that_may_begin_a_match():
+    assert not [p for p, _ in masking.REWRITES if p.lstrip("(?:").startswith(("(?<", "<"))]
+
+
 def test_a_batch_of_a_stream_is_read_by_all_cores(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     stream = queries._stream(spark.range(1000).toDF("n"), str(tmp_path))
