@@ -11,7 +11,7 @@ from khata.functions.dates import parse_sms_date
 from khata.functions.gating import gate
 from khata.functions.ids import entry_id, extract_reference
 from khata.functions.payees import category_hint, vpa_key
-from khata.functions.text import EDGE, found
+from khata.functions.text import AFTER, BEFORE, found
 from khata.operators.ledger import line_key, upsert
 from khata.operators.templates import apply_templates
 
@@ -28,10 +28,10 @@ def build_entries(messages: DataFrame, templates: DataFrame | None = None, denyl
         kept = apply_templates(kept, templates, trusted_only=True).withColumnRenamed("amount_paise", "t_amount").withColumnRenamed("balance_paise", "t_balance").withColumnRenamed("merchant", "t_merchant").drop("template_found", "fingerprint", "skeleton")
     else:
         kept = kept.withColumns({"t_amount": F.lit(None).cast("bigint"), "t_balance": F.lit(None).cast("bigint"), "t_merchant": F.lit(None).cast("string")})
-    body, date = F.col("body"), rf"(?i){EDGE}([0-9]{{1,2}}[-/][0-9]{{1,2}}(?:[-/][0-9]{{2,4}})?){EDGE}"
+    body, date = F.col("body"), rf"(?i){BEFORE}([0-9]{{1,2}}[-/][0-9]{{1,2}}(?:[-/][0-9]{{2,4}})?){AFTER}"
     amount = F.coalesce("t_amount", F.try_element_at(extract_amounts(body), F.lit(1)))
     balance = F.coalesce("t_balance", F.try_element_at(extract_amounts(found(body, r"(?i)bal.*")), F.lit(1)))
-    merchant = F.coalesce("t_merchant", found(body, rf"(?i){EDGE}at ([A-Za-z][A-Za-z ]*?)(?= via| on|[.,]|\z)", 1))
+    merchant = F.coalesce("t_merchant", found(body, rf"(?i){BEFORE}at ([A-Za-z][A-Za-z ]*?)(?= via| on|[.,]|\z)", 1))
     tail = found(body, r"(?i)(?:xx|\*\*)([0-9]{4})", 1)
     vpa = found(body, r"[A-Za-z0-9_.-]+@[A-Za-z]+")
     verb = verb_direction(body)
