@@ -89,11 +89,13 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _codes_and_spends(spark: SparkSession, sf_dir: str, at: str) -> tuple[DataFrame, DataFrame]:
     """One-time codes that name an amount, and expenses, of fewer users and amounts than there are, so that they meet."""
-    gated = written(gating.gate(load(spark, sf_dir, "messages").withColumn("sender", F.lit("VM-YESBNK"))))
+    gated = gating.gate(load(spark, sf_dir, "messages").withColumn("sender", F.lit("VM-YESBNK")))
+    # Written without bodies, as each stream's rows are read for their bounds, their files and their last time.
     rows = gated.select(
         F.col("seq").cast("string").alias("id"), (F.col("user_id") % 50).alias("user_id"), (F.col("paise") % 300).alias("amount_paise"), _seconds("t_sec").alias("received_at"), F.col("seq").cast("long").alias("seq"),
         (F.col("gate.buffered") & amounts.has_amount(F.col("body"))).alias("code"), (F.col("gate.admit") & F.coalesce(classify.verb_direction(F.col("body")) == "out", F.lit(False))).alias("spend"),
     )
+    rows = written(rows)
     streams = (timed_stream(rows.where(kind).drop("code", "spend"), f"{at}/{kind}", F.unix_seconds("received_at"), "received_at") for kind in ("code", "spend"))
     # The closing rows belong to a user of their own.
     return tuple(s.withColumns({"user_id": F.coalesce("user_id", F.lit(-1)), "amount_paise": F.coalesce("amount_paise", F.lit(-1)), "seq": F.coalesce("seq", F.lit(-1))}) for s in streams)
