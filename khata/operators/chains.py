@@ -12,20 +12,23 @@ def roots(links: DataFrame, child: str = "child", parent: str = "parent") -> Dat
     """child, root, hops of every link (child, parent; one parent a child): the end of its chain and how many links lead
     there; root and hops are null where the chain runs into a circle.
 
-    Pointer doubling: each round a link is replaced by two, so chains of n links take log2(n) rounds of one join, each
-    written. A chain that has not ended after as many rounds as all links together could need is a circle's.
+    Pointer doubling: each round a link that has not ended is replaced by two, and only such links are joined and written
+    anew. A chain of which n links are left has one of every smaller number of links, so a round in which none ends
+    leaves nothing but links that lead into circles.
     """
-    now = written(links.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("at"), F.lit(1).cast("long").alias("hops")))
-    rounds = max(1, now.count().bit_length())
-    ends = written(now.select(F.col("at")).distinct().join(now.select(F.col("child").alias("at")), "at", "left_anti"))
-    now = written(now.join(ends.withColumn("ended", F.lit(True)), "at", "left").withColumn("ended", F.coalesce("ended", F.lit(False))))
-    for _ in range(rounds):
-        if now.where("not ended").isEmpty():
+    going = links.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("at"), F.lit(1).cast("long").alias("hops"))
+    known = going.select(F.col("child").alias("at"), F.lit(False).alias("ended")).distinct()
+    now = written(going.join(known, "at", "left").select("child", "at", "hops", F.coalesce("ended", F.lit(True)).alias("ended")))
+    done, going = now.where("ended"), now.where("not ended")
+    while not going.isEmpty():
+        further = done.unionByName(going).select(F.col("child").alias("at"), F.col("at").alias("_to"), F.col("hops").alias("_more"), "ended")
+        now = written(going.drop("ended").join(further, "at").select("child", F.col("_to").alias("at"), (F.col("hops") + F.col("_more")).alias("hops"), "ended"))
+        going = now.where("not ended")
+        if now.where("ended").isEmpty():
             break
-        further = now.select(F.col("child").alias("at"), F.col("at").alias("_to"), F.col("hops").alias("_more"), F.col("ended").alias("_ended"))
-        going = now.where("not ended").drop("ended").join(further, "at").select("child", F.col("_to").alias("at"), (F.col("hops") + F.col("_more")).alias("hops"), F.col("_ended").alias("ended"))
-        now = written(now.where("ended").select("child", "at", "hops", "ended").unionByName(going))
-    return now.select(F.col("child").alias(child), F.when(F.col("ended"), F.col("at")).alias("root"), F.when(F.col("ended"), F.col("hops")).alias("hops"))
+        done = done.unionByName(now.where("ended"))
+    out = done.unionByName(going)
+    return out.select(F.col("child").alias(child), F.when(F.col("ended"), F.col("at")).alias("root"), F.when(F.col("ended"), F.col("hops")).alias("hops"))
 
 
 def merge_roots(merges: DataFrame) -> DataFrame:

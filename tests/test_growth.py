@@ -14,6 +14,19 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_links_into_a_circle_do_not_keep_all_links_going(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(chains, "written", lambda df, write=chains.written: tables.append(df) or write(df))
+    rows = [(f"c{i}", f"c{(i + 1) % 3}") for i in range(3)] + [("d", "c0"), ("e", "d")] + [(f"x{i}", f"y{i}") for i in range(500)] + [(f"z{i}", f"z{i + 1}") for i in range(7)]
+    got = {r[0]: (r[1], r[2]) for r in chains.roots(spark.createDataFrame(rows, "child string, parent string")).collect()}
+    want = {k: (None, None) for k in ("c0", "c1", "c2", "d", "e")} | {f"x{i}": (f"y{i}", 1) for i in range(500)} | {f"z{i}": ("z7", 7 - i) for i in range(7)}
+    # Chains of seven links take three rounds, and one more shows that the rest are circles'.
+    assert got == want and len(tables) <= 5
+    tables.clear()
+    circle = spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string")
+    assert {tuple(r) for r in chains.roots(circle).collect()} == {("a", None, None), ("b", None, None)} and len(tables) == 2
+
+
 @pytest.mark.parametrize("name", ["match_refunds", "suspected_emi", "code_links"])
 def test_windows_read_each_row_once(spark, name):
     """A frame up to the last row is gone through again for each row of its key."""
