@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import functools
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from khata.llm.common import as_bytes, chunks, table
-from khata.llm.token_counts import BLOCK_BYTES, ENCODE_BYTES, MEMO_LENGTH, MEMO_PIECES, _CUTS, _PLAIN, _byte_letters
+from khata.llm.token_counts import BLOCK_BYTES, ENCODE_BYTES, MEMO_LENGTH, MEMO_PIECES, _CUTS, _byte_letters
 
 WINDOW = 2048
 #: Windows that are dealt together, tokens that a window of a block is left short, and the longest piece of a remainder.
@@ -31,68 +33,94 @@ END = 1
 _BYTES = 4
 
 
+#: A piece on a line of its own, ASCII letters in lower case: letters and punctuation (see token_counts), or anything.
+_LINES = re.compile(rb"([a-z]*+(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][a-z]*+)*+)([!-&(-/:;=>?@\[-`{-~]*+)\n|[^\n]*\n")
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by the vocabulary's library.
 
     The vocabulary must be of the kind of word_bpe_49k.json: lower case, white space dropped, letter runs, single digits
-    and runs of other characters apart. Then ids add up over white-space pieces, and over the letters and the
-    punctuation of a plain one; a long piece is cut at its digits.
+    and runs of other characters apart, a mark on each run's last token. Then ids add up over white-space pieces, and
+    over the letters and the punctuation of a plain one; a long piece is cut at its digits. A block's distinct pieces
+    are found and put in their places by Arrow; those not seen before go to the library together.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.runs_only = Tokenizer(self.tokenizer.model)
+        self.runs_only.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()} | {" ": " "})
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.last[[i for name, i in names.items() if name.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {b"": b""}
 
-    def _run(self, run: bytes) -> bytes:
-        tokens = self.tokenizer.model.tokenize(run.lower().decode().lower().encode().decode("latin-1").translate(self.letters))
-        ids = self.runs[run] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        return ids
+    def _runs(self, runs: list[bytes]) -> None:
+        for _, some in chunks(runs, ENCODE_BYTES):
+            joined = b" ".join(some).decode().lower().encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.runs_only.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (_BYTES * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary does not mark the last token of each run")
+            flat = ids.tobytes()
+            self.runs.update((run, flat[i:j]) for run, i, j in zip(some, [0, *ends], ends))
 
     def _whole(self, pieces: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        # Two generations, so that frequent pieces outlive the others.
-        if len(self.memo) > MEMO_PIECES // 2:
-            self.memo, self.older = {}, self.memo
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces that are not remembered."""
         if len(self.runs) > MEMO_PIECES:
             self.runs = {b"": b""}
-        new = pieces.difference(self.memo)
-        kept = new.intersection(self.older)
-        self.memo.update((p, self.older[p]) for p in kept)
-        rest, known = [], self.runs.get
-        for piece in new - kept:
-            match = _PLAIN.fullmatch(piece)
-            if match is None:
-                rest.append(piece)
-                continue
-            head, tail = match.groups()
-            a, b = known(head), known(tail)
-            self.memo[piece] = (self._run(head) if a is None else a) + (self._run(tail) if b is None else b)
-        parts = [_CUTS.findall(p) if len(p) > MEMO_LENGTH else [p] for p in rest]
+        split = _LINES.findall(b"\n".join([*pieces, b""]).lower())
+        rest = [i for i, ((head, tail), piece) in enumerate(zip(split, pieces)) if not (head or tail) or len(piece) > MEMO_LENGTH]
+        for i in rest:
+            split[i] = (b"", b"")
+        self._runs(list(set().union(*split).difference(self.runs)))
+        known = self.runs
+        out = [known[head] + known[tail] for head, tail in split]
+        parts = [_CUTS.findall(p) if len(p) > MEMO_LENGTH else [p] for p in map(pieces.__getitem__, rest)]
         flat: list[bytes] = []
         for _, some in chunks([x for p in parts for x in p], ENCODE_BYTES):
             flat += self._whole(some)
         at = 0
-        for piece, p in zip(rest, parts):
-            self.memo[piece] = b"".join(flat[at : at + len(p)])
+        for i, p in zip(rest, parts):
+            out[i] = b"".join(flat[at : at + len(p)])
             at += len(p)
+        return out
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        # Two generations, so that frequent pieces outlive the others.
+        if len(self.memo) > MEMO_PIECES // 2:
+            self.memo, self.older = {}, self.memo
+        out = list(map(self.memo.get, pieces))
+        older = self.older.get
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missed:
+            ids = out[i] = older(pieces[i])
+            if ids is None:
+                new.append(i)
+        for i, ids in zip(new, self._learn([pieces[i] for i in new])):
+            out[i] = ids
+        self.memo.update((pieces[i], out[i]) for i in missed if len(pieces[i]) <= MEMO_LENGTH)
+        return out
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for _, block in chunks(texts, BLOCK_BYTES):
-            pieces = [t.split() for t in block]
-            distinct = set().union(*pieces)
-            self._learn(distinct)
-            for row in pieces:
-                yield b"".join(map(self.memo.__getitem__, row))
-            for p in distinct:
-                if len(p) > MEMO_LENGTH:
-                    del self.memo[p]
+            words = pc.ascii_split_whitespace(pa.array(block, pa.large_string()))
+            found = words.values.dictionary_encode()
+            ids = pa.array(self._ids(found.dictionary.cast(pa.large_binary()).to_pylist()), pa.large_binary()).take(found.indices)
+            _, ends, data = ids.buffers()
+            at = np.frombuffer(ends, dtype=np.int64)[words.offsets.to_numpy()].tolist()
+            flat = memoryview(data or b"")
+            for i, j in zip(at, at[1:]):
+                yield flat[i:j].tobytes()
 
 
 @functools.lru_cache(maxsize=2)

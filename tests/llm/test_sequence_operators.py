@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -208,3 +209,29 @@ def test_alignment_of_odd_rows(spark, tmp_path):
     assert got == want and sum(w[1] == 0 for w in want.elements()) >= 4
     df.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert QUERIES["op13_token_alignment"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_new_pieces_go_to_the_library_together():
+    """Before, each distinct run of letters or punctuation was a call of its own."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvwéß", k=9)) for _ in range(20_000)]
+    texts = [" ".join(words[i : i + 400]).encode() for i in range(0, len(words), 400)]
+    encoder, calls = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([arg.__name__]) if event == "c_call" else None)
+    try:
+        got = list(encoder.encode(texts))
+    finally:
+        sys.setprofile(None)
+    assert 0 < calls["tokenize"] + calls["encode"] + calls["encode_batch"] + calls["encode_batch_fast"] < 100
+    want = encoder.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+    assert got == [np.array(x.ids, dtype="<u4").tobytes() for x in want]
+
+
+def test_ids_of_odd_pieces_against_the_library():
+    rng = random.Random(9)
+    letters = ["a", "B", "é", "É", "ß", "ÿ", "×", "÷", "İ", "ſ", "é", "日", "1", "²", "'", "'s", "<", "|", "-", "...", "\x1c", "\x85", "\xa0", " ", "😀", " ", "\n", "\x0b", "\x00", "z" * 130, "!" * 130]
+    texts = [None, "", " ", "\n a", "a\n", *("".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000))]
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(2):
+        got = list(encoder.encode([(t or "").encode() for t in texts]))
+        assert got == [np.array(x.ids, dtype="<u4").tobytes() for x in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
