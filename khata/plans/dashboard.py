@@ -33,6 +33,10 @@ def open_discrepancies(discrepancies: DataFrame) -> DataFrame:
     return discrepancies.where("coalesce(status, 'open') = 'open'").groupBy("type").agg(F.count("*").alias("n"), sum_paise(F.col("gap_paise")).alias("gap_paise"))
 
 
-def backfill(messages: DataFrame, now, days: int = 14) -> DataFrame:
-    """The messages of the last `days`."""
-    return messages.where(F.col("received_at") >= now - F.make_interval(days=F.lit(days)))
+def backfill(messages: DataFrame, now, days: int = 14, before_last: int | None = None) -> DataFrame:
+    """The messages of the last `days`; if `before_last` is given, also those of that many days before the last message."""
+    since = now - F.make_interval(days=F.lit(days))
+    if before_last is not None:
+        last = messages.agg(F.max("received_at")).scalar()
+        since = F.least(since, last - F.make_interval(days=F.lit(before_last)))
+    return messages.where(F.col("received_at") >= since)

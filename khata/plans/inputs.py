@@ -158,11 +158,14 @@ TABLES = {"messages": (MESSAGES, "events"), "entries": (ENTRIES, "orders"), "set
 MESSAGES_A_TASK = 100_000
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input over its whole table. Times, seconds in both engines, are timestamps besides."""
+def load(spark: SparkSession, sf_dir: str, name: str, deal: bool = True) -> DataFrame:
+    """A derived input over its whole table. Times, seconds in both engines, are timestamps besides.
+
+    deal: False for a query that does not read messages' bodies.
+    """
     sql, base = TABLES[name]
     rows = spark.read.parquet(f"{sf_dir}/{base}.parquet")
-    if name == "messages":
+    if name == "messages" and deal:
         # Reading messages is costlier than moving them: they are dealt to all cores, and to more tasks as they grow.
         tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // MESSAGES_A_TASK))
         rows = rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)

@@ -603,10 +603,11 @@ def breakdowns_of_a_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregation.breakdowns(e.where((F.col("txn_time") >= F.timestamp_seconds(F.lit(10_000))) & (F.col("txn_time") < F.timestamp_seconds(F.lit(50_000)))), s)
 
 
-@query("SELECT seq FROM messages WHERE t_sec >= 900000 - 5 * 86400", "messages")
+@query("SELECT seq FROM messages WHERE t_sec >= least(900000 - 5 * 86400, (SELECT max(t_sec) FROM messages) - 2 * 86400)", "messages")
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = load(spark, sf_dir, "messages").withColumn("received_at", F.timestamp_seconds("t_sec"))
-    return reports.backfill(m, F.timestamp_seconds(F.lit(900_000)), 5).select("seq")
+    """The last five days, and in any case the last two before the last message."""
+    m = load(spark, sf_dir, "messages", deal=False).withColumn("received_at", F.timestamp_seconds("t_sec"))
+    return reports.backfill(m, F.timestamp_seconds(F.lit(900_000)), 5, before_last=2).select("seq")
 
 
 # Parts, templates, the whole pipeline, streams -------------------------------------------------------------------------------------

@@ -47,6 +47,22 @@ def test_backfill_takes_five_days(spark, tmp_path):
     assert sorted(r[0] for r in QUERIES["backfill"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) > 100
 
 
+@pytest.mark.parametrize("apart", [1, 50, 70])
+def test_backfill_takes_two_days_before_the_last_message(spark, tmp_path, apart):
+    """Messages end at 6,993, 349,650 and 489,510 s; the five days begin at 468,000 s."""
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("event_id", F.col("event_id") * apart)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    times = {r[0]: r[0] * 7 % 900_000 for r in events.select("event_id").collect()}
+    since = min(900_000 - 5 * 86_400, max(times.values()) - 2 * 86_400)
+    want = sorted(k for k, t in times.items() if t >= since)
+    assert sorted(r[0] for r in QUERIES["backfill"](spark, str(tmp_path)).collect()) == want and len(want) > 300
+
+
+def test_backfill_of_no_messages(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["backfill"](spark, str(tmp_path)).count() == 0
+
+
 def test_registry(spark):
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
